@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, toxicity
+from . import linededup, quality, substrings, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,16 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.bitmaps(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.clean(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_toxicity, op4_quality)}
+    return {f.__name__: f for f in (op2_toxicity, op4_quality, op6_line_dedup, op7_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
