@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import linededup, quality, substrings, toxicity
+from . import linededup, quality, secrets, substrings, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +29,20 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.clean(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def _equals(value: str):
+    return lambda x: x == value
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("secrets", lambda s: s["kind"].isin(*[r.kind for r in secrets.BASE]))
+    kinds = F.transform("secrets", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, _equals(r.kind))).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_toxicity, op4_quality, op6_line_dedup, op7_substring_dedup)}
+    return {f.__name__: f for f in (op2_toxicity, op4_quality, op6_line_dedup, op7_substring_dedup, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

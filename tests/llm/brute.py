@@ -49,3 +49,17 @@ def substring_dedup(docs, window=13):
                 gone.update(range(i, i + window))
         out.append((d, len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
     return out
+
+
+def secrets(docs):
+    """(doc_id, n_assign, n_access, n_hex, base_sha256) by the base rules as they are written."""
+    assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+    out = []
+    for d, text in docs:
+        text = text or ""
+        found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[1]) >= 12]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+        n = [sum(k == i for _, k, _ in found) for i in range(3)]
+        out.append((d, *n, sha(",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found)))))
+    return out
