@@ -63,3 +63,27 @@ def secrets(docs):
         n = [sum(k == i for _, k, _ in found) for i in range(3)]
         out.append((d, *n, sha(",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found)))))
     return out
+
+
+def _words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(ASCII_LOW))
+
+
+def decontaminate(docs, items, window=10):
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)."""
+    holders = defaultdict(set)
+    for i, text in items:
+        w = _words(text)
+        for a in range(max(1, len(w) - window + 1) if w else 0):
+            holders[tuple(w[a : a + window])].add(str(i))
+    sizes = {len(k) for k in holders}
+    out = []
+    for d, text in docs:
+        w, hit, found = _words(text), set(), set()
+        for n in sizes:
+            for a in range(len(w) - n + 1):
+                if (k := tuple(w[a : a + n])) in holders:
+                    hit.update(range(a, a + n))
+                    found |= holders[k]
+        out.append((d, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
+    return out
