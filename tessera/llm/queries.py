@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, packing, quality, secrets, substrings, toxicity
+from . import decontaminate, linededup, neardup, packing, quality, secrets, substrings, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.clean(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def _equals(value: str):
     return lambda x: x == value
 
@@ -54,7 +58,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_toxicity, op3_decontaminate, op4_quality, op5_packing, op6_line_dedup, op7_substring_dedup, op10_secrets)}
+    return {f.__name__: f for f in (op2_toxicity, op3_decontaminate, op4_quality, op5_packing, op6_line_dedup, op7_substring_dedup, op8_near_duplicates, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -87,3 +87,37 @@ def decontaminate(docs, items, window=10):
                     found |= holders[k]
         out.append((d, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
     return out
+
+
+def near_duplicates(docs, least=0.8, words=5):
+    """(doc_id, class_id): components of texts with the same words, or with a Jaccard similarity of shingles of at least 0.8."""
+    root = {}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets, first = [], {}
+    for d, text in docs:
+        w = re.findall("[^\x20\x09-\x0d]+", text or "")
+        root.setdefault(order(d), order(d))
+        sets.append((order(d), tuple(w), {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()))
+    links = 0
+    by = defaultdict(list)
+    for i, (_, _, s) in enumerate(sets):
+        for x in s:
+            by[x].append(i)
+    seen = defaultdict(int)
+    for group in by.values():
+        for j, a in enumerate(group):
+            for b in group[:j]:
+                seen[b, a] += 1
+    pairs = [(a, b) for (a, b), n in seen.items() if n >= least * (len(sets[a][2]) + len(sets[b][2]) - n)]
+    for i, (_, w, _) in enumerate(sets):
+        pairs.append((first.setdefault(w, i), i))
+    for a, b in pairs:
+        links += 1
+        x, y = sorted((find(sets[a][0]), find(sets[b][0])))
+        root[y] = x
+    return [(d, None if find(order(d)) == order(None) else find(order(d))) for d, _ in docs]
