@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, neardup, packing, quality, secrets, substrings, toxicity
+from . import decontaminate, licences, linededup, neardup, packing, quality, secrets, substrings, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is a file in the folder of its language, in that of its source."""
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,7 +64,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_toxicity, op3_decontaminate, op4_quality, op5_packing, op6_line_dedup, op7_substring_dedup, op8_near_duplicates, op10_secrets)}
+    return {f.__name__: f for f in (op1_licences, op2_toxicity, op3_decontaminate, op4_quality, op5_packing, op6_line_dedup, op7_substring_dedup, op8_near_duplicates, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
