@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, linededup, neardup, packing, quality, secrets, substrings, toxicity
+from . import decontaminate, licences, linededup, media, neardup, packing, pictures, quality, secrets, substrings, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,11 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op9_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no media: each row of embeddings is drawn as a picture, edited as its id says."""
+    return media.copies(pictures.pictures(table(spark, sf_dir, "embeddings")))
+
+
 def _equals(value: str):
     return lambda x: x == value
 
@@ -64,7 +69,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_licences, op2_toxicity, op3_decontaminate, op4_quality, op5_packing, op6_line_dedup, op7_substring_dedup, op8_near_duplicates, op10_secrets)}
+    return {f.__name__: f for f in (op1_licences, op2_toxicity, op3_decontaminate, op4_quality, op5_packing, op6_line_dedup, op7_substring_dedup, op8_near_duplicates, op9_image_copies, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
