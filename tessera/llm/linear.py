@@ -158,7 +158,7 @@ class Logistic:
         totals = np.bincount(docs, minlength=len(texts))
         ends = np.searchsorted(key, np.arange(1, len(texts)) << features.bits)
         for at, c, total in zip(np.split(key & ((1 << features.bits) - 1), ends), np.split(count, ends), totals, strict=True):
-            yield at, c / np.sqrt(max(total, 1))
+            yield at.astype(np.int32), (c / np.sqrt(max(total, 1))).astype(np.float32)
 
     def score(self, texts: list[str]) -> np.ndarray:
         places, docs, _ = self.features.of(texts)
