@@ -24,16 +24,19 @@ def id_back(name: str) -> Column:
     return F.when(F.col(name) == NULL_ID, F.lit(None).cast("long")).otherwise(F.col(name))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder that ``spark.checkpoint.dir`` names; files go when nothing refers to them.
-
-    Where the session names none (tests on one machine), a local folder stands in.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, or, where the session names none (tests), one of this machine."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    named = context._jsc.sc().getCheckpointDir()
+    if named.isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        named = context._jsc.sc().getCheckpointDir()
+    return named.get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder; its files go when nothing refers to them any more."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

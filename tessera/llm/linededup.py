@@ -113,6 +113,8 @@ def clean(docs: DataFrame, least_points: int = LEAST_POINTS, least_docs: int = L
     keys = docs.withColumns({"__doc": id_key(), "__row": F.xxhash64(F.coalesce("text", F.lit("")))})
     both = keys.join(drops.hint("shuffle_hash"), ["__doc", "__row"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__drops")
 
+    names = docs.columns
+
     def run(batches):
         for batch in batches:
             texts, size = [], []
@@ -122,7 +124,7 @@ def clean(docs: DataFrame, least_points: int = LEAST_POINTS, least_docs: int = L
                     text = "\n".join(x for x, k in zip(parts, keep_bits(len(parts), gone), strict=True) if k)
                 texts.append(text)
                 size.append(len(text) if text is not None else None)
-            out = {c: batch[c] for c in docs.columns} | {"text": pa.array(texts, pa.string())}
+            out = {c: batch[c] for c in names} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in out:
                 out["n_chars"] = pa.array(size, out["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import chunks, held_out
 from .linear import SAMPLE_CHARS, SAMPLE_ROWS, Features, Logistic, sample, score_texts
 
 #: A document is kept from this score on.
@@ -33,11 +34,6 @@ def score(docs: DataFrame, labels: DataFrame, model: Logistic | None = None, thr
 
 def keep_good(docs: DataFrame, labels: DataFrame, model: Logistic | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, whose text scores at least ``threshold``."""
-    import numpy as np
-    import pyarrow as pa
-
-    from .linear import chunks
-
     model = model or fit(docs, labels)
 
     def run(batches):
@@ -46,4 +42,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, model: Logistic | None = None,
             scores = np.concatenate([model.score(part) for part in chunks(texts)]) if texts else np.zeros(0)
             yield batch.filter(pa.array(scores >= threshold))
 
-    return docs.mapInArrow(run, docs.schema).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.mapInArrow(run, docs.schema)
