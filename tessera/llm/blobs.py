@@ -33,5 +33,6 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     if not total:
         return np.zeros(0, np.int64)
-    shift = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-    return np.arange(total) + shift
+    out = np.repeat((starts - (np.cumsum(lengths) - lengths)).astype(starts.dtype), lengths)
+    out += np.arange(total, dtype=starts.dtype)
+    return out

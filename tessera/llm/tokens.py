@@ -23,28 +23,40 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """What stands for each letter from U+00A1 to U+024F in a byte-level vocabulary.
+
+    A byte stands for the character of its number if that prints; the others, in order, are U+0100 and what follows.
+    """
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    letter = [chr(b if b in prints else next(others)) for b in range(256)]
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xA1, 0x250)}
+
+
+_BYTES = _byte_letters()
+
+
 class WordTokens(dict):
     """Numbers of words (what stands between spaces), whose ids lie one after another in an array.
 
-    All is forgotten beyond ``limit`` words. New words go to the tokenizer together, in one text: its last token of a
-    word says so in its name, which gives back the borders.
+    All is forgotten beyond ``limit`` words. A new word is lower-cased and cut into pieces here, as the vocabulary
+    file says, and the file's model gives each piece's ids.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 500_000):
         import tokenizers
 
         super().__init__()
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.limit = limit
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
         self._forget()
 
     def _forget(self):
         self.clear()
         self.fresh: list[str] = []
-        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint16), 0
 
     def __missing__(self, word):
@@ -53,19 +65,19 @@ class WordTokens(dict):
         return at
 
     def _learn(self):
-        pieces = [_WORD.findall(x.lower()) for x in self.fresh]
+        tokenize, sizes, ids = self.model.tokenize, [], []
+        for word in self.fresh:
+            before = len(ids)
+            for piece in _WORD.findall(word.lower()):
+                ids += [t.id for t in tokenize(piece if piece.isascii() else piece.translate(_BYTES))]
+            sizes.append(len(ids) - before)
         self.fresh = []
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        ids = np.array(self.tokenizer.encode(" ".join([x for one in pieces for x in one]), add_special_tokens=False).ids, np.uint16)
-        borders = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
-        if len(borders) != counts.sum() + 1:
-            raise ValueError("the vocabulary doesn't mark the ends of words")
-        cut = np.concatenate([[0], np.cumsum(counts)])
+        ids, sizes = np.array(ids, np.uint16), np.array(sizes, np.int32)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.begin = np.concatenate([self.begin, self.used + borders[cut[:-1]]])
-        self.size = np.concatenate([self.size, np.diff(borders[cut])])
+        self.begin = np.concatenate([self.begin, (self.used + np.cumsum(sizes) - sizes).astype(np.int32)])
+        self.size = np.concatenate([self.size, sizes])
         self.used += len(ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -76,7 +88,7 @@ class WordTokens(dict):
         words = pc.ascii_split_whitespace(pa.array([x if p else "" for x, p in zip(texts, plain, strict=True)], pa.large_string()))
         counts = pc.list_value_length(words).to_numpy()
         coded = words.flatten().dictionary_encode()
-        of = np.fromiter(map(self.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        of = np.fromiter(map(self.__getitem__, coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))
         if self.fresh:
             self._learn()
         at = of[coded.indices.to_numpy()]
