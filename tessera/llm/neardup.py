@@ -3,8 +3,10 @@
 A text's shingles are its 5-word runs, each labelled with how many equal ones came before. Each of several hash
 functions picks the few least shingles; their text order is kept, so that a bucket holds texts that share shingles in
 the same order. Texts of a bucket are compared with the bucket's least document (a star, not all pairs). Where that
-leaves a bucket in more than one class, its texts are dealt anew by longer picks of other hash functions, and what is
-still open then is compared pair by pair. Classes are the connected components of the links.
+leaves a bucket in more than one class, its other texts are open: an exact join finds the pairs among them that can
+still be similar. It rests on prefixes: with shingles in one global order, rare ones first, two similar texts share
+one among their first few. Members of large groups of copies differ in rare shingles, so that few pairs arise, and
+none within a class. Classes are the connected components of the links.
 
 A comparison aligns the shingles of two texts within a band as wide as a similarity of 0.8 allows; the similarity is
 the number of aligned shingles over the number of different shingles in either text.
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from .common import Words, checkpointed, chunks, hash64, id_back, id_key, mix
 
 WORDS, SIMILARITY = 5, 0.8
-#: (hash functions, shingles that each picks): a pair of similarity 0.8 shares no bucket with probability 1e-5 each.
-FIRST, SECOND = (16, 3), (40, 6)
+#: Hash functions, and shingles that each picks: a pair of similarity 0.8 shares no bucket with probability 1e-5.
+PICKS = (16, 3)
+#: Cells of the table of approximate shingle counts, and the ratio of neighbouring classes of size.
+CELLS, STEP = 1 << 18, 1.1
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -216,7 +220,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(id_key().alias("doc"), F.xxhash64(text).alias("row"), text.cast("binary").alias("text"))
-    sketched = checkpointed(sketches(keyed, *FIRST))
+    sketched = checkpointed(sketches(keyed, *PICKS))
     first = sketched.groupBy("c1", "c2").agg(F.min("doc").alias("a"))
     copies = sketched.select("doc", "c1", "c2").join(first, ["c1", "c2"]).where("doc <> a").select("a", F.col("doc").alias("b"))
     # Of copies, the least document stands for all.
@@ -229,37 +233,90 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     links = checkpointed(linked(stars, sequences, least).unionAll(copies))
     roots = components(links)
 
-    rest = checkpointed(_open(members.select("bucket", "doc").distinct(), roots).select("doc").distinct())
+    rest = checkpointed(_open(members.select("bucket", "doc").distinct(), roots).select("doc", "root").distinct())
     if rest.limit(1).count():
-        deeper = checkpointed(_deeper(sequences.join(rest, "doc", "left_semi")).distinct())
-        links = checkpointed(links.unionAll(linked(checkpointed(_stars(deeper)), sequences, least)))
+        pairs = checkpointed(_prefix_pairs(checkpointed(sequences.join(rest, "doc")), least))
+        links = links.unionAll(linked(pairs, sequences, least))
         roots = components(links)
-        still = checkpointed(_open(deeper, roots))
-        if still.limit(1).count():
-            other = still.select("bucket", F.col("doc").alias("b"), F.col("root").alias("of"))
-            pairs = still.join(other, "bucket").where("doc < b and root <> of").select(F.col("doc").alias("a"), "b").distinct()
-            links = links.unionAll(linked(checkpointed(pairs), sequences, least))
-            roots = components(links)
 
     out = docs.select(id_key().alias("doc")).join(roots, "doc", "left").select("doc", F.coalesce("root", "doc").alias("root"))
     sizes = out.groupBy("root").agg(F.count("*").alias("n_docs"))
     return out.join(sizes, "root").select(id_back("doc").alias("doc_id"), id_back("root").alias("class_id"), "n_docs")
 
 
-def _deeper(sequences: DataFrame) -> DataFrame:
-    """bucket, doc by longer picks of other hash functions."""
+def _cells(grams: np.ndarray) -> np.ndarray:
+    return grams >> np.uint32(32 - CELLS.bit_length() + 1)
+
+
+def _counts(texts: DataFrame) -> np.ndarray:
+    """About how many texts have the shingles of each of CELLS cells, a table of fixed size.
+
+    Any table gives a right order of shingles; a good one makes few pairs. So cells that a task sees once are left out.
+    """
+
+    def run(batches):
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for grams in batch["grams"].to_pylist():
+                total += np.bincount(_cells(np.unique(np.frombuffer(grams, "<u4"))), minlength=CELLS)
+        at = np.flatnonzero(total > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    got = texts.select("grams").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[got["cell"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def _class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(n) / np.log(STEP) + 1e-9).astype(np.int64)
+
+
+def _prefixes(texts: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
+    """key (of shingle and class of size), larger, doc, root, n and rank: the shingles of each text's prefix.
+
+    Of two texts with x <= y shingles that are similar, the first x - t + 1 and y - t + 1 share one, if t is the number
+    that they share at least, (x + y) least / (1 + least). A text stands in its own class as the smaller one, and as
+    the larger one in the classes that a shingle's rank admits.
+    """
+    part = least / (1 + least)
 
     def run(batches):
         for batch in batches:
-            docs, buckets = [], []
-            for doc, grams in zip(batch["doc"].to_pylist(), batch["grams"].to_pylist(), strict=True):
-                got = picks(mix(np.frombuffer(grams, "<u4").astype(np.uint64)), *SECOND, 2)
-                docs.append(np.full(len(got), doc, np.int64))
-                buckets.append(got.view(np.int64))
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), pa.array(np.concatenate(docs))], ["bucket", "doc"])
-
-    return sequences.select("doc", "grams").mapInArrow(run, "bucket long, doc long")
+            out = []
+            for doc, root, blob in zip(batch["doc"].to_pylist(), batch["root"].to_pylist(), batch["grams"].to_pylist(), strict=True):
+                grams = np.unique(np.frombuffer(blob, "<u4"))
+                grams = grams[np.lexsort((grams, counts[_cells(grams)]))].astype(np.uint64)
+                n = len(grams)
+                if not n:
+                    continue
+                own = n - int(np.ceil(2 * part * n - 1e-9)) + 1
+                low = int(np.ceil(least * n - 1e-9))
+                rank = np.arange(1, n + 1)
+                top = np.minimum(n, np.floor((n - rank + 1) / part - n + 1e-9)).astype(np.int64)
+                rank, top = rank[top >= low], top[top >= low]
+                each = _class(top) - _class(low) + 1
+                at = np.repeat(rank, each)
+                classes = _class(low) + np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)
+                classes = np.concatenate([np.full(own, _class(n)), classes])
+                at = np.concatenate([np.arange(1, own + 1), at])
+                keys = mix(grams[at - 1] << np.uint64(20) | classes.astype(np.uint64)).view(np.int64)
+                out.append([keys, np.arange(len(at)) >= own, np.full(len(at), doc), np.full(len(at), root), np.full(len(at), n), at])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "larger", "doc", "root", "n", "rank"])
+
+    return texts.select("doc", "root", "grams").mapInArrow(run, "key long, larger boolean, doc long, root long, n long, rank long")
+
+
+def _prefix_pairs(texts: DataFrame, least: float) -> DataFrame:
+    """a, b: all pairs of texts (doc, root, grams) of different roots that can be similar."""
+    rows = checkpointed(_prefixes(texts, _counts(texts), least))
+    x = rows.where("not larger").select("key", F.col("doc").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("rank").alias("i"))
+    y = rows.where("larger").select("key", F.col("doc").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("rank").alias("j"))
+    shared = F.ceil((F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9)
+    good = ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") >= F.col("nb") * least - 1e-9)
+    good = good & (F.col("ra") != F.col("rb")) & (F.col("i") <= F.col("na") - shared + 1) & (F.col("j") <= F.col("nb") - shared + 1)
+    return x.join(y, "key").where(good).select("a", "b").distinct()
 
 
 def clean(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
