@@ -40,8 +40,8 @@ def error_bars(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
 def paired_difference(runs: DataFrame, keys: list[str], pair: str, method: str, error: str, base: str) -> DataFrame:
     """Of each other method: pairs, mean and deviation of the base method's error minus its own, and the t-interval."""
     left = runs.where(F.col(method) == base).select(*keys, pair, F.col(error).alias("__base"))
-    both = runs.where(F.col(method) != base).join(left, [*keys, pair]).withColumn("d", F.col("__base") - F.col(error))
-    got = both.groupBy(*keys, method).agg(F.count("*").alias("pairs"), F.avg("d").alias("mean_difference"), F.coalesce(F.stddev_samp("d"), F.lit(0.0)).alias("sd_difference"))
+    both = runs.where(F.col(method) != base).join(left, [*keys, pair]).withColumn("__d", F.col("__base") - F.col(error))
+    got = both.groupBy(*keys, method).agg(F.count("*").alias("pairs"), F.avg("__d").alias("mean_difference"), F.coalesce(F.stddev_samp("__d"), F.lit(0.0)).alias("sd_difference"))
     half = F.coalesce(t_score(F.col("pairs")) * F.col("sd_difference") / F.sqrt("pairs"), F.lit(0.0))
     return got.withColumns({"low": F.col("mean_difference") - half, "high": F.col("mean_difference") + half})
 
