@@ -494,9 +494,9 @@ def _sweep(f: float) -> str:
     return f"({u}) UNION ALL ({o})"
 
 
-@query(f"SELECT fraction, method, sampled, round(estimate, 6) AS estimate, round(exact, 6) AS exact, round(100 * abs(estimate - exact) / abs(exact), 6) AS loss FROM ({_sweep(0.1)} UNION ALL {_sweep(0.4)})")
+@query(f"SELECT fraction, method, sampled, round(estimate, 9) AS estimate, round(exact, 9) AS exact, round(100 * abs(estimate - exact) / abs(exact), 9) AS loss FROM ({_sweep(0.1)} UNION ALL {_sweep(0.4)})")
 def fraction_sweep(spark, sf_dir):
-    return rounded(experiments.fraction_sweep(events(spark, sf_dir), "event_type", "value", "event_id", [0.1, 0.4], SEED), 6)
+    return rounded(experiments.fraction_sweep(events(spark, sf_dir), "event_type", "value", "event_id", [0.1, 0.4], SEED), 9)
 
 
 @query()

@@ -107,7 +107,7 @@ def adaptive_sampler(df: DataFrame, stratum: str, value: str, ids: list[str], bu
                 d = float(v) - x["m"]
                 x["m"] += alpha * d
                 x["s"] = (1 - alpha) * (x["s"] + alpha * d * d)
-                x["pool"].append((float(p), float(v)))
+                x["pool"].append([float(p), float(v)])
                 if len(x["pool"]) > 2 * budget:
                     x["pool"] = sorted(x["pool"], reverse=True)[:budget]
                 if x["n"] == 1 or held["seen"] - held["last"] >= interval:
