@@ -43,6 +43,8 @@ TEMPLATES = (
 #: ends of its sentences, or a whole licence file.
 ANCHORS = "licen[cs]|spdx|copyright|permission|redistribut|public domain|free software|software foundation"
 SIMILARITY = 0.75
+#: Folders with a licence to inherit that may be broadcast, after counting them.
+FOLDERS = 100_000
 #: Names of licence files, without extension, in either case.
 FILES = "(licen[cs]e|copying|unlicense|notice)([-_.].*)?"
 _APART = "[^a-z0-9.]+|[.](?![0-9])"
@@ -122,7 +124,9 @@ def scan(files: DataFrame, least: float = SIMILARITY) -> DataFrame:
     )
     folders = base.select("folder").distinct().select("folder", F.posexplode(chain).alias("far", "above"))
     nearest = folders.join(declared, "above").groupBy("folder").agg(F.min(F.struct("far", "above", "given")).alias("near"))
-    out = base.join(nearest, "folder", "left")
+    # Folders are few against files. If they are so for sure, no file is moved, however many stand in one folder.
+    nearest = checkpointed(nearest)
+    out = base.join(F.broadcast(nearest) if nearest.limit(FOLDERS + 1).count() <= FOLDERS else nearest, "folder", "left")
     return out.select(
         id_back("doc").alias("doc_id"), "path", "own", "cosine", F.coalesce("own", "near.given").alias("licence"),
         F.when(F.col("own").isNotNull(), "own").when(F.col("near").isNotNull(), F.concat(F.lit("/"), "near.above")).alias("origin"),
