@@ -13,7 +13,7 @@ from tessera.functions import stats
 from tessera.functions.priority import priority
 from tessera.functions.shared import checkpointed, positioned
 from tessera.operators import adaptive, allocation, control, estimates, exact, experiments, sampling, windows
-from tessera.sources import sensors, synthetic
+from tessera.sources import replay, sensors, synthetic
 from tessera.streaming import pools, stateful
 from tessera.streaming import windows as stream_windows
 
@@ -664,6 +664,62 @@ def stream_adaptive_sampler(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out")
 
 
+@query("SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS rows, min(event_id) AS first_seq FROM events GROUP BY 1")
+def archive_by_day(spark, sf_dir):
+    """Events written as an archive by day, and read back."""
+    folder = _shared(spark)
+    e = events(spark, sf_dir).select(F.col("event_id").alias("seq"), F.col("ts").alias("event_ts"), (F.col("user_id") % 54 + 1).cast("short").alias("mote_id"), F.col("value").alias("temperature"))
+    for f in sensors.ARCHIVE:
+        if f.name not in e.columns:
+            e = e.withColumn(f.name, F.lit(None).cast(f.dataType))
+    sensors.write_archive(e.select(*[f.name for f in sensors.ARCHIVE]), f"{folder}/archive")
+    return sensors.read_archive(spark, f"{folder}/archive").groupBy("date").agg(F.count("*").alias("rows"), F.min("seq").alias("first_seq"))
+
+
+@query("SELECT CASE WHEN event_id % 40 < 30 THEN 2000.0::DOUBLE ELSE 10000.0::DOUBLE END AS rate, count(*) AS rows FROM events GROUP BY 1")
+def replay_rates(spark, sf_dir):
+    schedule = replay.RateSchedule("2000:30,10000:10")
+    return events(spark, sf_dir).select(schedule.column(F.col("event_id").cast("double")).alias("rate")).groupBy("rate").agg(F.count("*").alias("rows"))
+
+
+@query("SELECT count(DISTINCT event_id + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END) AS rows FROM events")
+def stream_dedup(spark, sf_dir):
+    """Rows of a stream with repeated sequence numbers, once each."""
+    folder = _shared(spark)
+    seq = (F.col("event_id") + F.when(F.col("event_id") % 97 == 0, 1).otherwise(0)).alias("seq")
+    rows = stream_windows.timed(_stream(spark, sf_dir).select(seq, "ts"), "ts", "event", "3650 days")
+    stream_windows.replay(stream_windows.deduplicated(rows, "seq"), lambda df, i: df.write.mode("append").parquet(f"{folder}/out"), f"{folder}/offsets", "append")
+    return spark.read.parquet(f"{folder}/out").agg(F.count("*").alias("rows"))
+
+
+@query()
+def stream_count_windows(spark, sf_dir):
+    folder = _shared(spark)
+    got = stateful.count_windows(_stream(spark, sf_dir), "value", 700)
+    stream_windows.replay(got, lambda df, i: df.write.mode("append").parquet(f"{folder}/out"), f"{folder}/offsets", "append")
+    return spark.read.schema(got.schema).parquet(f"{folder}/out")
+
+
+@query()
+def capacity_feedback(spark, sf_dir):
+    """Capacities of daily windows, each set by the result of the one before."""
+    w = windows.windowed(events(spark, sf_dir), "ts", 86_400)
+    days = sorted(r.window_start for r in w.select("window_start").distinct().collect())
+    feedback = control.CapacityFeedback(control.AdaptiveController(0.05, 2, 100), 10)
+    for day in days[:10]:
+        got = windows.estimates(w.where(F.col("window_start") == day), "event_type", "value", "event_id", feedback.capacity, SEED).first()
+        feedback.closed({"window_start": day, "estimate": got["mean"], "standard_error": got.mean_variance**0.5})
+    return spark.createDataFrame(feedback.log, "window_start long, capacity int")
+
+
+@query()
+def flink_allocation(spark, sf_dir):
+    """The streaming job's variant of an allocation, from counts and followed variances."""
+    rows = adaptive.ema_variance(positioned(events(spark, sf_dir), "event_id"), "event_type", "position", "value", 0.01).collect()
+    got = adaptive.flink_allocation({r.stratum: r["count"] for r in rows}, {r.stratum: r.ema_variance for r in rows}, BUDGET)
+    return spark.createDataFrame(sorted(got.items()), "stratum string, capacity int")
+
+
 def _shared(spark: SparkSession) -> str:
     """A new folder that the driver and executors share."""
     checkpointed(spark.range(0))  # sets a folder where the session names none
