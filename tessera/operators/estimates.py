@@ -22,7 +22,8 @@ def stratum_stats(sample: Sample, value: ColumnLike) -> DataFrame:
         F.count("*").alias("y"), F.sum("v").alias("sampled_sum"), F.avg("v").alias("sampled_mean"), F.var_samp("v").alias("s2")
     )
     zero = F.lit(0.0)
-    return sample.strata.join(of, "stratum", "left").select(
+    of = of.withColumnRenamed("stratum", "__stratum")
+    return sample.strata.join(of, F.col("stratum").eqNullSafe(F.col("__stratum")), "left").select(
         "stratum", "total_seen", "capacity", "weight", F.coalesce("y", F.lit(0)).alias("y"),
         F.coalesce("sampled_sum", zero).alias("sampled_sum"), F.coalesce("sampled_mean", zero).alias("sampled_mean"),
         F.greatest(F.coalesce(F.when(F.col("y") > 1, F.col("s2")), zero), zero).alias("s2"),
@@ -61,7 +62,7 @@ def approx_count(sample: Sample, predicate: Column | None = None) -> DataFrame:
     """
     chosen = sample.rows if predicate is None else sample.rows.where(predicate)
     of = chosen.groupBy("stratum").agg(F.count("*").alias("n"))
-    both = sample.strata.join(of, "stratum", "left")
+    both = sample.strata.join(of.withColumnRenamed("stratum", "__stratum"), F.col("stratum").eqNullSafe(F.col("__stratum")), "left")
     return both.agg(F.coalesce(F.sum(F.col("weight") * F.coalesce("n", F.lit(0))), F.lit(0.0)).alias("count"))
 
 

@@ -137,7 +137,7 @@ def throughput_sweep(make: Callable[[int], DataFrame], sizes: list[int], stratum
         df.count()
         for name, plan in (
             ("scan", lambda df=df: df.groupBy(stratum).count()), ("uniform", lambda df=df: sampling.srs(df, ids, capacity)),
-            ("oasrs", lambda df=df: sampling.stratified(df, stratum, ids, capacity).rows),
+            ("oasrs", lambda df=df: sampling.stratified(df, stratum, ids, capacity, prune=True).rows),
         ):
             out.append(measured(name, n, lambda plan=plan: plan().write.format("noop").mode("overwrite").save()))
         df.unpersist()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.priority import priority
-from tessera.functions.shared import small
+from tessera.functions.shared import checkpointed, small
 
 Ids = str | list[str]
 
@@ -71,6 +71,32 @@ def srs_representation(sample: DataFrame, stratum: str | Column) -> DataFrame:
     return sample.groupBy(_stratum(stratum).alias("stratum")).agg(F.count("*").alias("sampled"))
 
 
+def _floor(total: Column, bound: int) -> Column:
+    """A priority that more than ``bound`` of ``total`` rows exceed, but for a chance of about 1e-9."""
+    share = F.lit(bound + 6 * bound**0.5 + 16) / total
+    return F.when(share >= 1, F.lit("")).otherwise(F.lower(F.lpad(F.hex(F.floor((1 - share) * float(1 << 52)).cast("long")), 13, "0")))
+
+
+def _large(df: DataFrame) -> bool:
+    """Whether Spark's plan expects more than a GB; it takes no job to tell."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 1 << 30
+
+
+def pruned_pool(df: DataFrame, stratum: str | Column, ids: Ids, bound: int, seed: int, counts: DataFrame) -> DataFrame:
+    """pool(), for large data: rows that can't be in it are left out by comparison before anything is sorted.
+
+    counts (stratum, total_seen) says from which priority on. Should a stratum get too few rows, nothing is left out.
+    The pool is written: its rows are bounded.
+    """
+    least = small(counts.select("stratum", F.least("total_seen", F.lit(bound).cast("long")).alias("__least"), _floor(F.col("total_seen"), bound).alias("__floor")))
+    keyed = df.withColumns({"stratum": _stratum(stratum), "priority": priority(seed, *_ids(ids))})
+    some = keyed.join(least.select("stratum", "__floor"), keyed["stratum"].eqNullSafe(least["stratum"]), "inner").drop(least["stratum"]).where("priority >= __floor").drop("__floor")
+    out = checkpointed(pool(some, "stratum", ids, bound, seed))
+    got = out.groupBy("stratum").agg(F.count("*").alias("n"))
+    short = least.join(got, least["stratum"].eqNullSafe(got["stratum"]), "left").where(F.coalesce("n", F.lit(0)) < F.col("__least"))
+    return pool(df, stratum, ids, bound, seed) if short.limit(1).count() else out
+
+
 def pool(df: DataFrame, stratum: str | Column, ids: Ids, bound: int, seed: int = 42) -> DataFrame:
     """The ``bound`` rows of largest priority of each stratum, with stratum, priority and rank.
 
@@ -95,7 +121,8 @@ def prefix(pooled: DataFrame, counts: DataFrame, capacities: DataFrame, default:
     known = known.withColumn("capacity", F.coalesce(F.col("capacity").cast("int"), F.lit(default or 0)))
     strata = known.withColumn("sample_size", F.least("total_seen", F.col("capacity").cast("long")))
     strata = strata.select("stratum", "total_seen", "capacity", "sample_size", *strata_columns(F.col("total_seen"), F.col("sample_size"), filled))
-    rows = pooled.join(small(strata.select("stratum", "capacity")), "stratum").where("rank <= capacity").drop("capacity", "rank")
+    dealt = small(strata.select(F.col("stratum").alias("__stratum"), F.col("capacity").alias("__capacity")))
+    rows = pooled.join(dealt, F.col("stratum").eqNullSafe(F.col("__stratum"))).where("rank <= __capacity").drop("__stratum", "__capacity", "rank")
     return Sample(strata, rows)
 
 
@@ -106,13 +133,20 @@ def stratified(
     capacity: int | None = None,
     capacities: DataFrame | Mapping[str, int] | Callable[[str], int] | None = None,
     seed: int = 42,
+    prune: bool | None = None,
 ) -> Sample:
     """A sample with a fixed capacity for each stratum; strata are whatever values df has.
 
     ``capacity`` holds for all, or for those that ``capacities`` leaves out: a table or mapping from stratum to
     capacity, or a function of a stratum's name. Capacities are at least 1.
+
+    prune: whether to count first and sort only rows that can be in the sample (see pruned_pool); by default if df is
+    large. The sample is the same.
     """
     counts = totals(df, stratum)
+    prune = _large(df) if prune is None else prune
+    if prune:
+        counts = checkpointed(counts)
     if callable(capacities):
         found = [r.stratum for r in counts.select("stratum").collect()]
         capacities = {s: capacities(s) for s in found}
@@ -130,7 +164,7 @@ def stratified(
         if capacity is None or capacity < 1:
             raise ValueError("capacity must be at least 1")
         bound = capacity
-    pooled = pool(df, stratum, ids, bound, seed)
+    pooled = pruned_pool(df, stratum, ids, bound, seed, counts) if prune else pool(df, stratum, ids, bound, seed)
     if capacities is None:
         strata = counts.withColumns({"capacity": F.lit(int(bound)), "sample_size": F.least("total_seen", F.lit(int(bound)).cast("long"))})
         strata = strata.select("stratum", "total_seen", "capacity", "sample_size", *strata_columns(F.col("total_seen"), F.col("sample_size")))

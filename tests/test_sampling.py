@@ -164,6 +164,8 @@ def test_nulls_empty_tables_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None, 2.0, "x"), (2, "a", None, "y"), (None, "a", 3.0, "z")], "id long, s string, v double, total_seen string")
     s = sampling.stratified(df, "s", "id", 5)
     assert s.rows.count() == 3
+    assert estimates.approx_count(s).first()[0] == 3 and estimates.approx_sum(s, "v").first()[0] == 5
+    assert sampling.stratified(df, "s", "id", 5, capacities={"a": 1}).rows.count() == 2
     empty = sampling.stratified(df.where("false"), "s", "id", 5)
     assert estimates.estimate_sum(empty, "v").first().estimate == 0 and estimates.approx_mean(empty, "v").first()[0] == 0
 
@@ -172,3 +174,15 @@ def test_estimates_of_several_fields(spark):
     df = stream(spark, a=[1] * 9, b=[5]).withColumn("w", F.col("v") * 2)
     got = {r.field: r.estimate for r in estimates.estimate_means(sampling.stratified(df, "s", "id", 3), ["v", "w"]).collect()}
     assert got == {"v": pytest.approx(1.4), "w": pytest.approx(2.8)}
+
+
+def test_pruning_changes_nothing(spark, monkeypatch):
+    df = spark.range(20_000).withColumn("s", F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 7 == 0, "b").otherwise("a"))
+    plain = sampling.stratified(df, "s", "id", 40, prune=False)
+    want = sorted(r.id for r in plain.rows.collect())
+    got = sampling.stratified(df, "s", "id", 40, prune=True)
+    assert sorted(r.id for r in got.rows.collect()) == want and got.rows.columns == plain.rows.columns
+    assert sorted(map(str, got.strata.collect())) == sorted(map(str, plain.strata.collect()))
+    monkeypatch.setattr(sampling, "_floor", lambda total, bound: F.lit("fff"))  # too few rows: the whole is taken
+    assert sorted(r.id for r in sampling.stratified(df, "s", "id", 40, prune=True).rows.collect()) == want
+    assert sampling.stratified(df.where("false"), "s", "id", 40, prune=True).rows.count() == 0
