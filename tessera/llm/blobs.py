@@ -36,3 +36,11 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out = np.repeat((starts - (np.cumsum(lengths) - lengths)).astype(starts.dtype), lengths)
     out += np.arange(total, dtype=starts.dtype)
     return out
+
+
+def split_by(block: np.ndarray):
+    """Each different number with the places where it stands."""
+    order = np.argsort(block, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+        if len(some):
+            yield int(block[some[0]]), some

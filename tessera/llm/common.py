@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,12 +69,35 @@ def chunks(texts: Iterable[str], most: int = CHUNK_CHARS) -> Iterator[list[str]]
         yield held
 
 
+#: What a worker process keeps from one task to the next of the same kind.
+KEPT: dict = {}
+
+
+def kept_for(kind: str) -> dict:
+    """KEPT for a kind of task; what other kinds have kept goes, and its memory back to the system."""
+    if KEPT.get("kind") != kind:
+        KEPT.clear()
+        KEPT["kind"] = kind
+        trimmed()
+    return KEPT
+
+
+def trimmed() -> None:
+    """Gives memory that this process no longer uses back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Words(dict):
     """Numbers words as they come and keeps ``width`` hashes of each; forgets all beyond ``limit`` words."""
 
     def __init__(self, rows_of, width: int, limit: int = 1 << 19):
         super().__init__()
-        self.rows_of, self.limit, self.rows = rows_of, limit, []
+        kept_for("words")
+        self.rows_of, self.limit = rows_of, limit
         self.store = np.zeros((1 << 12, width), np.uint64)
 
     def __missing__(self, word):

@@ -10,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blobs import ranges
 from .common import Words, chunks, hash64, held_out, mix
 
 #: Rows that a model is fitted on at most, and the longest text among them, in characters. Scoring has no limits.
-SAMPLE_ROWS, SAMPLE_CHARS = 8_000, 50_000
+SAMPLE_ROWS, SAMPLE_CHARS = 6_000, 50_000
+#: Characters whose features are held at once.
+CHUNK = 2_000_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _STEPS = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F], np.uint64)
 
@@ -31,9 +34,13 @@ def shape(word: str) -> str:
 STEMS = (4, 5, 6)
 
 
-def _word_rows(word: str) -> tuple[int, ...]:
+def _word_rows(word: str) -> tuple[int, int]:
+    return hash64(word.lower()), hash64("shape " + shape(word))
+
+
+def _stem_rows(word: str) -> tuple[int, ...]:
     low = word.lower()
-    return hash64(low), hash64("shape " + shape(word)), *(hash64(f"stem {low[:n]}") if len(low) >= n else 0 for n in STEMS)
+    return *_word_rows(word), *(hash64(f"stem {low[:n]}") if len(low) >= n else 0 for n in STEMS)
 
 
 def _grams(hashes: np.ndarray, docs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +62,11 @@ class Features:
 
     def __init__(self, bits: int, words=(1, 2), shapes=(), repeats: bool = False, stems: bool = False):
         self.bits, self.words, self.shapes, self.repeats, self.stems = bits, words, shapes, repeats, stems
-        self.vocabulary = Words(_word_rows, 2 + len(STEMS))
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the words that have been numbered so far."""
+        self.vocabulary = Words(_stem_rows, 2 + len(STEMS)) if self.stems else Words(_word_rows, 2)
 
     def __getstate__(self):
         return {"bits": self.bits, "words": self.words, "shapes": self.shapes, "repeats": self.repeats, "stems": self.stems}
@@ -73,7 +84,7 @@ class Features:
         if self.repeats and len(rows):
             same = np.flatnonzero((rows[1:, 0] == rows[:-1, 0]) & (docs[1:] == docs[:-1]))
             parts.append((np.full(len(same), 0x5851F42D4C957F2D, np.uint64), docs[same]))
-        for column in range(2, rows.shape[1]) if self.stems else ():
+        for column in range(2, rows.shape[1]):
             has = np.flatnonzero(rows[:, column])
             parts.append((rows[has, column], docs[has]))
         places = np.concatenate([p for p, _ in parts]) >> np.uint64(64 - self.bits)
@@ -133,15 +144,19 @@ class Logistic:
         def weight(at):
             return np.where(np.abs(z[at]) <= l1, 0, (np.sign(z[at]) * l1 - z[at]) / ((beta + np.sqrt(n[at])) / alpha + l2))
 
-        rows = [r for part in chunks(texts) for r in cls._rows(features, part)]
+        parts = [cls._rows(features, part) for part in chunks(texts, CHUNK)]
+        held, weights, sizes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32),) * 3
+        del parts
+        begins = np.cumsum(sizes) - sizes
         rng = np.random.default_rng(7)
-        for _ in range(epochs if len(rows) else 0):
-            order = rng.permutation(len(rows))
+        for _ in range(epochs if len(sizes) else 0):
+            order = rng.permutation(len(sizes))
             for start in range(0, len(order), batch):
                 some = order[start : start + batch]
-                places = np.concatenate([rows[i][0] for i in some] + [np.full(len(some), size)])
-                values = np.concatenate([rows[i][1] for i in some] + [np.ones(len(some))])
-                who = np.concatenate([np.full(len(rows[i][0]), k) for k, i in enumerate(some)] + [np.arange(len(some))])
+                at = ranges(begins[some], sizes[some])
+                places = np.concatenate([held[at], np.full(len(some), size)])
+                values = np.concatenate([weights[at], np.ones(len(some))])
+                who = np.concatenate([np.repeat(np.arange(len(some)), sizes[some]), np.arange(len(some))])
                 at, back = np.unique(places, return_inverse=True)
                 w = weight(at)
                 error = sigmoid(z0 + np.bincount(who, w[back] * values, len(some))) - y[some]
@@ -153,12 +168,12 @@ class Logistic:
 
     @staticmethod
     def _rows(features, texts):
+        """Places and values of all texts, one after another, and the number of them in each text."""
         places, docs, _ = features.of(texts)
         key, count = np.unique(docs << features.bits | places, return_counts=True)
+        doc = key >> features.bits
         totals = np.bincount(docs, minlength=len(texts))
-        ends = np.searchsorted(key, np.arange(1, len(texts)) << features.bits)
-        for at, c, total in zip(np.split(key & ((1 << features.bits) - 1), ends), np.split(count, ends), totals, strict=True):
-            yield at.astype(np.int32), (c / np.sqrt(max(total, 1))).astype(np.float32)
+        return (key & ((1 << features.bits) - 1)).astype(np.int32), (count / np.sqrt(totals[doc])).astype(np.float32), np.bincount(doc, minlength=len(texts))
 
     def score(self, texts: list[str]) -> np.ndarray:
         places, docs, _ = self.features.of(texts)
@@ -180,10 +195,11 @@ class FactorizationMachine:
     bias: float = 0.0
 
     @classmethod
-    def fit(cls, texts, y, features: Features, terms=4096, least=3, rank=8, epochs=20, rate=0.1, l1=2e-3, l2=1e-3, batch=64) -> FactorizationMachine:
-        """Adagrad on log loss, with soft thresholds on w, over the terms that go with the label most (by chi-square)."""
+    def fit(cls, texts, y, features: Features, terms=4096, least=3, rank=8, epochs=20, rate=0.1, l1=2e-3, l2=1e-3, batch=64, sure=16.0) -> FactorizationMachine:
+        """Adagrad on log loss, with soft thresholds on w, over the terms that go with the label most (by a
+        chi-square of more than ``sure``)."""
         parts, first = [], 0
-        for part in chunks(texts):
+        for part in chunks(texts, CHUNK):
             places, docs, _ = features.of(part)
             parts.append(np.unique((docs + first) << features.bits | places))
             first += len(part)
@@ -195,7 +211,7 @@ class FactorizationMachine:
         with np.errstate(divide="ignore", invalid="ignore"):
             chi = np.where(df >= least, (positive - df * share) ** 2 / (df * share * (1 - share)), 0)
         chosen = np.sort(np.argsort(-np.nan_to_num(chi), kind="stable")[:terms])
-        chosen = chosen[np.nan_to_num(chi[chosen]) > 4]
+        chosen = chosen[np.nan_to_num(chi[chosen]) > sure]
         number = np.full(size, -1)
         number[chosen] = np.arange(len(chosen))
         term, keep = number[place], number[place] >= 0
@@ -252,7 +268,7 @@ def score_texts(docs: DataFrame, model, threshold: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = [x or "" for x in batch["text"].to_pylist()]
-            scores = np.concatenate([model.score(part) for part in chunks(texts)]) if texts else np.zeros(0)
+            scores = np.concatenate([model.score(part) for part in chunks(texts, CHUNK)]) if texts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")

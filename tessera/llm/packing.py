@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, chunks, mix, partitions
+from .common import checkpointed, chunks, kept_for, mix, partitions
 from .tokens import default_path, word_tokens
 
 LENGTH, END = 2048, 1
@@ -194,6 +194,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     shards = int(max(1, min(partitions(docs.sparkSession), totals.ids // SHARD_TOKENS)))
 
     def run(batches):
+        kept_for("packing")
         packer = _Packer(TaskContext.get().partitionId(), weights, mean, length)
         press = zstandard.ZstdDecompressor()
         block, size = [], 0

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import chunks, held_out
-from .linear import SAMPLE_CHARS, SAMPLE_ROWS, Features, Logistic, sample, score_texts
+from .common import chunks, held_out, trimmed
+from .linear import CHUNK, SAMPLE_CHARS, SAMPLE_ROWS, Features, Logistic, sample, score_texts
 
 #: A document is kept from this score on.
 THRESHOLD = 0.3
@@ -19,7 +22,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
     Without labels every score is a half.
     """
     texts, y, _ = sample(docs, labels, "quality", rows, chars)
-    return Logistic.fit(texts, y, Features(18, words=(1, 2), shapes=(1, 2, 3), repeats=True))
+    model = Logistic.fit(texts, y, Features(18, words=(1, 2), shapes=(1, 2, 3), repeats=True))
+    texts.clear()
+    model.features.forget()
+    trimmed()
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, model: Logistic | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -36,10 +43,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, model: Logistic | None = None,
     """The rows of docs, with all their columns, whose text scores at least ``threshold``."""
     model = model or fit(docs, labels)
 
-    def run(batches):
-        for batch in batches:
-            texts = [x or "" for x in batch["text"].to_pylist()]
-            scores = np.concatenate([model.score(part) for part in chunks(texts)]) if texts else np.zeros(0)
-            yield batch.filter(pa.array(scores >= threshold))
+    @F.arrow_udf("double")
+    def scores(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            texts = [x or "" for x in part.to_pylist()]
+            yield pa.array(np.concatenate([model.score(x) for x in chunks(texts, CHUNK)]) if texts else np.zeros(0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(scores("text") >= threshold)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import pack, ranges, unpack
+from .blobs import pack, ranges, split_by, unpack
 from .common import Words, chunks, hash64, id_back, id_key, mix, partitions
 
 WINDOW = 13
@@ -113,7 +113,7 @@ def _parse(keyed: DataFrame, window: int, n: int) -> DataFrame:
                 block = (anchors % np.uint64(n)).astype(np.int64)
                 whole = (whole >> np.uint64(64 - 8 * _WINDOW_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_WINDOW_BYTES]
                 out = []
-                for b, some in _split(block, n):
+                for b, some in split_by(block):
                     sent, known = some[~repeated[some]], some[repeated[some]]
                     used, number = np.unique(doc[some], return_inverse=True)
                     number_of = dict(zip((False, True), (number[~repeated[some]], number[repeated[some]]), strict=True))
@@ -133,14 +133,6 @@ def _run_sums(x: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x * weight, np.cumsum(length) - length)
 
 
-def _split(block: np.ndarray, n: int):
-    order = np.argsort(block, kind="stable")
-    cut = np.flatnonzero(np.diff(block[order])) + 1
-    for some in np.split(order, cut):
-        if len(some):
-            yield int(block[some[0]]), some
-
-
 def _factor(parsed: DataFrame, n: int) -> DataFrame:
     """part, blob: places of windows that an earlier document has, by a part of the documents.
 
@@ -191,7 +183,7 @@ def _by_part(doc, start, length, ids, rows, n):
         return
     parts = (mix(ids[doc].astype(np.uint64)) % np.uint64(n)).astype(np.int64)
     out = []
-    for part, some in _split(parts, n):
+    for part, some in split_by(parts):
         used, number = np.unique(doc[some], return_inverse=True)
         order = np.lexsort((start[some], number))
         s, e, d = start[some][order], (start[some] + length[some])[order], number[order]

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .blobs import ranges
+from .common import kept_for
 
 #: Texts of these characters alone are cut into words here: their composed form is themselves, lower case goes letter
 #: by letter, and what is a letter, digit, mark or space is beyond doubt. Any other text goes to the tokenizer whole.
@@ -102,11 +103,9 @@ class WordTokens(dict):
         return out
 
 
-_KEPT: dict[str, WordTokens] = {}
-
-
 def word_tokens(path: str) -> WordTokens:
     """One for each vocabulary file and process, so that a worker's later tasks find the words of earlier ones."""
-    if path not in _KEPT:
-        _KEPT[path] = WordTokens(path)
-    return _KEPT[path]
+    kept = kept_for("tokens")
+    if path not in kept:
+        kept[path] = WordTokens(path)
+    return kept[path]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import held_out
+from .common import held_out, trimmed
 from .linear import SAMPLE_CHARS, SAMPLE_ROWS, FactorizationMachine, Features, prior, sample, score_texts
 
 THRESHOLD = 0.5
@@ -18,6 +18,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
     """
     texts, y, odds = sample(docs, labels, "toxic", rows, chars, balanced=True)
     model = FactorizationMachine.fit(texts, y, Features(18, words=(1,), stems=True))
+    texts.clear()
+    model.features.forget()
+    trimmed()
     model.bias += float(np.clip(odds - prior(y), -35, 35)) if len(y) else 0.0
     return model
 
