@@ -5,8 +5,9 @@ functions picks the few least shingles; their text order is kept, so that a buck
 the same order. Texts of a bucket are compared with the bucket's least document (a star, not all pairs). Where that
 leaves a bucket in more than one class, its other texts are open: an exact join finds the pairs among them that can
 still be similar. It rests on prefixes: with shingles in one global order, rare ones first, two similar texts share
-one among their first few. Members of large groups of copies differ in rare shingles, so that few pairs arise, and
-none within a class. Classes are the connected components of the links.
+one among their first few. Texts with such a shingle in common are again compared with one of them first, a few
+times, and pair by pair only where they are still in different classes. Members of large groups of copies differ in
+rare shingles, so that few pairs arise, and none within a class. Classes are the connected components of the links.
 
 A comparison aligns the shingles of two texts within a band as wide as a similarity of 0.8 allows; the similarity is
 the number of aligned shingles over the number of different shingles in either text.
@@ -22,13 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, chunks, hash64, id_back, id_key, mix
+from .blobs import pack, unpack
+from .common import Words, checkpointed, chunks, hash64, id_back, id_key, mix, trimmed
 
 WORDS, SIMILARITY = 5, 0.8
 #: Hash functions, and shingles that each picks: a pair of similarity 0.8 shares no bucket with probability 1e-5.
 PICKS = (16, 3)
-#: Cells of the table of approximate shingle counts, and the ratio of neighbouring classes of size.
-CELLS, STEP = 1 << 18, 1.1
+#: Cells of the table of shingle counts, parts that it is summed in, and the ratio of neighbouring classes of size.
+CELLS, PARTS, STEP = 1 << 18, 64, 1.1
+#: Turns of stars that join what is alike before the rest is compared pair by pair.
+ROUNDS = 2
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -178,22 +182,41 @@ def linked(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """doc, root: the least document that links (a, b) lead to, for all documents in links.
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """doc, root: the least document that links (a, b) lead to, for all documents in links, and in ``known``.
 
-    Each round gives a document the least root among its own and its neighbours', then the root of that root.
+    known: such a table for links that came before. In each round a document goes to its least neighbour, if that is
+    less than itself, and on to where that one goes, to the end; links are then between where their ends have gone, and
+    those within one place are done. So stars and chains take one round, and later rounds have few links.
     """
-    both = links.select("a", "b").where("a <> b")
-    both = checkpointed(both.unionAll(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "doc"))
-    while True:
-        of = both.join(roots.withColumnRenamed("doc", "b"), "b").groupBy("a").agg(F.min("root").alias("near")).withColumnRenamed("a", "doc")
-        step = roots.join(of, "doc").select("doc", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        jump = step.select(F.col("doc").alias("root"), F.col("root").alias("up"))
-        new = checkpointed(step.join(jump, "root", "left").select("doc", F.least("root", "up").alias("root"), "was"))
-        roots = new.select("doc", "root")
-        if not new.where("root <> was").limit(1).count():
-            return roots
+    ends = links.select("a").unionAll(links.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("doc"))
+    roots = ends.select("doc", F.col("doc").alias("root"))
+    if known is not None:
+        roots = known.unionByName(roots.join(known, "doc", "left_anti"))
+    roots = checkpointed(roots)
+    edges = links.select("a", "b").where("a <> b")
+    edges = checkpointed(_moved(edges, roots) if known is not None else edges.distinct())
+    while edges.limit(1).count():
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("doc"), F.least("a", "b").alias("root"))
+        step = checkpointed(step)
+        while True:  # to the end of each chain, twice as far each time
+            on = step.select(F.col("doc").alias("root"), F.col("root").alias("up"))
+            far = checkpointed(step.join(on, "root").select("doc", F.col("root").alias("was"), F.col("up").alias("root")))
+            step = far.select("doc", "root")
+            if not far.where("root <> was").limit(1).count():
+                break
+        edges = checkpointed(_moved(edges, step))
+        on = step.select(F.col("doc").alias("root"), F.col("root").alias("up"))
+        roots = checkpointed(roots.join(on, "root", "left").select("doc", F.coalesce("up", "root").alias("root")))
+    return roots
+
+
+def _moved(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links between the roots of their ends, each once, without those that have become one."""
+    a, b = (roots.select(F.col("doc").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    both = edges.join(a, "a").join(b, "b").where("ra <> rb")
+    return both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
 
 def _stars(members: DataFrame) -> DataFrame:
@@ -214,15 +237,22 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and n_docs (rows in the class) of every row of docs.
 
-    Words are split at ASCII white space. Texts with the same words are copies; so are all texts without words. Rows
+    A link needs a similarity of ``least`` over different shingles, and is found with the probability that the head of
+    this module gives if repetitions, which order MinHash counts, don't set the two texts apart. Words are split at
+    ASCII white space. Texts with the same words are copies; so are all texts without words. Rows
     that share a doc_id are one document, whose links are those of all its texts; a null id is the least id. Other
     columns are passed over. Empty docs give no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(id_key().alias("doc"), F.xxhash64(text).alias("row"), text.cast("binary").alias("text"))
+    trimmed()  # the driver has many small plans ahead
     sketched = checkpointed(sketches(keyed, *PICKS))
     first = sketched.groupBy("c1", "c2").agg(F.min("doc").alias("a"))
-    copies = sketched.select("doc", "c1", "c2").join(first, ["c1", "c2"]).where("doc <> a").select("a", F.col("doc").alias("b"))
+    copies = sketched.select("doc", "c1", "c2").join(first, ["c1", "c2"]).where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
+    several = sketched.groupBy("doc").agg(F.min("c1").alias("l1"), F.max("c1").alias("h1"), F.min("c2").alias("l2"), F.max("c2").alias("h2"))
+    several = several.where("l1 <> h1 or l2 <> h2").select(F.col("doc").alias("b"))
+    # A copy has the class of the document that it copies. Only ids with several texts need links to each of those.
+    copies = checkpointed(copies.join(several.withColumn("several", F.lit(True)), "b", "left"))
     # Of copies, the least document stands for all.
     own = sketched.join(first, ["c1", "c2"]).where("doc = a").select("doc", "row", "buckets")
     members = checkpointed(own.select("doc", "row", F.explode("buckets").alias("bucket")))
@@ -230,17 +260,27 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     asked = stars.select(F.col("a").alias("doc")).union(stars.select("b")).distinct()
     rows = own.select("doc", "row").join(asked, "doc", "left_semi").distinct()
     sequences = checkpointed(_sequences(keyed.join(rows.hint("shuffle_hash"), ["doc", "row"], "left_semi")))
-    links = checkpointed(linked(stars, sequences, least).unionAll(copies))
+    links = checkpointed(linked(stars, sequences, least).unionAll(copies.where("several").select("a", "b")))
     roots = components(links)
 
     rest = checkpointed(_open(members.select("bucket", "doc").distinct(), roots).select("doc", "root").distinct())
     if rest.limit(1).count():
-        pairs = checkpointed(_prefix_pairs(checkpointed(sequences.join(rest, "doc")), least))
-        links = links.unionAll(linked(pairs, sequences, least))
-        roots = components(links)
-
-    out = docs.select(id_key().alias("doc")).join(roots, "doc", "left").select("doc", F.coalesce("root", "doc").alias("root"))
-    sizes = out.groupBy("root").agg(F.count("*").alias("n_docs"))
+        texts = checkpointed(sequences.join(rest.select("doc"), "doc"))
+        rows = checkpointed(_prefixes(texts, _counts(texts), least))
+        for turn in range(ROUNDS):
+            found = checkpointed(linked(checkpointed(_prefix_stars(_rooted(rows, roots), least, turn)), sequences, least))
+            if not found.limit(1).count():
+                break
+            roots = components(found, roots)
+        pairs = checkpointed(_prefix_pairs(_rooted(rows, roots), least))
+        roots = components(checkpointed(linked(pairs, sequences, least)), roots)
+
+    stands = copies.where("several is null").select(F.col("b").alias("doc"), "a")
+    each = docs.select(id_key().alias("doc")).join(stands, "doc", "left").select("doc", F.coalesce("a", "doc").alias("stands"))
+    out = each.join(roots.withColumnRenamed("doc", "stands"), "stands", "left").select("doc", F.coalesce("root", "stands").alias("root"))
+    # Counted in shares first: the rows of a large class needn't meet.
+    shares = out.groupBy("root", F.pmod(F.hash("doc"), F.lit(64)).alias("share")).agg(F.count("*").alias("n"))
+    sizes = shares.groupBy("root").agg(F.sum("n").alias("n_docs"))
     return out.join(sizes, "root").select(id_back("doc").alias("doc_id"), id_back("root").alias("class_id"), "n_docs")
 
 
@@ -249,22 +289,32 @@ def _cells(grams: np.ndarray) -> np.ndarray:
 
 
 def _counts(texts: DataFrame) -> np.ndarray:
-    """About how many texts have the shingles of each of CELLS cells, a table of fixed size.
+    """How many texts have the shingles of each of CELLS cells: a table of fixed size, summed up in PARTS parts.
 
-    Any table gives a right order of shingles; a good one makes few pairs. So cells that a task sees once are left out.
+    Any table gives a right order of shingles; a good one makes few pairs.
     """
+    size = CELLS // PARTS
 
     def run(batches):
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for grams in batch["grams"].to_pylist():
-                total += np.bincount(_cells(np.unique(np.frombuffer(grams, "<u4"))), minlength=CELLS)
-        at = np.flatnonzero(total > 1)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+            cells = [_cells(np.unique(np.frombuffer(grams, "<u4"))) for grams in batch["grams"].to_pylist()]
+            total += np.bincount(np.concatenate(cells) if cells else np.zeros(0, np.int64), minlength=CELLS)
+        used = [p for p in range(PARTS) if total[p * size : (p + 1) * size].any()]
+        blobs = [pack([total[p * size : (p + 1) * size]]) for p in used]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+    def summed(batches):
+        total = {}
+        for batch in batches:
+            for part, blob in zip(batch["part"].to_pylist(), batch["blob"].to_pylist(), strict=True):
+                total[part] = total.get(part, 0) + unpack(blob)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([pack([x]) for x in total.values()], pa.binary())], ["part", "blob"])
 
-    got = texts.select("grams").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    schema = "part int, blob binary"
     out = np.zeros(CELLS, np.int64)
-    out[got["cell"].to_numpy()] = got["n"].to_numpy()
+    for r in texts.select("grams").mapInArrow(run, schema).repartitionById(PARTS, "part").mapInArrow(summed, schema).collect():  # PARTS rows at most
+        out[r.part * size : (r.part + 1) * size] = unpack(bytes(r.blob))[0]
     return out
 
 
@@ -273,7 +323,7 @@ def _class(n: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
-    """key (of shingle and class of size), larger, doc, root, n and rank: the shingles of each text's prefix.
+    """key (of shingle and class of size), larger, doc, n and rank: the shingles of each text's prefix.
 
     Of two texts with x <= y shingles that are similar, the first x - t + 1 and y - t + 1 share one, if t is the number
     that they share at least, (x + y) least / (1 + least). A text stands in its own class as the smaller one, and as
@@ -284,7 +334,7 @@ def _prefixes(texts: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for doc, root, blob in zip(batch["doc"].to_pylist(), batch["root"].to_pylist(), batch["grams"].to_pylist(), strict=True):
+            for doc, blob in zip(batch["doc"].to_pylist(), batch["grams"].to_pylist(), strict=True):
                 grams = np.unique(np.frombuffer(blob, "<u4"))
                 grams = grams[np.lexsort((grams, counts[_cells(grams)]))].astype(np.uint64)
                 n = len(grams)
@@ -301,21 +351,39 @@ def _prefixes(texts: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
                 classes = np.concatenate([np.full(own, _class(n)), classes])
                 at = np.concatenate([np.arange(1, own + 1), at])
                 keys = mix(grams[at - 1] << np.uint64(20) | classes.astype(np.uint64)).view(np.int64)
-                out.append([keys, np.arange(len(at)) >= own, np.full(len(at), doc), np.full(len(at), root), np.full(len(at), n), at])
+                out.append([keys, np.arange(len(at)) >= own, np.full(len(at), doc), np.full(len(at), n), at])
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "larger", "doc", "root", "n", "rank"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "larger", "doc", "n", "rank"])
+
+    return texts.select("doc", "grams").mapInArrow(run, "key long, larger boolean, doc long, n long, rank long")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with the root that their document has by now."""
+    return rows.join(roots, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+
+
+def _can(na, i, nb, j, least: float):
+    """Whether shingles of rank i and j of texts with na <= nb shingles lie in the prefixes of a similar pair."""
+    shared = F.ceil((na + nb) * (least / (1 + least)) - 1e-9)
+    return (na >= nb * least - 1e-9) & (i <= na - shared + 1) & (j <= nb - shared + 1)
+
 
-    return texts.select("doc", "root", "grams").mapInArrow(run, "key long, larger boolean, doc long, root long, n long, rank long")
+def _prefix_stars(rows: DataFrame, least: float, turn: int) -> DataFrame:
+    """a, b: texts that can be similar to a text that stands for their key, another one each turn."""
+    heads = rows.groupBy("key").agg(F.min_by(F.struct("doc", "root", "n", "rank"), F.xxhash64("doc", "key", F.lit(turn))).alias("h"), F.min("root").alias("low"), F.max("root").alias("high"))
+    heads = heads.where("low < high").select("key", F.col("h.doc").alias("head"), F.col("h.root").alias("of"), F.col("h.n").alias("m"), F.col("h.rank").alias("k"))
+    n, rank, m, k = (F.col(c) for c in ("n", "rank", "m", "k"))
+    good = F.when(n < m, _can(n, rank, m, k, least)).otherwise(_can(m, k, n, rank, least)) & (F.col("root") != F.col("of"))
+    return rows.join(heads, "key").where(good).select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
 
 
-def _prefix_pairs(texts: DataFrame, least: float) -> DataFrame:
-    """a, b: all pairs of texts (doc, root, grams) of different roots that can be similar."""
-    rows = checkpointed(_prefixes(texts, _counts(texts), least))
+def _prefix_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """a, b: all pairs of texts of different roots that can be similar."""
     x = rows.where("not larger").select("key", F.col("doc").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("rank").alias("i"))
     y = rows.where("larger").select("key", F.col("doc").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("rank").alias("j"))
-    shared = F.ceil((F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9)
-    good = ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") >= F.col("nb") * least - 1e-9)
-    good = good & (F.col("ra") != F.col("rb")) & (F.col("i") <= F.col("na") - shared + 1) & (F.col("j") <= F.col("nb") - shared + 1)
+    na, i, nb, j = (F.col(c) for c in ("na", "i", "nb", "j"))
+    good = ((na < nb) | ((na == nb) & (F.col("a") < F.col("b")))) & (F.col("ra") != F.col("rb")) & _can(na, i, nb, j, least)
     return x.join(y, "key").where(good).select("a", "b").distinct()
 
 
