@@ -1,7 +1,7 @@
 """Cropped and edited copies among images, by local descriptors.
 
 Corners are found at several scales. Around each, binary tests on a blurred patch, turned by the patch's own direction,
-give 252 bits. Six tables of 42 bits each join descriptors of different images: two that differ in at most five bits
+give 464 bits. Eight tables of 58 bits each join descriptors of different images: two that differ in at most seven bits
 share a table's value for sure, and more distant ones often do. Matches of two images count if one turn, scale and
 shift explains several of them. Within a table's value, images are matched with the least one, not all with all.
 """
@@ -17,14 +17,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_back, id_key
+from .blobs import pack, ranges, split_by, unpack
+from .common import checkpointed, id_back, id_key, mix, partitions
 from .neardup import components
 
 #: Scales, corners of a scale, and pixels around a corner that its descriptor looks at.
 SCALES, CORNERS, RADIUS = (1.0, 2**-0.5, 0.5), 16, 12
-TABLES, BITS = 6, 42
+TABLES, BITS = 8, 58
 #: Matches that one transformation must explain, and by how many pixels it may miss.
-LEAST, MISS = 5, 4.0
+LEAST, MISS = 4, 4.0
+#: Nodes that a table value may have for all its pairs to be matched at once.
+SMALL = 2
 _TESTS = np.random.default_rng(42).uniform(-1, 1, (4 * TABLES * BITS, 2))
 _TESTS = (_TESTS[(_TESTS**2).sum(1) <= 1][: 2 * TABLES * BITS] * RADIUS).reshape(TABLES * BITS, 2, 2)
 _DISC = np.stack(np.meshgrid(np.arange(-7, 8), np.arange(-7, 8)), -1).reshape(-1, 2)
@@ -140,24 +143,87 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(codes)
 
 
-def descriptors(images: DataFrame) -> DataFrame:
-    """image, pixels (hash of size and grey values, null if there is no picture), places and codes of every row."""
+def descriptors(images: DataFrame, n: int) -> DataFrame:
+    """A row for each row of images: node, image, pixels (hash of size and grey values, null if there is no picture)
+    and places (32-bit numbers). And rows with a null node: block and blob, the table values of some nodes' corners."""
 
     def run(batches):
         for batch in batches:
+            values, owners, corners = [], [], []
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                hashes, places, codes = [], [], []
-                for blob in part["picture"].to_pylist():
+                hashes, places = [], []
+                for node, blob in zip(part["node"].to_pylist(), part["picture"].to_pylist(), strict=True):
                     x = decode(blob)
                     p, c = describe(x) if x is not None else (np.zeros((0, 4)), np.zeros((0, TABLES), np.int64))
                     hashes.append(None if x is None else xxhash.xxh3_128_hexdigest(np.ascontiguousarray(x).tobytes() + struct.pack("<qq", *x.shape)))
-                    places.append(p.astype(np.float32).ravel().tolist())
-                    codes.append(c.ravel().tolist())
-                columns = [part["image"], pa.array(hashes, pa.string()), pa.array(places, pa.list_(pa.float32())), pa.array(codes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["image", "pixels", "places", "codes"])
+                    places.append(p.astype("<f4").tobytes())
+                    values.append((c + (np.arange(TABLES) << BITS)).ravel())
+                    owners.append(np.full(c.size, node, np.int64))
+                    corners.append(np.repeat(np.arange(len(c)), TABLES))
+                nulls = pa.nulls(part.num_rows, pa.int32()), pa.nulls(part.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([part["node"], part["image"], pa.array(hashes, pa.string()), pa.array(places, pa.binary()), *nulls], _DESCRIBED)
+            bucket = np.concatenate(values).astype("<u8") if values else np.zeros(0, np.uint64)
+            if len(bucket):
+                owner, corner = np.concatenate(owners), np.concatenate(corners).astype("<u2")
+                out = []
+                for b, some in split_by((mix(bucket) % np.uint64(n)).astype(np.int64)):
+                    used, number = np.unique(owner[some], return_inverse=True)
+                    out.append((b, pack([bucket[some], used, number.astype("<u4"), corner[some]])))
+                nulls = pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.string()), pa.nulls(len(out), pa.binary())
+                yield pa.RecordBatch.from_arrays([*nulls, pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], _DESCRIBED)
 
-    return images.mapInArrow(run, "image long, pixels string, places array<float>, codes array<long>")
+    return images.mapInArrow(run, "node long, image long, pixels string, places binary, block int, blob binary")
+
+
+_DESCRIBED = ["node", "image", "pixels", "places", "block", "blob"]
+
+
+def shared_values(described: DataFrame, n: int) -> DataFrame:
+    """Of table values that several nodes have: a, b, i, j, corners of two nodes that match.
+
+    Values of up to SMALL nodes give all their pairs, a bounded number for each row; others give those with their least
+    node and, with a null a, their rows (bucket, b, j).
+    """
+
+    def run(batches):
+        blobs = [unpack(x) for batch in batches for x in batch["blob"].to_pylist()]
+        if not blobs:
+            return
+        bucket, corner = (np.concatenate([b[i] for b in blobs]) for i in (0, 3))
+        node = np.concatenate([b[1][b[2]] for b in blobs])
+        order = np.lexsort((corner, node, bucket))
+        bucket, node, corner = bucket[order], node[order], corner[order].astype(np.int32)
+        new = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+        other = ~new & np.concatenate([[False], node[1:] != node[:-1]])
+        run_of = np.cumsum(new) - 1
+        others = np.bincount(run_of, other)[run_of]
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        rest = np.flatnonzero((node != node[begin]) & (others >= SMALL))
+        heads = np.bincount(run_of, node == node[begin]).astype(np.int64)[run_of[rest]]
+        at = np.repeat(rest, heads)
+        first = ranges(begin[rest], heads)
+        yield from _rows(node[first], node[at], corner[first], corner[at], None)
+        few = np.flatnonzero((others > 0) & (others < SMALL))
+        shift = 1
+        while len(few):
+            few = few[few + shift < len(run_of)]
+            few = few[run_of[few] == run_of[few + shift]]
+            pair = few[node[few] != node[few + shift]]
+            yield from _rows(node[pair], node[pair + shift], corner[pair], corner[pair + shift], None)
+            shift += 1
+        open_ = np.flatnonzero(others >= SMALL)
+        yield from _rows(None, node[open_], None, corner[open_], bucket[open_].astype(np.int64))
+
+    return described.where("blob is not null").select("block", "blob").repartitionById(n, "block").mapInArrow(run, "a long, b long, i int, j int, bucket long")
+
+
+def _rows(a, b, i, j, bucket, most: int = 100_000):
+    for k in range(0, len(b), most):
+        part = [None if x is None else x[k : k + most] for x in (a, b, i, j, bucket)]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        columns = [pa.nulls(len(part[1]), t) if x is None else pa.array(x, t) for x, t in zip(part, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, ["a", "b", "i", "j", "bucket"])
 
 
 def explained(left: np.ndarray, right: np.ndarray) -> int:
@@ -176,72 +242,76 @@ def explained(left: np.ndarray, right: np.ndarray) -> int:
 
 
 def _consensus(matches: DataFrame, places: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) of images whose matches (i, j: numbers of corners) agree."""
+    """The pairs (a, b) of nodes whose matches (i, j: numbers of corners) agree."""
 
     def run(batches):
         for batch in batches:
             good = []
-            for pairs, left, right in zip(batch["pairs"].to_pylist(), batch["left"], batch["right"], strict=True):
+            for pairs, left, right in zip(batch["pairs"].to_pylist(), batch["left"].to_pylist(), batch["right"].to_pylist(), strict=True):
                 i, j = np.array([(p["i"], p["j"]) for p in pairs]).T
-                left, right = (np.array(x.as_py(), float).reshape(-1, 4) for x in (left, right))
+                left, right = (np.frombuffer(x, "<f4").reshape(-1, 4).astype(float) for x in (left, right))
                 good.append(explained(left[i], right[j]) >= least)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     # A pair has as many matches at most as its images have corners, times the tables.
     some = matches.groupBy("a", "b").agg(F.collect_set(F.struct("i", "j")).alias("pairs")).where(F.size("pairs") >= least)
-    left = places.select(F.col("image").alias("a"), F.col("places").alias("left"))
-    right = places.select(F.col("image").alias("b"), F.col("places").alias("right"))
+    left = places.select(F.col("node").alias("a"), F.col("places").alias("left"))
+    right = places.select(F.col("node").alias("b"), F.col("places").alias("right"))
     return some.join(right, "b").join(left, "a").select("a", "b", "pairs", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def _stars(rows: DataFrame, head) -> DataFrame:
-    """a, b, i, j: corners of an image with those of their bucket's first image, by ``head``."""
-    heads = rows.groupBy("bucket").agg(F.min(F.struct(head.alias("rank"), "image")).alias("head"), F.min("image").alias("low"), F.max("image").alias("high"))
-    heads = heads.where("low < high").select("bucket", F.col("head.image").alias("a"))
-    both = rows.join(heads, "bucket")
-    first = both.where("image = a").select("bucket", F.col("corner").alias("i"))
-    return both.where("image <> a").select("bucket", "a", F.col("image").alias("b"), F.col("corner").alias("j")).join(first, "bucket").select("a", "b", "i", "j")
+def _stars(rows: DataFrame, rank) -> DataFrame:
+    """a, b, i, j: corners of a node with those of its bucket's first node, by ``rank``."""
+    heads = rows.groupBy("bucket").agg(F.min_by("node", rank).alias("a"), F.min("node").alias("low"), F.max("node").alias("high"))
+    both = rows.join(heads.where("low < high").select("bucket", "a"), "bucket")
+    first = both.where("node = a").select("bucket", F.col("corner").alias("i"))
+    return both.where("node <> a").select("bucket", "a", F.col("node").alias("b"), F.col("corner").alias("j")).join(first, "bucket").select("a", "b", "i", "j")
 
 
-def copies(images: DataFrame, least: int = LEAST, rounds: int = 1) -> DataFrame:
+def copies(images: DataFrame, least: int = LEAST) -> DataFrame:
     """image_id, class_id (the least image_id of its class) and n_links of every row of images (image_id, picture).
 
-    n_links: links of a picture to pictures that differ from it; of each bucket, links with its first image are found,
-    and where buckets are still in several classes, those with the first image by another order, ``rounds`` times, and
-    at last those between all images of different classes. Equal pictures are one: they share class and links. What
-    isn't a picture has a class of its own. A null id is the least id; rows that share an id are one image with all
-    their pictures. Other columns are passed over. Empty images give no rows.
+    n_links: links of a picture to pictures that differ from it. Of each bucket, links with its first node are found;
+    where buckets are then still in several classes, those with the first node by another order; and at last those
+    between nodes of different classes. Equal pictures are one: they share class and links. What isn't a picture has a
+    class of its own. A null id is the least id; rows that share an id share a class. Other columns are passed over.
+    Empty images give no rows.
     """
-    keyed = images.select(id_key("image_id").alias("image"), F.col("picture").cast("binary").alias("picture"))
-    found = checkpointed(descriptors(keyed))
-    first = found.where("pixels is not null").groupBy("pixels").agg(F.min("image").alias("a"))
-    equal = found.select("image", "pixels").join(first, "pixels").select("a", F.col("image").alias("b"))
-    own = checkpointed(found.join(first, "pixels").where("image = a").dropDuplicates(["image", "pixels"]).select("image", "places", "codes"))
-    codes = own.select("image", F.posexplode("codes").alias("at", "code"))
-    table = F.col("at") % TABLES
-    rows = codes.select("image", F.floor(F.col("at") / TABLES).cast("int").alias("corner"), F.shiftleft(table.cast("long"), BITS).bitwiseOR(F.col("code")).alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("image").alias("low"), F.max("image").alias("high")).where("low < high").select("bucket")
-    rows = checkpointed(rows.join(shared, "bucket", "left_semi"))
-    links = checkpointed(_consensus(_stars(rows, F.col("image")), own, least))
-    same = equal.where("a <> b")
+    n = partitions(images.sparkSession)
+    picture = F.col("picture").cast("binary")
+    keyed = images.select(F.xxhash64("image_id", picture).alias("node"), id_key("image_id").alias("image"), picture.alias("picture"))
+    described = checkpointed(descriptors(keyed, n))
+    found = described.where("node is not null").select("node", "image", "pixels", "places")
+    first = found.where("pixels is not null").groupBy("pixels").agg(F.min("node").alias("a"))
+    equal = checkpointed(found.select("node", "pixels").join(first, "pixels").select("a", F.col("node").alias("b")).distinct())
+    own = found.join(equal.where("a = b").select(F.col("a").alias("node")), "node", "left_semi").select("node", "places").dropDuplicates(["node"])
+    # Of equal pictures the least node stands for all: also a value's least node does.
+    stands = equal.where("a = b").select("b")
+    shared = checkpointed(shared_values(described, n).join(stands, "b", "left_semi"))
+    matches = shared.where("a is not null").select("a", "b", "i", "j").join(stands.select(F.col("b").alias("a")), "a", "left_semi")
+    links = checkpointed(_consensus(matches, own, least))
+    rows = shared.where("a is null").select("bucket", F.col("b").alias("node"), F.col("j").alias("corner"))
+    ids = found.select("node", "image").distinct()
+    alike = ids.join(ids.groupBy("image").agg(F.min("node").alias("a")), "image").select("a", F.col("node").alias("b"))
+    same = equal.unionAll(alike).where("a <> b")
     roots = components(links.unionAll(same))
-    for turn in range(rounds + 1):
-        known = rows.join(roots.withColumnRenamed("doc", "image"), "image", "left").withColumn("root", F.coalesce("root", "image"))
+    for final in (False, True):
+        known = rows.join(roots.withColumnRenamed("doc", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
         still = checkpointed(known.join(mixed, "bucket", "left_semi"))
         if not still.limit(1).count():
             break
-        if turn < rounds:
-            matches = _stars(still.select("image", "corner", "bucket"), F.xxhash64("image", "bucket", F.lit(turn)))
+        if final:
+            other = still.select("bucket", F.col("node").alias("b"), F.col("corner").alias("j"), F.col("root").alias("of"))
+            matches = still.join(other, "bucket").where("node < b and root <> of").select(F.col("node").alias("a"), "b", F.col("corner").alias("i"), "j")
         else:
-            other = still.select("bucket", F.col("image").alias("b"), F.col("corner").alias("j"), F.col("root").alias("of"))
-            matches = still.join(other, "bucket").where("image < b and root <> of").select(F.col("image").alias("a"), "b", F.col("corner").alias("i"), "j")
+            matches = _stars(still.select("node", "corner", "bucket"), F.xxhash64("node", "bucket"))
         more = _consensus(matches, own, least)
         links = checkpointed(links.unionAll(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
         roots = components(links.unionAll(same))
-    ends = links.select(F.col("a").alias("image"), "b").unionAll(links.select(F.col("b").alias("image"), "a")).groupBy("image").agg(F.count("*").alias("n_links"))
-    picture = equal.select(F.col("b").alias("image"), F.col("a").alias("stands")).distinct()
-    per = picture.join(ends.withColumnRenamed("image", "stands"), "stands", "left").groupBy("image").agg(F.sum("n_links").alias("n_links"))
-    out = keyed.select("image").join(roots.withColumnRenamed("doc", "image"), "image", "left").join(per, "image", "left")
-    out = out.select(id_back("image").alias("image_id"), F.coalesce("root", "image").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return out.select("image_id", id_back("class").alias("class_id"), "n_links")
+    ends = links.select(F.col("a").alias("stands"), "b").unionAll(links.select(F.col("b").alias("stands"), "a")).groupBy("stands").agg(F.count("*").alias("n_links"))
+    per = equal.select(F.col("b").alias("node"), F.col("a").alias("stands")).join(ends, "stands").select("node", "n_links")
+    base = found.select("node", "image").join(roots.withColumnRenamed("doc", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = base.groupBy("root").agg(F.min("image").alias("class"))
+    out = base.join(names, "root").join(per, "node", "left")
+    return out.select(id_back("image").alias("image_id"), id_back("class").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

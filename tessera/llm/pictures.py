@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame
 from .common import hash64
 from .media import encode_png, resized
 
-SIDE, SIGNS = 112, 14
+SIDE, SIGNS, BLOCK = 112, 11, 4096
 
 
-def scene(vector: list[float] | None) -> int:
-    """A number for the signs of a vector's first values: rows with the same number show the same scene."""
+def scene(number: int, vector: list[float] | None) -> int:
+    """A number for a block of ids and the signs of a vector's first values: rows with the same one show the same scene.
+
+    Blocks keep the share of copies alike whatever the table's size, as in a media table that grows by new pictures.
+    """
     signs = "".join("+" if x is not None and x > 0 else "-" for x in ([] if vector is None else vector)[:SIGNS])
-    return hash64("scene " + signs)
+    return hash64(f"scene {number // BLOCK} {signs}")
 
 
 def draw(number: int, variant: int) -> np.ndarray:
@@ -40,7 +43,7 @@ def pictures(embeddings: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                drawn = [encode_png(draw(scene(v), i or 0)) for i, v in zip(part["vec_id"].to_pylist(), part["embedding"].to_pylist(), strict=True)]
+                drawn = [encode_png(draw(scene(i or 0, v), i or 0)) for i, v in zip(part["vec_id"].to_pylist(), part["embedding"].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part["vec_id"], pa.array(drawn, pa.binary())], ["image_id", "picture"])
 
     return embeddings.select("vec_id", "embedding").mapInArrow(run, "image_id long, picture binary")
