@@ -211,6 +211,13 @@ def test_image_copies(spark):
     assert links[0] >= 3 and links[101] == 0
 
 
+def test_scenes_depend_on_the_vector_alone(spark):
+    """However far their ids lie apart, and so that copies grow with the table."""
+    vector = [(-1.0) ** i * (i % 3 + 1) for i in range(64)]
+    df = spark.createDataFrame([(i * 5, vector) for i in (0, 1, 1000, 10**9)], "vec_id long, embedding array<double>")
+    assert len({r.picture for r in pictures.pictures(df).collect()}) == 1
+
+
 def test_turned_and_scaled_copies_agree():
     a = pictures.draw(5, 0).astype(float)
     for b in (np.rot90(a), media._blurred(a, 1)[::2, ::2], a[10:, 5:] * 0.7 + 10, np.random.default_rng(1).normal(a, 4)):
