@@ -3,7 +3,8 @@
 Corners are found at several scales. Around each, binary tests on a blurred patch, turned by the patch's own direction,
 give 252 bits. Six tables of 42 bits each join descriptors of different images: two that differ in at most five bits
 share a table's value for sure, and more distant ones often do. Matches of two images count if one turn, scale and
-shift explains several of them. Within a table's value, images are matched with the least one, not all with all.
+shift explains several of them. All different images of a table's value are matched with each other; matches move as
+blobs and are summed for each pair, so that rows are for images, not for pairs.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ SCALES, CORNERS, RADIUS = (1.0, 2**-0.5, 0.5), 16, 12
 TABLES, BITS = 6, 42
 #: Matches that one transformation must explain, and by how many pixels it may miss.
 LEAST, MISS = 5, 4.0
-#: Nodes that a table value may have for all its pairs to be matched at once.
-SMALL = 2
+#: Matches that are made at once.
+MATCHES = 1_000_000
 _TESTS = np.random.default_rng(42).uniform(-1, 1, (4 * TABLES * BITS, 2))
 _TESTS = (_TESTS[(_TESTS**2).sum(1) <= 1][: 2 * TABLES * BITS] * RADIUS).reshape(TABLES * BITS, 2, 2)
 _DISC = np.stack(np.meshgrid(np.arange(-7, 8), np.arange(-7, 8)), -1).reshape(-1, 2)
@@ -143,48 +144,75 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(codes)
 
 
-def descriptors(images: DataFrame, n: int) -> DataFrame:
-    """A row for each row of images: node, image, pixels (hash of size and grey values, null if there is no picture)
-    and places (32-bit numbers). And rows with a null node: block and blob, the table values of some nodes' corners."""
+def descriptors(images: DataFrame) -> DataFrame:
+    """node, image, pixels (hash of size and grey values, null if there is no picture), places (32-bit numbers) and codes
+    (the table values of one corner after another) of each row of images."""
 
     def run(batches):
         for batch in batches:
-            values, owners, corners = [], [], []
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                hashes, places = [], []
-                for node, blob in zip(part["node"].to_pylist(), part["picture"].to_pylist(), strict=True):
+                hashes, places, codes = [], [], []
+                for blob in part["picture"].to_pylist():
                     x = decode(blob)
                     p, c = describe(x) if x is not None else (np.zeros((0, 4)), np.zeros((0, TABLES), np.int64))
                     hashes.append(None if x is None else xxhash.xxh3_128_hexdigest(np.ascontiguousarray(x).tobytes() + struct.pack("<qq", *x.shape)))
                     places.append(p.astype("<f4").tobytes())
-                    values.append((c + (np.arange(TABLES) << BITS)).ravel())
-                    owners.append(np.full(c.size, node, np.int64))
-                    corners.append(np.repeat(np.arange(len(c)), TABLES))
-                nulls = pa.nulls(part.num_rows, pa.int32()), pa.nulls(part.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([part["node"], part["image"], pa.array(hashes, pa.string()), pa.array(places, pa.binary()), *nulls], _DESCRIBED)
-            bucket = np.concatenate(values).astype("<u8") if values else np.zeros(0, np.uint64)
-            if len(bucket):
-                owner, corner = np.concatenate(owners), np.concatenate(corners).astype("<u2")
-                out = []
-                for b, some in split_by((mix(bucket) % np.uint64(n)).astype(np.int64)):
-                    used, number = np.unique(owner[some], return_inverse=True)
-                    out.append((b, pack([bucket[some], used, number.astype("<u4"), corner[some]])))
-                nulls = pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.string()), pa.nulls(len(out), pa.binary())
-                yield pa.RecordBatch.from_arrays([*nulls, pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], _DESCRIBED)
+                    codes.append((c + (np.arange(TABLES) << BITS)).astype("<u8").tobytes())
+                columns = [part["node"], part["image"], pa.array(hashes, pa.string()), pa.array(places, pa.binary()), pa.array(codes, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "image", "pixels", "places", "codes"])
 
-    return images.mapInArrow(run, "node long, image long, pixels string, places binary, block int, blob binary")
+    return images.mapInArrow(run, "node long, image long, pixels string, places binary, codes binary")
 
 
-_DESCRIBED = ["node", "image", "pixels", "places", "block", "blob"]
+def _side(n: int) -> int:
+    """Groups of nodes whose pairs of groups make n blocks at most."""
+    return max(1, int(((8 * n + 1) ** 0.5 - 1) / 2))
 
 
-def shared_values(described: DataFrame, n: int) -> DataFrame:
-    """Of table values that several nodes have: a, b, i, j, corners of two nodes that match.
+def _group(node: np.ndarray, side: int) -> np.ndarray:
+    return (mix(node.astype("<i8").view(np.uint64)) % np.uint64(side)).astype(np.int64)
 
-    Values of up to SMALL nodes give all their pairs, a bounded number for each row; others give those with their least
-    node and, with a null a, their rows (bucket, b, j).
-    """
+
+def _pair_block(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    low, high = np.minimum(g, h), np.maximum(g, h)
+    return high * (high + 1) // 2 + low
+
+
+def _blobs(out: list, kind: int) -> pa.RecordBatch:
+    columns = pa.array([kind] * len(out), pa.int32()), pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())
+    return pa.RecordBatch.from_arrays(list(columns), ["kind", "block", "blob"])
+
+
+def _spread(own: DataFrame, n: int) -> DataFrame:
+    """Blobs of some nodes' table values, for n blocks of values (kind 0), and of their places, for blocks of pairs (kind 1)."""
+    side = _side(n)
+
+    def run(batches):
+        for batch in batches:
+            node = batch["node"].to_numpy(zero_copy_only=False).astype("<i8")
+            codes = [np.frombuffer(x, "<u8") for x in batch["codes"].to_pylist()]
+            places = [np.frombuffer(x, "<u4") for x in batch["places"].to_pylist()]
+            bucket = np.concatenate([np.zeros(0, "<u8"), *codes])
+            owner = np.repeat(node, [len(c) for c in codes])
+            corner = np.concatenate([np.zeros(0, "<u2"), *(np.arange(len(c)) // TABLES for c in codes)]).astype("<u2")
+            out = []
+            for b, some in split_by((mix(bucket) % np.uint64(n)).astype(np.int64)):
+                used, number = np.unique(owner[some], return_inverse=True)
+                out.append((b, pack([bucket[some], used, number.astype("<u4"), corner[some]])))
+            yield _blobs(out, 0)
+            out = []
+            for g, some in split_by(_group(node, side)):
+                blob = pack([node[some], np.array([len(places[k]) // 4 for k in some], "<u4"), np.concatenate([places[k] for k in some])])
+                out += [(int(b), blob) for b in _pair_block(np.full(side, g), np.arange(side))]
+            yield _blobs(out, 1)
+
+    return own.select("node", "places", "codes").mapInArrow(run, "kind int, block int, blob binary")
+
+
+def _matches(values: DataFrame, n: int) -> DataFrame:
+    """Blobs of all matches, corners of two nodes that have the same table value, by blocks of pairs of nodes."""
+    side = _side(n)
 
     def run(batches):
         blobs = [unpack(x) for batch in batches for x in batch["blob"].to_pylist()]
@@ -192,38 +220,81 @@ def shared_values(described: DataFrame, n: int) -> DataFrame:
             return
         bucket, corner = (np.concatenate([b[i] for b in blobs]) for i in (0, 3))
         node = np.concatenate([b[1][b[2]] for b in blobs])
+        del blobs
         order = np.lexsort((corner, node, bucket))
-        bucket, node, corner = bucket[order], node[order], corner[order].astype(np.int32)
-        new = np.concatenate([[True], bucket[1:] != bucket[:-1]])
-        other = ~new & np.concatenate([[False], node[1:] != node[:-1]])
-        run_of = np.cumsum(new) - 1
-        others = np.bincount(run_of, other)[run_of]
-        begin = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        rest = np.flatnonzero((node != node[begin]) & (others >= SMALL))
-        heads = np.bincount(run_of, node == node[begin]).astype(np.int64)[run_of[rest]]
-        at = np.repeat(rest, heads)
-        first = ranges(begin[rest], heads)
-        yield from _rows(node[first], node[at], corner[first], corner[at], None)
-        few = np.flatnonzero((others > 0) & (others < SMALL))
-        shift = 1
-        while len(few):
-            few = few[few + shift < len(run_of)]
-            few = few[run_of[few] == run_of[few + shift]]
-            pair = few[node[few] != node[few + shift]]
-            yield from _rows(node[pair], node[pair + shift], corner[pair], corner[pair + shift], None)
-            shift += 1
-        open_ = np.flatnonzero(others >= SMALL)
-        yield from _rows(None, node[open_], None, corner[open_], bucket[open_].astype(np.int64))
-
-    return described.where("blob is not null").select("block", "blob").repartitionById(n, "block").mapInArrow(run, "a long, b long, i int, j int, bucket long")
-
-
-def _rows(a, b, i, j, bucket, most: int = 100_000):
-    for k in range(0, len(b), most):
-        part = [None if x is None else x[k : k + most] for x in (a, b, i, j, bucket)]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-        columns = [pa.nulls(len(part[1]), t) if x is None else pa.array(x, t) for x, t in zip(part, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays(columns, ["a", "b", "i", "j", "bucket"])
+        bucket, node, corner = bucket[order], node[order], corner[order]
+        ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
+        # Each row meets the later ones of its value.
+        later = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(bucket)) - 1
+        rows = np.flatnonzero(later)
+        for some in np.split(rows, np.flatnonzero(np.diff(np.cumsum(later[rows]) // MATCHES)) + 1):
+            left, right = np.repeat(some, later[some]), ranges(some + 1, later[some])
+            differ = node[left] != node[right]
+            left, right = left[differ], right[differ]
+            out = []
+            for b, at in split_by(_pair_block(_group(node[left], side), _group(node[right], side))):
+                at = at[np.lexsort((node[right[at]], node[left[at]]))]
+                used, number = np.unique(np.concatenate([node[left[at]], node[right[at]]]), return_inverse=True)
+                number = number.astype("<u4")
+                out.append((b, pack([used, number[: len(at)], number[len(at) :], corner[left[at]], corner[right[at]]])))
+            yield _blobs(out, 2)
+
+    return values.repartitionById(n, "block").mapInArrow(run, "kind int, block int, blob binary")
+
+
+def _links(blobs: DataFrame, n: int, least: int) -> DataFrame:
+    """a, b, n_links: of each block of pairs, the nodes b that matches link, how many links they have there, and the least
+    node that these lead to. blobs: places and matches; a pair's matches of all table values are counted together."""
+
+    def run(batches):
+        places, matches = [], []
+        for batch in batches:
+            for kind, blob in zip(batch["kind"].to_pylist(), batch["blob"].to_pylist(), strict=True):
+                (places if kind == 1 else matches).append(unpack(blob))
+        if not matches:
+            return
+        nodes, sizes, flat = (np.concatenate([p[i] for p in places]) for i in range(3))
+        flat = flat.view("<f4").reshape(-1, 4)
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        order = np.argsort(nodes, kind="stable")
+        nodes, starts = nodes[order], starts[order]
+        a, b = (np.searchsorted(nodes, np.concatenate([m[0][m[i]] for m in matches])) for i in (1, 2))
+        i, j = (np.concatenate([m[k] for m in matches]).astype(np.int64) for k in (3, 4))
+        del places, matches
+        order = np.lexsort((j, i, b, a))
+        a, b, i, j = a[order], b[order], i[order], j[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        once = new | np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+        a, b, i, j, new = a[once], b[once], i[once], j[once], new[once]
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(new))
+        many = end - begin >= least
+        good = []
+        for s, e in zip(begin[many], end[many], strict=True):
+            left, right = flat[starts[a[s]] + i[s:e]].astype(float), flat[starts[b[s]] + j[s:e]].astype(float)
+            if explained(left, right) >= least:
+                good.append(s)
+        ends, number = np.unique(np.concatenate([a[good], b[good]]), return_inverse=True)
+        x, y = number[: len(good)], number[len(good) :]
+        root = _roots(x, y, len(ends))
+        for k in range(0, len(ends), 100_000):
+            part = slice(k, k + 100_000)
+            columns = [nodes[ends[root[part]]], nodes[ends[part]], np.bincount(number, minlength=len(ends))[part]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "n_links"])
+
+    return blobs.repartitionById(n, "block").mapInArrow(run, "a long, b long, n_links long")
+
+
+def _roots(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The least of 0..n-1 that links x, y lead to, for each."""
+    root = np.arange(n)
+    while (root[x] != root[y]).any():
+        low = np.minimum(root[x], root[y])
+        for ends in (x, y):
+            np.minimum.at(root, root[ends].copy(), low)
+        while (root != root[root]).any():
+            root = root[root]
+    return root
 
 
 def explained(left: np.ndarray, right: np.ndarray) -> int:
@@ -241,75 +312,29 @@ def explained(left: np.ndarray, right: np.ndarray) -> int:
     return best
 
 
-def _consensus(matches: DataFrame, places: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose matches (i, j: numbers of corners) agree."""
-
-    def run(batches):
-        for batch in batches:
-            good = []
-            for pairs, left, right in zip(batch["pairs"].to_pylist(), batch["left"].to_pylist(), batch["right"].to_pylist(), strict=True):
-                i, j = np.array([(p["i"], p["j"]) for p in pairs]).T
-                left, right = (np.frombuffer(x, "<f4").reshape(-1, 4).astype(float) for x in (left, right))
-                good.append(explained(left[i], right[j]) >= least)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    # A pair has as many matches at most as its images have corners, times the tables.
-    some = matches.groupBy("a", "b").agg(F.collect_set(F.struct("i", "j")).alias("pairs")).where(F.size("pairs") >= least)
-    left = places.select(F.col("node").alias("a"), F.col("places").alias("left"))
-    right = places.select(F.col("node").alias("b"), F.col("places").alias("right"))
-    return some.join(right, "b").join(left, "a").select("a", "b", "pairs", "left", "right").mapInArrow(run, "a long, b long")
-
-
-def _stars(rows: DataFrame, rank) -> DataFrame:
-    """a, b, i, j: corners of a node with those of its bucket's first node, by ``rank``."""
-    heads = rows.groupBy("bucket").agg(F.min_by("node", rank).alias("a"), F.min("node").alias("low"), F.max("node").alias("high"))
-    both = rows.join(heads.where("low < high").select("bucket", "a"), "bucket")
-    first = both.where("node = a").select("bucket", F.col("corner").alias("i"))
-    return both.where("node <> a").select("bucket", "a", F.col("node").alias("b"), F.col("corner").alias("j")).join(first, "bucket").select("a", "b", "i", "j")
-
-
 def copies(images: DataFrame, least: int = LEAST) -> DataFrame:
     """image_id, class_id (the least image_id of its class) and n_links of every row of images (image_id, picture).
 
-    n_links: links of a picture to pictures that differ from it. Of each bucket, links with its first node are found;
-    where buckets are then still in several classes, those with the first node by another order; and at last those
-    between nodes of different classes. Equal pictures are one: they share class and links. What isn't a picture has a
-    class of its own. A null id is the least id; rows that share an id share a class. Other columns are passed over.
-    Empty images give no rows.
+    n_links: links of a picture to all pictures that differ from it, whether or not others link them as well. Matches of
+    a pair are counted over all table values that both have. Equal pictures are one: they share class and links. What
+    isn't a picture has a class of its own. A null id is the least id; rows that share an id share a class. Other columns
+    are passed over. Empty images give no rows.
     """
     n = partitions(images.sparkSession)
     picture = F.col("picture").cast("binary")
     keyed = images.select(F.xxhash64("image_id", picture).alias("node"), id_key("image_id").alias("image"), picture.alias("picture"))
-    described = checkpointed(descriptors(keyed, n))
-    found = described.where("node is not null").select("node", "image", "pixels", "places")
+    found = checkpointed(descriptors(keyed))
     first = found.where("pixels is not null").groupBy("pixels").agg(F.min("node").alias("a"))
     equal = checkpointed(found.select("node", "pixels").join(first, "pixels").select("a", F.col("node").alias("b")).distinct())
-    own = found.join(equal.where("a = b").select(F.col("a").alias("node")), "node", "left_semi").select("node", "places").dropDuplicates(["node"])
-    # Of equal pictures the least node stands for all: also a value's least node does.
-    stands = equal.where("a = b").select("b")
-    shared = checkpointed(shared_values(described, n).join(stands, "b", "left_semi"))
-    matches = shared.where("a is not null").select("a", "b", "i", "j").join(stands.select(F.col("b").alias("a")), "a", "left_semi")
-    links = checkpointed(_consensus(matches, own, least))
-    rows = shared.where("a is null").select("bucket", F.col("b").alias("node"), F.col("j").alias("corner"))
+    # Of equal pictures the least node stands for all.
+    own = found.join(equal.where("a = b").select(F.col("a").alias("node")), "node", "left_semi").dropDuplicates(["node"])
+    blobs = checkpointed(_spread(own, n))
+    links = checkpointed(_links(_matches(blobs.where("kind = 0"), n).unionAll(blobs.where("kind = 1")), n, least))
     ids = found.select("node", "image").distinct()
     alike = ids.join(ids.groupBy("image").agg(F.min("node").alias("a")), "image").select("a", F.col("node").alias("b"))
     same = equal.unionAll(alike).where("a <> b")
-    roots = components(links.unionAll(same))
-    for final in (False, True):
-        known = rows.join(roots.withColumnRenamed("doc", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-        still = checkpointed(known.join(mixed, "bucket", "left_semi"))
-        if not still.limit(1).count():
-            break
-        if final:
-            other = still.select("bucket", F.col("node").alias("b"), F.col("corner").alias("j"), F.col("root").alias("of"))
-            matches = still.join(other, "bucket").where("node < b and root <> of").select(F.col("node").alias("a"), "b", F.col("corner").alias("i"), "j")
-        else:
-            matches = _stars(still.select("node", "corner", "bucket"), F.xxhash64("node", "bucket"))
-        more = _consensus(matches, own, least)
-        links = checkpointed(links.unionAll(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
-        roots = components(links.unionAll(same))
-    ends = links.select(F.col("a").alias("stands"), "b").unionAll(links.select(F.col("b").alias("stands"), "a")).groupBy("stands").agg(F.count("*").alias("n_links"))
+    roots = components(links.select("a", "b").unionAll(same))
+    ends = links.groupBy(F.col("b").alias("stands")).agg(F.sum("n_links").alias("n_links"))
     per = equal.select(F.col("b").alias("node"), F.col("a").alias("stands")).join(ends, "stands").select("node", "n_links")
     base = found.select("node", "image").join(roots.withColumnRenamed("doc", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = base.groupBy("root").agg(F.min("image").alias("class"))

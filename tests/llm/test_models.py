@@ -218,6 +218,23 @@ def test_scenes_depend_on_the_vector_alone(spark):
     assert len({r.picture for r in pictures.pictures(df).collect()}) == 1
 
 
+def test_copies_count_every_link(spark):
+    """Matches of a pair are counted over all table values, whoever else has them, and pairs of one class as well."""
+    drawn = {i: pictures.draw(2000 + i // 9, i % 9 if i % 9 < 5 else 5 * i + 1) for i in range(27)}
+    found = {i: media.describe(x.astype(float)) for i, x in drawn.items()}
+    want = dict.fromkeys(drawn, 0)
+    for a in drawn:
+        for b in range(a):
+            (pa, ca), (pb, cb) = found[a], found[b]
+            i, j = np.nonzero((ca[:, None] == cb).any(-1))
+            if len(i) and not np.array_equal(drawn[a], drawn[b]) and media.explained(pa[i], pb[j]) >= media.LEAST:
+                want[a] += 1
+                want[b] += 1
+    df = spark.createDataFrame([(i, media.encode_png(x)) for i, x in drawn.items()], "image_id long, picture binary")
+    assert {r.image_id: r.n_links for r in media.copies(df.repartition(3)).collect()} == want
+    assert max(want.values()) == 8
+
+
 def test_turned_and_scaled_copies_agree():
     a = pictures.draw(5, 0).astype(float)
     for b in (np.rot90(a), media._blurred(a, 1)[::2, ::2], a[10:, 5:] * 0.7 + 10, np.random.default_rng(1).normal(a, 4)):
