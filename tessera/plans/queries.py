@@ -418,6 +418,13 @@ def ema_variance(spark, sf_dir):
     return got.select("stratum", "count", F.round("ema_mean", 6).alias("ema_mean"), F.round("ema_variance", 4).alias("ema_variance"))
 
 
+@query()
+def ema_variance_all_events(spark, sf_dir):
+    """ema_variance's SQL goes row by row and so covers some users only; this is all of the table."""
+    got = adaptive.ema_variance(positioned(events(spark, sf_dir), "event_id"), "event_type", "position", "value", 0.01)
+    return got.select("stratum", "count", F.round("ema_mean", 6).alias("ema_mean"), F.round("ema_variance", 4).alias("ema_variance"))
+
+
 @query(f"SELECT stratum, event_id, rank FROM (SELECT event_type AS stratum, event_id, row_number() OVER (PARTITION BY event_type ORDER BY {sql.priority(SEED, 'event_id')} DESC, event_id) AS rank FROM events) WHERE rank <= {BUDGET}")
 def dv_pool(spark, sf_dir):
     got = sampling.pool(events(spark, sf_dir), "event_type", "event_id", BUDGET, SEED)
@@ -706,7 +713,7 @@ def capacity_feedback(spark, sf_dir):
     w = windows.windowed(events(spark, sf_dir), "ts", 86_400)
     days = sorted(r.window_start for r in w.select("window_start").distinct().collect())
     feedback = control.CapacityFeedback(control.AdaptiveController(0.05, 2, 100), 10)
-    for day in days[:10]:
+    for day in days:
         got = windows.estimates(w.where(F.col("window_start") == day), "event_type", "value", "event_id", feedback.capacity, SEED).first()
         feedback.closed({"window_start": day, "estimate": got["mean"], "standard_error": got.mean_variance**0.5})
     return spark.createDataFrame(feedback.log, "window_start long, capacity int")
