@@ -3,9 +3,9 @@
 Texts are tokenised once and written out. What is left of each document after its full windows is dealt to shards by
 the least hash of its terms, so that texts with terms in common tend to meet, and range bounds over that hash and the
 id keep shards even, whatever the terms. A shard takes its documents in blocks; each block has an inverted index with
-BM25 weights from counts over all documents. The longest unused document is a seed; the neighbours that its rarest
-terms retrieve fill its window, best first, and the last one is cut to fit. What a block can't fill goes to the next
-block, so that a shard has one padded window at most.
+BM25 weights from counts over all documents. The longest unused document is a seed; the neighbours that its terms
+retrieve fill its window, best first, and the last one is cut to fit. What a block can't fill goes to the next block, so
+that a shard has one padded window at most.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from .tokens import default_path, word_tokens
 LENGTH, END = 2048, 1
 #: Tokens of a block, and the least that a shard is for: a shard has no more than one window that isn't full.
 BLOCK_TOKENS, SHARD_TOKENS = 2_000_000, 1_000_000
-#: Terms of a seed that are asked for, neighbours that are looked at, and the share of documents from which a term counts as common.
-QUERY_TERMS, NEIGHBOURS, COMMON = 16, 64, 0.1
+#: Neighbours that are looked at together: the next ones come when all of these are used.
+NEIGHBOURS = 64
 _K1, _B = 1.2, 0.75
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -116,12 +116,12 @@ class _Packer:
             self.sequence += 1
 
     def index(self, block: list[_Left]):
-        """Postings of the rarer ids: for id t, documents[begin[t]:begin[t + 1]] and their BM25 weights."""
+        """Postings of ids with a weight: for id t, documents[begin[t]:begin[t + 1]] and their BM25 weights."""
         sizes = np.array([x.total for x in block])
         ids = np.concatenate([x.ids for x in block])
         which = np.repeat(np.arange(len(block)), sizes)
-        rare = self.weights[ids] > 0
-        key, tf = np.unique(ids[rare].astype(np.int64) * len(block) + which[rare], return_counts=True)
+        some = self.weights[ids] > 0
+        key, tf = np.unique(ids[some].astype(np.int64) * len(block) + which[some], return_counts=True)
         term, doc = key // len(block), key % len(block)
         weight = self.weights[term] * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * sizes[doc] / self.mean))
         begin = np.searchsorted(term, np.arange((1 << 16) + 1))
@@ -135,25 +135,32 @@ class _Packer:
         total = int(sizes.sum())
         queue = list(np.lexsort((np.arange(len(block)), -sizes))[::-1])
         spare = iter(queue)  # shortest first, for windows that retrieval leaves open
+        indexed = len(block)
         while total >= self.length or last and total:
             while not sizes[queue[-1]]:
                 queue.pop()
             seed = queue[-1]
             offset = self._put(block, sizes, seed, 0)
-            query = terms[own[seed] : own[seed + 1]][:QUERY_TERMS]
-            at = [slice(begin[t], begin[t + 1]) for t in query]
+            if (unused := np.count_nonzero(sizes)) < indexed * 0.7:  # used documents leave the index
+                indexed, keep = unused, sizes[doc] > 0
+                begin, doc, weight = np.append(0, np.cumsum(keep))[begin], doc[keep], weight[keep]
+            at = [slice(begin[t], begin[t + 1]) for t in terms[own[seed] : own[seed + 1]]] if offset < self.length else []
             if at:
                 score = np.bincount(np.concatenate([doc[a] for a in at]), np.concatenate([weight[a] for a in at]), len(block))
                 score[sizes == 0] = 0
-                near = np.argpartition(-score, min(NEIGHBOURS, len(score) - 1))[:NEIGHBOURS]
-                near = near[score[near] > 0]
-                near = near[np.lexsort((near, -score[near]))]
-                for i in near:  # whole neighbours that fit, best first
-                    if sizes[i] and sizes[i] <= self.length - offset:
-                        offset = self._put(block, sizes, i, offset)
-                for i in near:  # then the best that is left, cut to fit
-                    if sizes[i] and offset < self.length:
-                        offset = self._put(block, sizes, i, offset)
+                while offset < self.length:
+                    near = np.argpartition(-score, min(NEIGHBOURS, len(score) - 1))[:NEIGHBOURS]
+                    near = near[score[near] > 0]
+                    if not len(near):
+                        break
+                    near = near[np.lexsort((near, -score[near]))]
+                    for i in near:  # whole neighbours that fit, best first
+                        if sizes[i] and sizes[i] <= self.length - offset:
+                            offset = self._put(block, sizes, i, offset)
+                    for i in near:  # then the best that is left, cut to fit
+                        if sizes[i] and offset < self.length:
+                            offset = self._put(block, sizes, i, offset)
+                    score[near] = 0
             while offset < self.length and (i := next((x for x in spare if sizes[x]), None)) is not None:
                 offset = self._put(block, sizes, i, offset)
                 if sizes[i]:
@@ -188,7 +195,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     totals = texts.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("ids")).first()
     df = _frequencies(written)
     weights = np.log1p((totals.docs - df + 0.5) / (df + 0.5))
-    weights[(df == 0) | (df > max(COMMON * totals.docs, 1))] = 0
+    weights[df == 0] = 0
     weights[END] = 0
     mean = totals.ids / max(totals.docs, 1)
     shards = int(max(1, min(partitions(docs.sparkSession), totals.ids // SHARD_TOKENS)))

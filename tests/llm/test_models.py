@@ -211,6 +211,20 @@ def test_image_copies(spark):
     assert links[0] >= 3 and links[101] == 0
 
 
+def test_windows_take_every_neighbour_before_others(spark):
+    """A seed with many rare terms of its own, and more short neighbours than are looked at together, by terms of a third
+    of all documents: its window holds no others, though these are shorter."""
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(6))
+    shared, own, other = ([word(x) for _ in range(n)] for x, n in (("abcde", 12), ("fghij", 60), ("uvwxyz", 400)))
+    texts = [" ".join([*shared, *own] * 2)]
+    texts += [" ".join(rng.sample(shared, 6)) for _ in range(150)]
+    texts += [" ".join(rng.sample(other, 2)) for _ in range(300)]
+    got = packing.pack(rows(spark, list(enumerate(texts)))).collect()
+    window = [r for r in got if r.sequence_id == next(x.sequence_id for x in got if x.doc_id == 0)]
+    assert sum(r.length for r in window) == packing.LENGTH and len(window) > 64 and max(r.doc_id for r in window) <= 150
+
+
 def test_scenes_depend_on_the_vector_alone(spark):
     """However far their ids lie apart, and so that copies grow with the table."""
     vector = [(-1.0) ** i * (i % 3 + 1) for i in range(64)]
