@@ -19,7 +19,7 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import pack, unpack
@@ -231,34 +231,28 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return known.join(mixed, "bucket", "left_semi")
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class) and n_docs (rows in the class) of every row of docs.
+def _rooted_texts(docs: DataFrame, least: float, by_id: bool) -> DataFrame:
+    """doc (hash of id and text), row (the id), and root (a doc for each class) of every row of docs.
 
-    A link needs a similarity of ``least`` over different shingles, and is found with the probability that the head of
-    this module gives if repetitions, which order MinHash counts, don't set the two texts apart. Words are split at
-    ASCII white space. Texts with the same words are copies; so are all texts without words. Rows
-    that share a doc_id are one document, whose links are those of all its texts; a null id is the least id. Other
-    columns are passed over. Empty docs give no rows.
+    Each different text of an id is compared. by_id: rows that share an id share a class, too.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(id_key().alias("doc"), F.xxhash64(text).alias("row"), text.cast("binary").alias("text"))
+    keyed = docs.select(_node().alias("doc"), id_key().alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     trimmed()  # the driver has many small plans ahead
     sketched = checkpointed(sketches(keyed, *PICKS))
     first = sketched.groupBy("c1", "c2").agg(F.min("doc").alias("a"))
-    copies = sketched.select("doc", "c1", "c2").join(first, ["c1", "c2"]).where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
-    several = sketched.groupBy("doc").agg(F.min("c1").alias("l1"), F.max("c1").alias("h1"), F.min("c2").alias("l2"), F.max("c2").alias("h2"))
-    several = several.where("l1 <> h1 or l2 <> h2").select(F.col("doc").alias("b"))
-    # A copy has the class of the document that it copies. Only ids with several texts need links to each of those.
-    copies = checkpointed(copies.join(several.withColumn("several", F.lit(True)), "b", "left"))
-    # Of copies, the least document stands for all.
-    own = sketched.join(first, ["c1", "c2"]).where("doc = a").select("doc", "row", "buckets")
-    members = checkpointed(own.select("doc", "row", F.explode("buckets").alias("bucket")))
+    # Of copies, the one with the least hash stands for all, and they have its class.
+    stands = sketched.select("doc", "c1", "c2").join(first, ["c1", "c2"]).where("doc <> a").select("doc", F.col("a").alias("stands")).distinct()
+    own = sketched.join(first, ["c1", "c2"]).where("doc = a").select("doc", "buckets")
+    members = checkpointed(own.select("doc", F.explode("buckets").alias("bucket")))
     stars = checkpointed(_stars(members.select("bucket", "doc").distinct()))
     asked = stars.select(F.col("a").alias("doc")).union(stars.select("b")).distinct()
-    rows = own.select("doc", "row").join(asked, "doc", "left_semi").distinct()
-    sequences = checkpointed(_sequences(keyed.join(rows.hint("shuffle_hash"), ["doc", "row"], "left_semi")))
-    links = checkpointed(linked(stars, sequences, least).unionAll(copies.where("several").select("a", "b")))
-    roots = components(links)
+    sequences = checkpointed(_sequences(keyed.join(asked.hint("shuffle_hash"), "doc", "left_semi")).dropDuplicates(["doc"]))
+    each = sketched.select("doc", "row").join(checkpointed(stands), "doc", "left").select("doc", "row", F.coalesce("stands", "doc").alias("stands"))
+    links = linked(stars, sequences, least)
+    if by_id:
+        several = each.groupBy("row").agg(F.min("stands").alias("a"), F.max("stands").alias("most")).where("a <> most").select("row", "a")
+        links = links.unionAll(each.select("row", F.col("stands").alias("b")).distinct().join(several, "row").where("b <> a").select("a", "b"))
+    roots = components(checkpointed(links))
 
     rest = checkpointed(_open(members.select("bucket", "doc").distinct(), roots).select("doc", "root").distinct())
     if rest.limit(1).count():
@@ -267,13 +261,28 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         pairs = checkpointed(_prefix_pairs(_rooted(rows, roots), least))
         roots = components(checkpointed(linked(pairs, sequences, least)), roots)
 
-    stands = copies.where("several is null").select(F.col("b").alias("doc"), "a")
-    each = docs.select(id_key().alias("doc")).join(stands, "doc", "left").select("doc", F.coalesce("a", "doc").alias("stands"))
-    out = each.join(roots.withColumnRenamed("doc", "stands"), "stands", "left").select("doc", F.coalesce("root", "stands").alias("root"))
+    out = each.join(roots.withColumnRenamed("doc", "stands"), "stands", "left")
+    return out.select("doc", "row", F.coalesce("root", "stands").alias("root"))
+
+
+def _node() -> Column:
+    return F.xxhash64(id_key(), F.coalesce(F.col("text"), F.lit("")))
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class) and n_docs (rows in the class) of every row of docs.
+
+    A link needs a similarity of ``least`` over different shingles, and is found with the probability that the head of
+    this module gives if repetitions, which order MinHash counts, don't set the two texts apart. Words are split at
+    ASCII white space. Texts with the same words are copies; so are all texts without words. Rows
+    that share a doc_id are one document, whose links are those of all its texts; a null id is the least id. Other
+    columns are passed over. Empty docs give no rows.
+    """
+    out = _rooted_texts(docs, least, True)
     # Counted in shares first: the rows of a large class needn't meet.
-    shares = out.groupBy("root", F.pmod(F.hash("doc"), F.lit(64)).alias("share")).agg(F.count("*").alias("n"))
-    sizes = shares.groupBy("root").agg(F.sum("n").alias("n_docs"))
-    return out.join(sizes, "root").select(id_back("doc").alias("doc_id"), id_back("root").alias("class_id"), "n_docs")
+    shares = out.groupBy("root", F.pmod(F.hash("doc"), F.lit(64)).alias("share")).agg(F.count("*").alias("n"), F.min("row").alias("least"))
+    sizes = shares.groupBy("root").agg(F.sum("n").alias("n_docs"), F.min("least").alias("class"))
+    return out.join(sizes, "root").select(id_back("row").alias("doc_id"), id_back("class").alias("class_id"), "n_docs")
 
 
 def _cells(grams: np.ndarray) -> np.ndarray:
@@ -371,8 +380,11 @@ def _prefix_pairs(rows: DataFrame, least: float) -> DataFrame:
 
 
 def clean(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, with all their columns, of the least document of each class; of rows that repeat its id, one."""
-    roots = classes(docs, least).where("class_id <=> doc_id").select(F.col("doc_id").alias("__doc")).distinct()
-    rows = docs.withColumns({"__row": F.xxhash64(F.coalesce("text", F.lit("")))})
-    kept = rows.join(roots.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(roots["__doc"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of docs, with all its columns, for each class of texts: a row of the least doc_id.
+
+    Rows that share an id, or have none, are in one class only if their texts are.
+    """
+    best = _rooted_texts(docs, least, False).groupBy("root").agg(F.min(F.struct("row", "doc")).alias("best"))
+    best = best.select(F.col("best.doc").alias("__node"))
+    kept = docs.withColumn("__node", _node()).join(best.hint("shuffle_hash"), "__node", "left_semi")
+    return kept.dropDuplicates(["__node"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -127,6 +127,21 @@ def test_near_duplicates(spark, pairs, none):
     assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted(want, key=str)
 
 
+def test_texts_without_an_id_and_of_one_id_are_compared_and_kept(spark):
+    """Different texts share a null id, or an id; each has a near copy under another id, and three have none."""
+    import random
+
+    rng = random.Random(11)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(9)]
+    near = [" ".join([*t[:79], "other"]) for t in texts]
+    texts = [" ".join(t) for t in texts]
+    pairs = [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:]] + [(20 + i, near[i]) for i in (0, 1, 2, 4, 5, 6)]
+    docs = rows(spark, pairs).repartition(4)
+    assert same(neardup.classes(docs).select("doc_id", "class_id").collect(), brute.near_duplicates(pairs))
+    kept = [(r.doc_id, r.text) for r in neardup.clean(docs).collect()]
+    assert sorted(kept, key=str) == sorted(pairs[:9], key=str)
+
+
 def test_near_duplicates_among_many_variants(spark):
     """Members of one group lie on either side of the threshold; links between two variants count as well."""
     import random
