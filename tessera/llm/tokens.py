@@ -24,25 +24,32 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _byte_letters() -> dict[int, str]:
-    """What stands for each letter from U+00A1 to U+024F in a byte-level vocabulary.
+class _ByteLetters(dict):
+    """What stands for each letter in a byte-level vocabulary, worked out when it is first met.
 
     A byte stands for the character of its number if that prints; the others, in order, are U+0100 and what follows.
+    Lower case may lie far from its capital (U+018F becomes U+0259), so that any letter can be asked for.
     """
-    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    letter = [chr(b if b in prints else next(others)) for b in range(256)]
-    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xA1, 0x250)}
+
+    def __init__(self):
+        super().__init__()
+        prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = iter(range(256, 512))
+        self.letter = [chr(b if b in prints else next(others)) for b in range(256)]
+
+    def __missing__(self, code: int) -> str:
+        out = self[code] = "".join(self.letter[b] for b in chr(code).encode())
+        return out
 
 
-_BYTES = _byte_letters()
+_BYTES = _ByteLetters()
 
 
 class WordTokens(dict):
     """Numbers of words (what stands between spaces), whose ids lie one after another in an array.
 
-    All is forgotten beyond ``limit`` words. A new word is lower-cased and cut into pieces here, as the vocabulary
-    file says, and the file's model gives each piece's ids.
+    All is forgotten beyond ``limit`` words. Texts are lower-cased and new words cut into pieces here, as the
+    vocabulary file says, and the file's model gives each piece's ids.
     """
 
     def __init__(self, path: str, limit: int = 500_000):
@@ -69,7 +76,7 @@ class WordTokens(dict):
         tokenize, sizes, ids = self.model.tokenize, [], []
         for word in self.fresh:
             before = len(ids)
-            for piece in _WORD.findall(word.lower()):
+            for piece in _WORD.findall(word):
                 ids += [t.id for t in tokenize(piece if piece.isascii() else piece.translate(_BYTES))]
             sizes.append(len(ids) - before)
         self.fresh = []
@@ -86,7 +93,7 @@ class WordTokens(dict):
         if len(self) > self.limit:
             self._forget()
         plain = [_PLAIN.fullmatch(x) is not None and not any(s in x for s in _SPECIAL) for x in texts]
-        words = pc.ascii_split_whitespace(pa.array([x if p else "" for x, p in zip(texts, plain, strict=True)], pa.large_string()))
+        words = pc.ascii_split_whitespace(pa.array([x.lower() if p else "" for x, p in zip(texts, plain, strict=True)], pa.large_string()))
         counts = pc.list_value_length(words).to_numpy()
         coded = words.flatten().dictionary_encode()
         of = np.fromiter(map(self.__getitem__, coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))

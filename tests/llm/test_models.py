@@ -84,6 +84,17 @@ def test_tokens_are_the_tokenizers(pairs):
         assert [x.tolist() for x in t.encode(part)] == want
 
 
+def test_every_letter_up_to_u024f_has_the_tokenizers_ids():
+    """Alone, doubled, beside letters, digits, marks and capitals whose lower case lies beyond U+024F; then at random."""
+    t, rng = tokens.WordTokens(tokens.default_path()), random.Random(2)
+    forms = ("{0}", "{0}{0}", "a{0}", "{0}a", "a{0}B", "1{0}", "{0}1", "'{0}", "{0}'s", ".{0}.", "é{0} {0}", "Ə{0}Ɛ")
+    texts = [f.format(chr(c)) for c in range(9, 0x250) for f in forms]
+    letters = [chr(c) for c in range(9, 0x250)] + list(" \n'stredvml0123456789ABC") * 8
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 30))) for _ in range(5000)]
+    want = [x.ids for x in t.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in t.encode(texts)] == want
+
+
 def check_pieces(got, texts, length=2048):
     t = tokens.WordTokens(tokens.default_path())
     left = {}
@@ -122,6 +133,27 @@ def test_packing(spark, docs, pairs, none, monkeypatch):
     assert packing.pack(none).count() == 0
 
 
+@pytest.mark.parametrize("dense", [1, 10, 10**9])
+def test_scores_are_bm25(dense, monkeypatch):
+    """By table, by postings, and by both, and after documents have left the index."""
+    monkeypatch.setattr(packing, "DENSE", dense)
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(2, 60, rng.integers(1, 80)).astype(np.uint16) for _ in range(90)]
+    idf, mean = rng.random(1 << 16), 33.0
+    idf[50:60] = 0
+    index = packing._Index([packing._Left(i, x, 0) for i, x in enumerate(texts)], idf, mean)
+
+    def plain(i, j):
+        tf = lambda t: int((texts[j] == t).sum())
+        return sum(idf[t] * tf(t) * 2.2 / (tf(t) + 1.2 * (0.25 + 0.75 * len(texts[j]) / mean)) for t in set(texts[i].tolist()))
+
+    for i in (0, 7, 89):
+        assert index.scores(i) == pytest.approx([plain(i, j) for j in range(90)], rel=1e-4)
+    used = np.arange(90) % 3 == 1
+    index.without(used)
+    assert index.scores(2) == pytest.approx([0 if used[j] else plain(2, j) for j in range(90)], rel=1e-4)
+
+
 def test_neighbours_share_terms(spark):
     """Texts of twenty topics, each with its own words: sequences mostly hold one topic."""
     rng = random.Random(3)
