@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blobs import ranges
 from .common import checkpointed, chunks, kept_for, mix, partitions
 from .tokens import default_path, word_tokens
 
@@ -28,6 +29,8 @@ LENGTH, END = 2048, 1
 BLOCK_TOKENS, SHARD_TOKENS = 2_000_000, 1_000_000
 #: Neighbours that are looked at together: the next ones come when all of these are used.
 NEIGHBOURS = 64
+#: An id that one in so many documents of a block has lies in a table, not in postings. Speed depends on it, results don't.
+DENSE = 10
 _K1, _B = 1.2, 0.75
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -98,6 +101,48 @@ class _Left:
         return self.total - self.start
 
 
+class _Index:
+    """The inverted index of a block: BM25 weights of all its documents for each id.
+
+    Ids that one in DENSE documents of the block has or more are rows of a table, the others have postings.
+    """
+
+    def __init__(self, block: list[_Left], weights: np.ndarray, mean: float):
+        sizes = np.array([x.total for x in block])
+        ids = np.concatenate([x.ids for x in block])
+        which = np.repeat(np.arange(len(block)), sizes)
+        some = weights[ids] > 0
+        key, tf = np.unique(ids[some].astype(np.int64) * len(block) + which[some], return_counts=True)
+        term, doc = key // len(block), key % len(block)
+        weight = (weights[term] * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * sizes[doc] / mean))).astype(np.float32)
+        by_doc = np.argsort(doc, kind="stable")
+        self.terms, self.own = term[by_doc], np.searchsorted(doc[by_doc], np.arange(len(block) + 1))
+        common = np.flatnonzero(np.bincount(term, minlength=1 << 16) * DENSE >= len(block))
+        self.line = np.full(1 << 16, -1)
+        self.line[common] = np.arange(len(common))
+        at = self.line[term]
+        self.rows, self.table = np.arange(len(block)), np.zeros((len(common), len(block)), np.float32)
+        self.table[at[at >= 0], doc[at >= 0]] = weight[at >= 0]
+        self.begin = np.searchsorted(term[at < 0], np.arange((1 << 16) + 1))
+        self.doc, self.weight, self.size = doc[at < 0], weight[at < 0], len(block)
+
+    def scores(self, i: int) -> np.ndarray:
+        """BM25 of each document of the block for all terms of document i, each asked for once."""
+        terms = self.terms[self.own[i] : self.own[i + 1]]
+        line, out = self.line[terms], np.zeros(self.size)
+        out[self.rows] = self.table[line[line >= 0]].sum(axis=0)
+        rare = terms[line < 0]
+        at = ranges(self.begin[rare], self.begin[rare + 1] - self.begin[rare])
+        return out + np.bincount(self.doc[at], self.weight[at], self.size)
+
+    def without(self, used: np.ndarray) -> None:
+        """Used documents leave the index."""
+        keep = ~used[self.doc]
+        self.begin, self.doc, self.weight = np.append(0, np.cumsum(keep))[self.begin], self.doc[keep], self.weight[keep]
+        stay = ~used[self.rows]
+        self.rows, self.table = self.rows[stay], self.table[:, stay]
+
+
 class _Packer:
     def __init__(self, shard: int, weights: np.ndarray, mean: float, length: int):
         self.weights, self.mean, self.length = weights, mean, length
@@ -115,38 +160,24 @@ class _Packer:
             self.piece(left, self.length, 0)
             self.sequence += 1
 
-    def index(self, block: list[_Left]):
-        """Postings of ids with a weight: for id t, documents[begin[t]:begin[t + 1]] and their BM25 weights."""
-        sizes = np.array([x.total for x in block])
-        ids = np.concatenate([x.ids for x in block])
-        which = np.repeat(np.arange(len(block)), sizes)
-        some = self.weights[ids] > 0
-        key, tf = np.unique(ids[some].astype(np.int64) * len(block) + which[some], return_counts=True)
-        term, doc = key // len(block), key % len(block)
-        weight = self.weights[term] * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * sizes[doc] / self.mean))
-        begin = np.searchsorted(term, np.arange((1 << 16) + 1))
-        by_doc = np.lexsort((-weight, doc))
-        return begin, doc, weight, term[by_doc], np.searchsorted(doc[by_doc], np.arange(len(block) + 1))
-
     def pack(self, block: list[_Left], last: bool) -> list[_Left]:
         """Fills windows while there are ids for one; gives back the rest, or at the end pads one window with it."""
-        begin, doc, weight, terms, own = self.index(block)
+        index = _Index(block, self.weights, self.mean)
         sizes = np.array([len(x) for x in block])
         total = int(sizes.sum())
         queue = list(np.lexsort((np.arange(len(block)), -sizes))[::-1])
-        spare = iter(queue)  # shortest first, for windows that retrieval leaves open
+        spare, shortest = 0, list(queue)  # for windows that retrieval leaves open
         indexed = len(block)
         while total >= self.length or last and total:
             while not sizes[queue[-1]]:
                 queue.pop()
             seed = queue[-1]
             offset = self._put(block, sizes, seed, 0)
-            if (unused := np.count_nonzero(sizes)) < indexed * 0.7:  # used documents leave the index
-                indexed, keep = unused, sizes[doc] > 0
-                begin, doc, weight = np.append(0, np.cumsum(keep))[begin], doc[keep], weight[keep]
-            at = [slice(begin[t], begin[t + 1]) for t in terms[own[seed] : own[seed + 1]]] if offset < self.length else []
-            if at:
-                score = np.bincount(np.concatenate([doc[a] for a in at]), np.concatenate([weight[a] for a in at]), len(block))
+            if (unused := np.count_nonzero(sizes)) < indexed * 0.7:
+                indexed = unused
+                index.without(sizes == 0)
+            if offset < self.length:
+                score = index.scores(seed)
                 score[sizes == 0] = 0
                 while offset < self.length:
                     near = np.argpartition(-score, min(NEIGHBOURS, len(score) - 1))[:NEIGHBOURS]
@@ -161,10 +192,11 @@ class _Packer:
                         if sizes[i] and offset < self.length:
                             offset = self._put(block, sizes, i, offset)
                     score[near] = 0
-            while offset < self.length and (i := next((x for x in spare if sizes[x]), None)) is not None:
-                offset = self._put(block, sizes, i, offset)
-                if sizes[i]:
-                    spare = iter([i, *spare])
+            while offset < self.length and spare < len(shortest):
+                if sizes[shortest[spare]]:
+                    offset = self._put(block, sizes, shortest[spare], offset)
+                else:
+                    spare += 1
             total -= offset
             self.sequence += 1
         return [x for x in block if len(x)]
