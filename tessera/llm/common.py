@@ -28,17 +28,22 @@ def id_back(name: str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, or, where the session names none (tests), one of this machine."""
+    """The folder that ``spark.checkpoint.dir`` names. Where the session names none, a local master (tests) gets one of
+    this machine; a cluster is refused, as its machines would not share it."""
     context = spark.sparkContext
     named = context._jsc.sc().getCheckpointDir()
     if named.isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
         named = context._jsc.sc().getCheckpointDir()
     return named.get()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder; its files go when nothing refers to them any more."""
+    """df, written to the shared folder. With ``spark.cleaner.referenceTracking.cleanCheckpoints`` its files go when
+    nothing refers to them any more; else they stay until the folder is emptied."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -47,6 +52,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores in front as it takes for df to have none of them."""
+    taken, pad = {c.lower() for c in df.columns}, "_"
+    while any((pad + n).lower() in taken for n in names):
+        pad += "_"
+    return [pad + n for n in names]
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """df's columns, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+#: Rows of one key that a task joins, and the keys that are dealt to several tasks: the fullest ones beyond that.
+FULL, FULL_KEYS = 1000, 1000
+
+
+def split_join(rows: DataFrame, side: DataFrame, keys: list[str], by: list[str], n: str = "n") -> DataFrame:
+    """rows joined to side, where keys with very many rows are dealt to several tasks by the columns ``by``.
+
+    side.n: how many rows have the key, more or less. FULL_KEYS keys at most are broadcast, so that of any other a task
+    gets a thousandth of all rows at most; what side has for a full key is repeated once for FULL of its rows.
+    """
+    full = side.where(F.col(n) > FULL).groupBy(*keys).agg(F.max(n).alias(n)).orderBy(F.col(n).desc(), *keys).limit(FULL_KEYS)
+    full = F.broadcast(full.select(*keys, F.ceil(F.col(n) / FULL).cast("int").alias("_parts")))
+    dealt = rows.join(full, keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    each = side.join(full, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(each, [*keys, "_part"]).drop("_part")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,6 +15,7 @@ the number of aligned shingles over the number of different shingles in either t
 from __future__ import annotations
 
 from bisect import bisect_left
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import pack, unpack
-from .common import Words, checkpointed, chunks, hash64, id_back, id_key, mix, trimmed
+from .common import Words, checkpointed, chunks, columns, hash64, id_back, id_key, mix, spare, split_join, trimmed
 
 WORDS, SIMILARITY = 5, 0.8
 #: Hash functions, and shingles that each picks: a pair of similarity 0.8 shares no bucket with probability 1e-5.
 PICKS = (16, 3)
 #: Cells of the table of shingle counts, parts that it is summed in, and the ratio of neighbouring classes of size.
 CELLS, PARTS, STEP = 1 << 18, 64, 1.1
+#: Longs of parities that tell most texts apart before they are compared.
+MARKS = 8
+_MARKS = [f"m{i}" for i in range(MARKS)]
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -176,7 +180,8 @@ def linked(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
 
     left = sequences.select(F.col("doc").alias("a"), F.col("grams").alias("left"))
     right = sequences.select(F.col("doc").alias("b"), F.col("grams").alias("right"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    left = left.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a")
+    return split_join(pairs.join(right, "b"), left, ["a"], ["b"]).select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -216,19 +221,17 @@ def _moved(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """a, b: each bucket's least document with every other one of the bucket; members: bucket, doc."""
-    heads = members.groupBy("bucket").agg(F.min("doc").alias("a"), F.max("doc").alias("most")).where("a <> most").drop("most")
-    return members.join(heads, "bucket").where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
+def _heads(members: DataFrame) -> DataFrame:
+    """bucket, head (a text of the least id in it) and n, the texts in it, of buckets with more than one."""
+    return checkpointed(members.groupBy("bucket").agg(F.min_by("doc", "row").alias("head"), F.count("*").alias("n")).where("n > 1"))
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """bucket, doc, root of buckets that are in more than one class, without their least document, which is done."""
-    heads = members.groupBy("bucket").agg(F.min("doc").alias("head"), F.max("doc").alias("most")).where("head <> most")
-    rest = members.join(heads, "bucket").where("doc <> head").select("bucket", "doc")
-    known = rest.join(roots, "doc", "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"))
-    mixed = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    return known.join(mixed, "bucket", "left_semi")
+def _open(members: DataFrame, heads: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc, root of texts in buckets that are in more than one class, without the buckets' heads, which are done."""
+    rest = split_join(members, heads, ["bucket"], ["doc"]).where("doc <> head").select("bucket", "doc")
+    known = checkpointed(rest.join(roots, "doc", "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root")))
+    mixed = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("bucket", "n")
+    return split_join(known, mixed, ["bucket"], ["doc"]).select("doc", "root").distinct()
 
 
 def _rooted_texts(docs: DataFrame, least: float, by_id: bool) -> DataFrame:
@@ -239,22 +242,22 @@ def _rooted_texts(docs: DataFrame, least: float, by_id: bool) -> DataFrame:
     keyed = docs.select(_node().alias("doc"), id_key().alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     trimmed()  # the driver has many small plans ahead
     sketched = checkpointed(sketches(keyed, *PICKS))
-    first = sketched.groupBy("c1", "c2").agg(F.min("doc").alias("a"))
+    first = checkpointed(sketched.groupBy("c1", "c2").agg(F.min("doc").alias("a"), F.count("*").alias("n")))
     # Of copies, the one with the least hash stands for all, and they have its class.
-    stands = sketched.select("doc", "c1", "c2").join(first, ["c1", "c2"]).where("doc <> a").select("doc", F.col("a").alias("stands")).distinct()
-    own = sketched.join(first, ["c1", "c2"]).where("doc = a").select("doc", "buckets")
-    members = checkpointed(own.select("doc", F.explode("buckets").alias("bucket")))
-    stars = checkpointed(_stars(members.select("bucket", "doc").distinct()))
+    each = checkpointed(split_join(sketched.select("doc", "row", "c1", "c2"), first, ["c1", "c2"], ["doc"]).select("doc", "row", F.col("a").alias("stands")))
+    own = sketched.join(first.select(F.col("a").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"])
+    members = checkpointed(own.select("doc", "row", F.explode("buckets").alias("bucket")).distinct())
+    heads = _heads(members)
+    stars = checkpointed(split_join(members, heads, ["bucket"], ["doc"]).where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct())
     asked = stars.select(F.col("a").alias("doc")).union(stars.select("b")).distinct()
     sequences = checkpointed(_sequences(keyed.join(asked.hint("shuffle_hash"), "doc", "left_semi")).dropDuplicates(["doc"]))
-    each = sketched.select("doc", "row").join(checkpointed(stands), "doc", "left").select("doc", "row", F.coalesce("stands", "doc").alias("stands"))
     links = linked(stars, sequences, least)
     if by_id:
         several = each.groupBy("row").agg(F.min("stands").alias("a"), F.max("stands").alias("most")).where("a <> most").select("row", "a")
         links = links.unionAll(each.select("row", F.col("stands").alias("b")).distinct().join(several, "row").where("b <> a").select("a", "b"))
     roots = components(checkpointed(links))
 
-    rest = checkpointed(_open(members.select("bucket", "doc").distinct(), roots).select("doc", "root").distinct())
+    rest = checkpointed(_open(members, heads, roots))
     if rest.limit(1).count():
         texts = checkpointed(sequences.join(rest.select("doc"), "doc"))
         rows = checkpointed(_prefixes(texts, _counts(texts), least))
@@ -278,11 +281,11 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     that share a doc_id are one document, whose links are those of all its texts; a null id is the least id. Other
     columns are passed over. Empty docs give no rows.
     """
-    out = _rooted_texts(docs, least, True)
+    out = checkpointed(_rooted_texts(docs, least, True))
     # Counted in shares first: the rows of a large class needn't meet.
     shares = out.groupBy("root", F.pmod(F.hash("doc"), F.lit(64)).alias("share")).agg(F.count("*").alias("n"), F.min("row").alias("least"))
     sizes = shares.groupBy("root").agg(F.sum("n").alias("n_docs"), F.min("least").alias("class"))
-    return out.join(sizes, "root").select(id_back("row").alias("doc_id"), id_back("class").alias("class_id"), "n_docs")
+    return split_join(out, sizes, ["root"], ["doc", "row"], "n_docs").select(id_back("row").alias("doc_id"), id_back("class").alias("class_id"), "n_docs")
 
 
 def _cells(grams: np.ndarray) -> np.ndarray:
@@ -323,8 +326,15 @@ def _class(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(n) / np.log(STEP) + 1e-9).astype(np.int64)
 
 
+def _parities(grams: np.ndarray) -> np.ndarray:
+    """64 * MARKS bits: whether an odd number of the shingles falls on each. Sets that differ in d shingles differ in d
+    bits at most."""
+    odd = np.bincount((grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % (64 * MARKS), minlength=64 * MARKS) % 2
+    return np.packbits(odd.astype(bool)).view("<i8")
+
+
 def _prefixes(texts: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
-    """key (of shingle and class of size), larger, doc, n and rank: the shingles of each text's prefix.
+    """key (of shingle and class of size), larger, doc, n, rank and marks (parities): the shingles of each text's prefix.
 
     Of two texts with x <= y shingles that are similar, the first x - t + 1 and y - t + 1 share one, if t is the number
     that they share at least, (x + y) least / (1 + least). A text stands in its own class as the smaller one, and as
@@ -352,11 +362,12 @@ def _prefixes(texts: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
                 classes = np.concatenate([np.full(own, _class(n)), classes])
                 at = np.concatenate([np.arange(1, own + 1), at])
                 keys = mix(grams[at - 1] << np.uint64(20) | classes.astype(np.uint64)).view(np.int64)
-                out.append([keys, np.arange(len(at)) >= own, np.full(len(at), doc), np.full(len(at), n), at])
+                out.append([keys, np.arange(len(at)) >= own, np.full(len(at), doc), np.full(len(at), n), at, *(np.full(len(at), x) for x in _parities(grams))])
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "larger", "doc", "n", "rank"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
 
-    return texts.select("doc", "grams").mapInArrow(run, "key long, larger boolean, doc long, n long, rank long")
+    names = ["key", "larger", "doc", "n", "rank", *_MARKS]
+    return texts.select("doc", "grams").mapInArrow(run, "key long, larger boolean, doc long, n long, rank long, " + ", ".join(f"{m} long" for m in _MARKS))
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -365,15 +376,17 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _can(na, i, nb, j, least: float):
-    """Whether shingles of rank i and j of texts with na <= nb shingles lie in the prefixes of a similar pair."""
+    """Whether shingles of rank i and j of texts with na <= nb shingles lie in the prefixes of a similar pair, and the
+    texts' marks don't differ in more bits than such a pair has shingles of one text only."""
     shared = F.ceil((na + nb) * (least / (1 + least)) - 1e-9)
-    return (na >= nb * least - 1e-9) & (i <= na - shared + 1) & (j <= nb - shared + 1)
+    differ = reduce(Column.__add__, [F.bit_count(F.col(m).bitwiseXOR(F.col(f"other_{m}"))) for m in _MARKS])
+    return (na >= nb * least - 1e-9) & (i <= na - shared + 1) & (j <= nb - shared + 1) & (differ <= na + nb - 2 * shared)
 
 
 def _prefix_pairs(rows: DataFrame, least: float) -> DataFrame:
     """a, b: all pairs of texts of different roots that can be similar."""
-    x = rows.where("not larger").select("key", F.col("doc").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("rank").alias("i"))
-    y = rows.where("larger").select("key", F.col("doc").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("rank").alias("j"))
+    x = rows.where("not larger").select("key", F.col("doc").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("rank").alias("i"), *_MARKS)
+    y = rows.where("larger").select("key", F.col("doc").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("rank").alias("j"), *[F.col(m).alias(f"other_{m}") for m in _MARKS])
     na, i, nb, j = (F.col(c) for c in ("na", "i", "nb", "j"))
     good = ((na < nb) | ((na == nb) & (F.col("a") < F.col("b")))) & (F.col("ra") != F.col("rb")) & _can(na, i, nb, j, least)
     return x.join(y, "key").where(good).select("a", "b").distinct()
@@ -382,9 +395,12 @@ def _prefix_pairs(rows: DataFrame, least: float) -> DataFrame:
 def clean(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row of docs, with all its columns, for each class of texts: a row of the least doc_id.
 
-    Rows that share an id, or have none, are in one class only if their texts are.
+    Rows that share an id, or have none, are in one class only if their texts are; a null id is the least. Texts without
+    words, null or empty, are copies of each other, of which one row stays. Of rows with the same id and text one stays,
+    of two texts with the same id in a class the one with the lesser hash. Any other columns, whatever their names, stay
+    as they are. Empty docs give no rows.
     """
-    best = _rooted_texts(docs, least, False).groupBy("root").agg(F.min(F.struct("row", "doc")).alias("best"))
-    best = best.select(F.col("best.doc").alias("__node"))
-    kept = docs.withColumn("__node", _node()).join(best.hint("shuffle_hash"), "__node", "left_semi")
-    return kept.dropDuplicates(["__node"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    (name,) = spare(docs, "node")
+    best = _rooted_texts(docs, least, False).groupBy("root").agg(F.min(F.struct("row", "doc")).alias("best")).select(F.col("best.doc").alias(name))
+    kept = docs.withColumn(name, _node()).join(best.hint("shuffle_hash"), name, "left_semi")
+    return kept.dropDuplicates([name]).select(*columns(docs))
