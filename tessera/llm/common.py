@@ -69,16 +69,21 @@ def columns(df: DataFrame) -> list[Column]:
 FULL, FULL_KEYS = 1000, 1000
 
 
-def split_join(rows: DataFrame, side: DataFrame, keys: list[str], by: list[str], n: str = "n") -> DataFrame:
+def split_join(rows: DataFrame, side: DataFrame, keys: list[str], by: list[str], counts: DataFrame | None = None, n: str = "n") -> DataFrame:
     """rows joined to side, where keys with very many rows are dealt to several tasks by the columns ``by``.
 
-    side.n: how many rows have the key, more or less. FULL_KEYS keys at most are broadcast, so that of any other a task
-    gets a thousandth of all rows at most; what side has for a full key is repeated once for FULL of its rows.
+    counts (or side).n: how many rows have a key, more or less. The driver learns FULL_KEYS keys at most, so that of any
+    other a task gets a thousandth of all rows at most. For a full key, what side has is repeated for each part of it.
+    keys[0] is a long.
     """
-    full = side.where(F.col(n) > FULL).groupBy(*keys).agg(F.max(n).alias(n)).orderBy(F.col(n).desc(), *keys).limit(FULL_KEYS)
-    full = F.broadcast(full.select(*keys, F.ceil(F.col(n) / FULL).cast("int").alias("_parts")))
-    dealt = rows.join(full, keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
-    each = side.join(full, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    counts, key = side if counts is None else counts, keys[0]
+    full = counts.where(F.col(n) > FULL).select(key, n).orderBy(F.col(n).desc(), key).limit(FULL_KEYS).collect()
+    if not full:
+        return rows.join(side, keys)
+    parts = min(-(-max(r[n] for r in full) // FULL), max(2, partitions(rows.sparkSession)))
+    is_full = F.col(key).isin([r[key] for r in full])
+    dealt = rows.withColumn("_part", F.when(is_full, F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int")).otherwise(0))
+    each = side.withColumn("_part", F.explode(F.when(is_full, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
     return dealt.join(each, [*keys, "_part"]).drop("_part")
 
 

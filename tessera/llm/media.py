@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .blobs import pack, ranges, split_by, unpack
 from .common import checkpointed, id_back, id_key, mix, partitions
-from .neardup import components
+from .neardup import components, least_ends
 
 #: Scales, corners of a scale, and pixels around a corner that its descriptor looks at.
 SCALES, CORNERS, RADIUS = (1.0, 2**-0.5, 0.5), 16, 12
@@ -276,7 +276,7 @@ def _links(blobs: DataFrame, n: int, least: int) -> DataFrame:
                 good.append(s)
         ends, number = np.unique(np.concatenate([a[good], b[good]]), return_inverse=True)
         x, y = number[: len(good)], number[len(good) :]
-        root = _roots(x, y, len(ends))
+        root = least_ends(x, y, len(ends))
         for k in range(0, len(ends), 100_000):
             part = slice(k, k + 100_000)
             columns = [nodes[ends[root[part]]], nodes[ends[part]], np.bincount(number, minlength=len(ends))[part]]
@@ -285,18 +285,6 @@ def _links(blobs: DataFrame, n: int, least: int) -> DataFrame:
     return blobs.repartitionById(n, "block").mapInArrow(run, "a long, b long, n_links long")
 
 
-def _roots(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    """The least of 0..n-1 that links x, y lead to, for each."""
-    root = np.arange(n)
-    while (root[x] != root[y]).any():
-        low = np.minimum(root[x], root[y])
-        for ends in (x, y):
-            np.minimum.at(root, root[ends].copy(), low)
-        while (root != root[root]).any():
-            root = root[root]
-    return root
-
-
 def explained(left: np.ndarray, right: np.ndarray) -> int:
     """The most matches (rows of x, y, scale, direction in either image) that one turn, scale and shift explains.
 

@@ -31,6 +31,8 @@ WORDS, SIMILARITY = 5, 0.8
 PICKS = (16, 3)
 #: Cells of the table of shingle counts, parts that it is summed in, and the ratio of neighbouring classes of size.
 CELLS, PARTS, STEP = 1 << 18, 64, 1.1
+#: Links that one task follows: so many are 16 MB.
+ONE_TASK = 1_000_000
 #: Longs of parities that tell most texts apart before they are compared.
 MARKS = 8
 _MARKS = [f"m{i}" for i in range(MARKS)]
@@ -180,25 +182,21 @@ def linked(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
 
     left = sequences.select(F.col("doc").alias("a"), F.col("grams").alias("left"))
     right = sequences.select(F.col("doc").alias("b"), F.col("grams").alias("right"))
-    left = left.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a")
-    return split_join(pairs.join(right, "b"), left, ["a"], ["b"]).select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return split_join(pairs.join(right, "b"), left, ["a"], ["b"], pairs.groupBy("a").agg(F.count("*").alias("n"))).select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """doc, root: the least document that links (a, b) lead to, for all documents in links, and in ``known``.
+    """doc, root: the least document that links (a, b) lead to, for documents in links, and in ``known``.
 
     known: such a table for links that came before. In each round a document goes to its least neighbour, if that is
     less than itself, and on to where that one goes, to the end; links are then between where their ends have gone, and
-    those within one place are done. So stars and chains take one round, and later rounds have few links.
+    those within one place are done. So stars and chains take one round, and later rounds have few links. Once there are
+    no more than ONE_TASK, one task follows them all.
     """
-    ends = links.select("a").unionAll(links.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("doc"))
-    roots = ends.select("doc", F.col("doc").alias("root"))
-    if known is not None:
-        roots = known.unionByName(roots.join(known, "doc", "left_anti"))
-    roots = checkpointed(roots)
-    edges = links.select("a", "b").where("a <> b")
-    edges = checkpointed(_moved(edges, roots) if known is not None else edges.distinct())
-    while edges.limit(1).count():
+    roots = known
+    edges = links.where("a <> b")
+    edges = checkpointed(_moved(edges, known) if known is not None else edges.select("a", "b").distinct())
+    while (n := edges.count()) > ONE_TASK:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("doc"), F.least("a", "b").alias("root"))
         step = checkpointed(step)
@@ -209,15 +207,45 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
             if not far.where("root <> was").limit(1).count():
                 break
         edges = checkpointed(_moved(edges, step))
-        on = step.select(F.col("doc").alias("root"), F.col("root").alias("up"))
-        roots = checkpointed(roots.join(on, "root", "left").select("doc", F.coalesce("up", "root").alias("root")))
+        roots = checkpointed(_on(roots, step))
+    if n or roots is None:
+        roots = checkpointed(_on(roots, edges.repartition(1).mapInArrow(_followed, "doc long, root long")))
     return roots
 
 
+def _on(roots: DataFrame | None, step: DataFrame) -> DataFrame:
+    """roots, and on from there as step leads; documents that only step has go as it says."""
+    if roots is None:
+        return step
+    up = step.select(F.col("doc").alias("root"), F.col("root").alias("up"))
+    both = roots.join(up, "root", "left").select("doc", F.coalesce("up", "root").alias("root"))
+    return both.unionByName(step.join(roots, "doc", "left_anti"))
+
+
+def _followed(batches):
+    """doc, root of all documents in some links."""
+    ends = [np.zeros((2, 0), np.int64), *(np.stack([batch[c].to_numpy() for c in "ab"]) for batch in batches)]
+    nodes, number = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+    x, y = number.reshape(2, -1)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[least_ends(x, y, len(nodes))])], ["doc", "root"])
+
+
+def least_ends(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The least of 0..n-1 that links x, y lead to, for each."""
+    root = np.arange(n)
+    while (root[x] != root[y]).any():
+        low = np.minimum(root[x], root[y])
+        for ends in (x, y):
+            np.minimum.at(root, root[ends].copy(), low)
+        while (root != root[root]).any():
+            root = root[root]
+    return root
+
+
 def _moved(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Links between the roots of their ends, each once, without those that have become one."""
     a, b = (roots.select(F.col("doc").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    both = edges.join(a, "a").join(b, "b").where("ra <> rb")
+    both = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
     return both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
 
@@ -285,7 +313,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # Counted in shares first: the rows of a large class needn't meet.
     shares = out.groupBy("root", F.pmod(F.hash("doc"), F.lit(64)).alias("share")).agg(F.count("*").alias("n"), F.min("row").alias("least"))
     sizes = shares.groupBy("root").agg(F.sum("n").alias("n_docs"), F.min("least").alias("class"))
-    return split_join(out, sizes, ["root"], ["doc", "row"], "n_docs").select(id_back("row").alias("doc_id"), id_back("class").alias("class_id"), "n_docs")
+    return split_join(out, sizes, ["root"], ["doc", "row"], n="n_docs").select(id_back("row").alias("doc_id"), id_back("class").alias("class_id"), "n_docs")
 
 
 def _cells(grams: np.ndarray) -> np.ndarray:

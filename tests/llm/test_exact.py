@@ -6,7 +6,7 @@ import pytest
 from conftest import corpus, rows, same
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, firsts, linededup, neardup, secrets, substrings
+from tessera.llm import common, decontaminate, firsts, linededup, neardup, secrets, substrings
 
 
 def test_line_dedup(docs, pairs, none):
@@ -166,7 +166,32 @@ def test_alignment():
     assert neardup._rising([3, 1, 2, 5, 4]) == 3
 
 
-def test_components(spark):
-    links = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (9, 9), (7, 3), *[(i, i + 1) for i in range(20, 40)]], "a long, b long")
-    got = {r.doc: r.root for r in neardup.components(links).collect()}
-    assert {got[i] for i in (1, 2, 3, 7)} == {1} and got[5] == 4 and {got[i] for i in range(20, 41)} == {20}
+@pytest.mark.parametrize("most", [0, 3, 1000])
+def test_components(spark, most, monkeypatch):
+    """By rounds alone, by rounds and then in one task, and in one task; and on from known roots."""
+    monkeypatch.setattr(neardup, "ONE_TASK", most)
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = {r.doc: r.root for r in neardup.components(frame([(1, 2), (2, 3), (5, 4), (9, 9), (7, 3), *[(i, i + 1) for i in range(20, 40)]])).collect()}
+    assert {got[i] for i in (1, 2, 3, 7)} == {1} and got[5] == 4 and {got[i] for i in range(20, 41)} == {20} and got.get(9, 9) == 9
+    known = neardup.components(frame([(1, 2), (5, 4), (20, 21)]))
+    more = neardup.components(frame([(2, 5), (21, 30), (50, 51), (4, 1)]), known).collect()
+    assert sorted(map(tuple, more)) == [(1, 1), (2, 1), (4, 1), (5, 1), (20, 20), (21, 20), (30, 20), (50, 50), (51, 50)]
+    assert neardup.components(frame([])).count() == 0
+
+
+def test_full_keys_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(common, "FULL", 5)
+    monkeypatch.setattr(common, "FULL_KEYS", 2)
+    rows_ = spark.createDataFrame([(k, 7, i) for k, n in ((1, 40), (2, 12), (3, 6), (4, 1)) for i in range(n)], "k long, l long, i long")
+    side = rows_.groupBy("k", "l").agg(F.count("*").alias("n"), F.max("i").alias("most"))
+    got = common.split_join(rows_, side, ["k", "l"], ["i"])
+    assert sorted(map(tuple, got.select("k", "i", "most").collect())) == sorted((k, i, n - 1) for k, n in ((1, 40), (2, 12), (3, 6), (4, 1)) for i in range(n))
+
+
+def test_parities_differ_in_as_many_bits_at_most_as_shingles_differ():
+    rng = np.random.default_rng(3)
+    bits = lambda x: np.unpackbits(neardup._parities(x).view(np.uint8))
+    for size in (1, 30, 3000):
+        a = np.unique(rng.integers(0, 1 << 32, size, np.uint64))
+        b = np.unique(np.concatenate([a[len(a) // 3 :], rng.integers(0, 1 << 32, size // 9, np.uint64)]))
+        assert (bits(a) != bits(b)).sum() <= len(np.setxor1d(a, b)) and (bits(a) == bits(a.copy())).all()
