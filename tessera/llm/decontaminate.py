@@ -1,21 +1,20 @@
 """Benchmark decontamination by winnowing, in DataFrame functions throughout.
 
-Fingerprints are hashes of _GRAM consecutive words; of each _SPAN consecutive ones the least is kept. A shared run of
-_GRAM + _SPAN - 1 = 10 words therefore always shares a kept fingerprint. Documents that share one with a benchmark item
-are hits, and each hit is extended to the windows around it, which are compared word by word.
+Fingerprints are hashes of 7 consecutive words; of each 4 consecutive ones the least is kept. A shared run of 10 words
+therefore always shares a kept fingerprint. The kept fingerprints of a text make runs of places: windows of 10 words
+that have the same one. Documents' runs are joined to the benchmark's fingerprints, and each hit is extended to the
+windows of its run alone, which are compared word by word. Items of fewer words are one window, with fingerprints of as
+many words as their length allows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_back, id_key
+from .common import checkpointed, columns, id_back, id_key, spare, split_join
 
 WINDOW = 10
-_GRAM, _SPAN = 7, 4
 _APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Benchmark tables of up to so many rows are broadcast; larger ones are joined by shuffle.
@@ -33,57 +32,103 @@ def _pairs(x: Column, shift: int, f) -> Column:
     return F.zip_with(x, F.slice(x, F.lit(shift + 1), F.greatest(F.size(x) - shift, F.lit(0))), f)
 
 
-def _fingerprinted(texts: DataFrame) -> DataFrame:
-    """texts (with words) and fingerprints: the kept ones, each once. Texts of fewer words than a window have none.
+def _span(length: int) -> int:
+    """Of so many consecutive fingerprints one is kept, so that any window of ``length`` words has one."""
+    return max(1, length * 2 // 5)
+
+
+def _slid(df: DataFrame, name: str, size: int, f) -> DataFrame:
+    """df with f over each ``size`` consecutive elements of df[name]; what stands at the end, beyond these, has no meaning.
 
     Each step is a column of its own, so that none is worked out twice.
     """
-    h = texts.withColumn("g", _pairs(F.col("words"), 1, lambda a, b: F.xxhash64(a, b)))
-    h = h.withColumn("g", _pairs(F.col("g"), 2, lambda a, b: F.xxhash64(a, b)))
-    h = h.withColumn("g", _pairs(F.col("g"), 3, lambda a, b: F.xxhash64(a, b)))
-    h = h.withColumn("g", _pairs(F.col("g"), 1, lambda a, b: F.least(a, b)))
-    h = h.withColumn("g", _pairs(F.col("g"), 2, lambda a, b: F.least(a, b)))
-    kept = F.slice("g", F.lit(1), F.greatest(F.size("words") - (WINDOW - 1), F.lit(0)))
-    return h.withColumn("fingerprints", F.array_distinct(kept)).drop("g")
+    width = 1
+    while width < size:
+        shift = min(width, size - width)
+        df = df.withColumn(name, _pairs(F.col(name), shift, f))
+        width += shift
+    return df
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, broadcast if it's known to have few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _starts(name: str) -> Column:
+    """The places where df[name] has another value than just before."""
+    places = F.when(F.size(name) > 0, F.sequence(F.lit(0), F.size(name) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(places, lambda i: (i == 0) | (F.get(name, i) != F.get(name, i - 1)))
 
 
-def _windows(length: int) -> Column:
-    starts = F.when(F.size("words") >= length, F.sequence(F.lit(0), F.size("words") - length)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("words", i + 1, length), " ").alias("window")))
+def _between(name: str, starts: str, length: int) -> Column:
+    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(name)))
+    mark = lambda i: F.xxhash64(F.get(name, i), F.lit(length))
+    return F.zip_with(starts, ends, lambda i, j: F.struct(i.alias("at"), j.alias("end"), F.lit(length).alias("length"), mark(i).alias("fingerprint")))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc, row and n_words of all docs; and doc, row, spans (at, length) and items of docs with hits."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(id_key().alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("words")).where("size(words) > 0")
+def _runs(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """texts (with words) and runs: at, end, length and fingerprint of windows from place ``at`` up to ``end`` that have
+    the same kept fingerprint, for each length of windows."""
+    df = texts.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
+    each = []
+    for length in lengths:
+        span, name = _span(length), f"m{length}"
+        df = _slid(df.withColumn(name, F.col("h")), name, length - span + 1, lambda a, b: F.xxhash64(a, b))
+        df = _slid(df, name, span, lambda a, b: F.least(a, b))
+        df = df.withColumn(name, F.slice(name, F.lit(1), F.greatest(F.size("words") - (length - 1), F.lit(0))))
+        df = df.withColumn(f"s{length}", _starts(name))
+        each.append(_between(name, f"s{length}", length))
+    # Of an empty list of places the zip has its end alone, which no fingerprint goes with.
+    return df.withColumn("runs", F.filter(F.concat(*each), lambda r: r["at"].isNotNull())).select(*texts.columns, "runs")
+
+
+def _small(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def _windows(runs: Column) -> Column:
+    """The windows of runs, with their words."""
+
+    def of(run):
+        text = lambda i: F.array_join(F.slice(F.col("words"), i + 1, run["length"]), " ")
+        return F.transform(F.sequence(run["at"], run["end"] - 1), lambda i: F.struct(i.alias("at"), run["length"].alias("length"), text(i).alias("window")))
+
+    return F.flatten(F.transform(runs, of))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc, row, spans (at, length) and items of docs with hits.
+
+    Arrays are exploded with a null for an empty one, which no join finds: else Spark works the arrays out twice, to
+    filter by their size.
+    """
+    keyed = _keyed(docs)
+    split = keyed.select("doc", "row", words(F.col("text")).alias("words"))
+    items = benchmark.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("words")).where("size(words) > 0")
     items = checkpointed(items.withColumn("length", F.least(F.size("words"), F.lit(WINDOW))))
     lengths = sorted(r.length for r in items.select("length").distinct().collect())  # at most WINDOW numbers
+    if not lengths:
+        return keyed.where("false").select("doc", "row", F.array().cast("array<struct<at:int,length:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+
+    own = F.filter("runs", lambda r: r["length"] == F.col("length"))
+    known = _runs(items, lengths).withColumn("runs", own)
+    marks = checkpointed(known.select(F.explode_outer("runs.fingerprint").alias("fingerprint")).distinct())
+    of = checkpointed(known.select("item", F.explode_outer(_windows(F.col("runs"))).alias("w")).select("item", F.xxhash64("w.window").alias("key"), "w.length", "w.window").distinct())
+
+    each = _runs(split, lengths).select("doc", "row", F.explode_outer("runs").alias("run")).select("doc", "row", "run.*")
+    found = each.join(F.broadcast(marks) if _small(marks) else marks, "fingerprint", "left_semi")
+    found = checkpointed(found.groupBy("doc", "row").agg(F.collect_list(F.struct("at", "end", "length")).alias("runs")))
+
+    some = split.join(found.hint("shuffle_hash"), ["doc", "row"])
+    some = some.select("doc", "row", F.explode_outer(_windows(F.col("runs"))).alias("w")).select("doc", "row", "w.at", F.xxhash64("w.window").alias("key"), "w.length", "w.window")
+    if _small(of):
+        at = some.join(F.broadcast(of), ["key", "length", "window"])
+    else:
+        some = checkpointed(some)
+        at = split_join(some, of, ["key", "length", "window"], ["doc", "at"], some.groupBy("key").agg(F.count("*").alias("n")))
+    return at.groupBy("doc", "row").agg(F.array_sort(F.collect_set(F.struct("at", "length"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
 
-    marks = checkpointed(_fingerprinted(items).select(F.explode("fingerprints").alias("fingerprint")).distinct())
-    marked = _small(marks.withColumn("marked", F.lit(True)))
-    split = _fingerprinted(keyed.select("doc", "row", words(F.col("text")).alias("words")))
-    each = split.select("doc", "row", F.size("words").cast("long").alias("n_words"), F.explode_outer("fingerprints").alias("fingerprint"))
-    found = each.join(marked, "fingerprint", "left").groupBy("doc", "row").agg(F.max("n_words").alias("n_words"), F.count("marked").alias("marks"))
-    found = checkpointed(found)
 
-    out = []
-    for length in lengths:
-        of = items.where(F.col("length") == length).select("item", F.explode(_windows(length)).alias("w")).select("item", "w.window").distinct()
-        # A window of all words of a short item can't be found by fingerprints of longer windows: all texts are asked.
-        some = keyed if length < WINDOW else keyed.join(found.where("marks > 0").select("doc", "row").hint("shuffle_hash"), ["doc", "row"], "left_semi")
-        some = some.select("doc", "row", words(F.col("text")).alias("words")).select("doc", "row", F.explode(_windows(length)).alias("w")).select("doc", "row", "w.at", "w.window")
-        out.append(some.join(_small(of), "window").select("doc", "row", F.struct("at", F.lit(length).alias("length")).alias("span"), "item"))
-    if out:
-        at = reduce(DataFrame.unionAll, out).groupBy("doc", "row").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
-    else:
-        at = found.where("false").select("doc", "row", F.array().cast("array<struct<at:int,length:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    return found, at
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc: the id, where null is the least; row: hash of the text, so that rows that share an id are told apart."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(id_key().alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
 def _covered(spans: Column) -> Column:
@@ -101,22 +146,26 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids as sorted strings) and spans (at, length, in words) of every row of docs.
 
     Null and empty texts have no words and no hits; so have null and wordless items. An item of fewer than ten words
-    is one window. A null id stays null; rows that share an id are judged by their own text, and rows that repeat id
-    and text give one row each. Other columns of either table are passed over. Empty tables give no rows or no hits.
+    is one window; one with a null id is the item "". Items that share an id are one item. A null doc_id stays null;
+    rows that share an id are judged by their own text, and rows that repeat id and text give one row each. Other
+    columns of either table are passed over. Empty tables give no rows or no hits.
     """
-    found, at = hits(docs, benchmark)
-    copies = docs.select(id_key().alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"))
-    out = copies.join(found, ["doc", "row"]).join(at, ["doc", "row"], "left")
+    at = hits(docs, benchmark)
+    counted = _keyed(docs).select("doc", "row", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
-    return out.select(
+    return counted.join(at.hint("shuffle_hash"), ["doc", "row"], "left").select(
         id_back("doc").alias("doc_id"), "n_words", F.coalesce(_covered(F.col("spans")), F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", none).alias("items"), F.coalesce("spans", F.array().cast("array<struct<at:int,length:int>>")).alias("spans"),
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no window of any item."""
-    _, at = hits(docs, benchmark)
-    bad = at.select(F.col("doc").alias("__doc"), F.col("row").alias("__row"))
-    keys = docs.withColumns({"__doc": id_key(), "__row": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keys.join(bad.hint("shuffle_hash"), ["__doc", "__row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs, with all their columns, that hold no window of any item.
+
+    Null and empty texts stay; rows that share an id are judged by their own text; repeated rows stay or go together.
+    Columns may have any names. Without items all rows stay. Empty docs give no rows.
+    """
+    doc, row = spare(docs, "doc", "row")
+    bad = hits(docs, benchmark).select(F.col("doc").alias(doc), F.col("row").alias(row))
+    keys = docs.withColumns({doc: id_key(), row: F.xxhash64(F.coalesce("text", F.lit("")))})
+    return keys.join(bad.hint("shuffle_hash"), [doc, row], "left_anti").select(*columns(docs))

@@ -10,8 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import id_back, id_key
+from .common import columns, id_back, id_key, spare
 from .firsts import later, ranked
 
 #: A line counts from this many code points, once stripped, and goes if this many documents have it.
@@ -108,25 +109,33 @@ def _join(parts, keep, drops) -> bytes:
 
 
 def clean(docs: DataFrame, least_points: int = LEAST_POINTS, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """docs with all its columns, and with text and n_chars as they are without the lines that go."""
-    drops = dropped(docs, least_points, least_docs).select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("drops").alias("__drops"))
-    keys = docs.withColumns({"__doc": id_key(), "__row": F.xxhash64(F.coalesce("text", F.lit("")))})
-    both = keys.join(drops.hint("shuffle_hash"), ["__doc", "__row"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__drops")
+    """docs with all its columns, and with text and n_chars as they are without the lines that go.
 
-    names = docs.columns
+    A null text stays null, an empty one empty; neither holds lines that count. Rows that share a doc_id count as one
+    document, a null id is the least id, and repeated rows lose the same lines. A document that loses all its lines
+    stays, with an empty text. Columns may have any names; n_chars, where there is one, counts code points. Empty docs
+    give no rows.
+    """
+    doc, row, lost = spare(docs, "doc", "row", "drops")
+    drops = dropped(docs, least_points, least_docs).toDF(doc, row, lost)
+    keys = docs.withColumns({doc: id_key(), row: F.xxhash64(F.coalesce("text", F.lit("")))})
+    # Columns go by number through Arrow, which takes names as expressions.
+    number = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    both = keys.join(drops.hint("shuffle_hash"), [doc, row], "left").select(*[c.alias(n) for c, n in zip(columns(docs), number.values(), strict=True)], F.col(lost).alias("drops"))
 
     def run(batches):
         for batch in batches:
             texts, size = [], []
-            for text, gone in zip(batch["text"].to_pylist(), batch["__drops"].to_pylist(), strict=True):
+            for text, gone in zip(batch[number["text"]].to_pylist(), batch["drops"].to_pylist(), strict=True):
                 if gone is not None:
                     parts = text.split("\n")
                     text = "\n".join(x for x, k in zip(parts, keep_bits(len(parts), gone), strict=True) if k)
                 texts.append(text)
                 size.append(len(text) if text is not None else None)
-            out = {c: batch[c] for c in names} | {"text": pa.array(texts, pa.string())}
-            if "n_chars" in out:
-                out["n_chars"] = pa.array(size, out["n_chars"].type)
+            out = {n: batch[n] for n in number.values()} | {number["text"]: pa.array(texts, pa.string())}
+            if "n_chars" in number:
+                out[number["n_chars"]] = pa.array(size, out[number["n_chars"]].type)
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    return both.mapInArrow(run, docs.schema)
+    schema = T.StructType([T.StructField(number[f.name], f.dataType) for f in docs.schema.fields])
+    return both.mapInArrow(run, schema).toDF(*docs.columns)

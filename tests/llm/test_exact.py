@@ -85,11 +85,35 @@ def test_decontamination(spark, docs, pairs, none):
 
 def test_decontamination_without_broadcast(spark, docs, pairs, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
-    items = [(1, pairs[-3][1])]
+    monkeypatch.setattr(common, "FULL", 3)
+    items = [(1, pairs[-3][1]), (2, "one two three"), (3, " ".join(pairs[3][1].split()[:8]))]
     got = decontaminate.report(docs, spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "n_words", "n_hit").collect()
     assert same(got, [w[:3] for w in brute.decontaminate(pairs, items)])
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_decontamination_by_items_of_every_length(spark, seed):
+    """Few different words, so that windows repeat, overlap and touch; items of 1 to 30 words, one without an id."""
+    import random
+
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["a", "b", "c", f"w{rng.randrange(30)}"])
+    texts = [[word() for _ in range(rng.choice([0, 3, 9, 10, 11, 40, 200]))] for _ in range(60)] + [["a"] * 300, ["a", "b"] * 100]
+    items = [(i, texts[rng.randrange(60)][rng.randrange(20) :][: rng.randint(4, 30)] + ["new"] * (i % 3 == 0)) for i in range(12)] + [(99, ["a"] * 14), (None, ["a", "b"] * 6)]
+    pairs, items = [(i, " ".join(t)) for i, t in enumerate(texts)], [(i, " ".join(t)) for i, t in items]
+    got = decontaminate.report(rows(spark, pairs), spark.createDataFrame(items, "item_id long, text string"))
+    got = got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long"), F.sha2(F.array_join("items", ","), 256), F.col("n_hit") > 0).collect()
+    assert same(got, brute.decontaminate(pairs, [("" if i is None else i, t) for i, t in items]))
+
+
+@pytest.mark.parametrize("clean", [linededup.clean, neardup.clean, lambda d: decontaminate.clean(d, d.select(F.lit(1).alias("item_id"), F.lit("x y").alias("text")).limit(1))])
+def test_columns_of_any_name_stay(spark, clean):
+    names = ["_doc", "_row", "_drops", "_node", "__doc", "__row", "__node", "a.b", "a`b", "root"]
+    docs = spark.createDataFrame([(i, f"text number {i} of its own", *[f"{n}{i}" for n in names]) for i in range(5)], ["doc_id", "text", *names])
+    got = clean(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
+
+
 def test_secrets(docs, pairs, none):
     got = secrets.scan(docs)
     base = F.filter("secrets", lambda s: s["kind"].isin("assign", "access", "hex"))
