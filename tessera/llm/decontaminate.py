@@ -89,7 +89,8 @@ def _windows(runs: Column) -> Column:
         text = lambda i: F.array_join(F.slice(F.col("words"), i + 1, run["length"]), " ")
         return F.transform(F.sequence(run["at"], run["end"] - 1), lambda i: F.struct(i.alias("at"), run["length"].alias("length"), text(i).alias("window")))
 
-    return F.flatten(F.transform(runs, of))
+    # That the words are asked for twice keeps Spark from splitting the text anew for each window.
+    return F.when(F.size("words") > 0, F.flatten(F.transform(runs, of)))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = each.join(F.broadcast(marks) if _small(marks) else marks, "fingerprint", "left_semi")
     found = checkpointed(found.groupBy("doc", "row").agg(F.collect_list(F.struct("at", "end", "length")).alias("runs")))
 
-    some = split.join(found.hint("shuffle_hash"), ["doc", "row"])
+    some = keyed.join(found.hint("shuffle_hash"), ["doc", "row"]).select("doc", "row", "runs", words(F.col("text")).alias("words"))
     some = some.select("doc", "row", F.explode_outer(_windows(F.col("runs"))).alias("w")).select("doc", "row", "w.at", F.xxhash64("w.window").alias("key"), "w.length", "w.window")
     if _small(of):
         at = some.join(F.broadcast(of), ["key", "length", "window"])
