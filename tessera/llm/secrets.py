@@ -1,82 +1,73 @@
 """Secret scans: rules are regular expressions, and a trigram index tells which texts can match.
 
-Each rule's regular expression is turned into a Boolean query over trigrams that any match must contain. The index is
-inverted: a posting is a trigram and a document. Postings are intersected and united as the query says, and only
-documents that satisfy it are scanned for the rule. A rule without a mandatory trigram (runs of hexadecimal digits)
-scans every text. All of it is DataFrame functions.
+From each rule's regular expression a Boolean query over trigrams is derived that any match satisfies. The index is
+inverted: a posting is a trigram that a text holds, and the document. Postings are intersected and united as the query
+says, and only documents that satisfy it are scanned for the rule. A rule without a mandatory trigram (runs of
+hexadecimal digits) scans every text. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_back, id_key
-
-#: (alternatives of (trigrams that must all be there)): a disjunction of conjunctions. Empty: no trigram is mandatory.
-TrigramQuery = tuple[tuple[str, ...], ...]
+from .trigrams import ALL, Query, trigram_query
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``group`` of a match (0: all of it) must have at least ``least`` characters; other matches are dropped.
-
-    ``literals``: each match holds one of these in either case, the alternatives that the expression begins with.
-    """
+    """``group`` of a match (0: all of it) must have at least ``least`` characters; other matches are dropped."""
 
     kind: str
     pattern: str
     group: int
     least: int
-    literals: tuple[str, ...] = ()
 
-    def trigrams(self) -> TrigramQuery:
-        query = {tuple(sorted({x[i : i + 3] for i in range(len(x) - 2)})) for x in map(str.lower, self.literals)}
-        return () if () in query else tuple(sorted(query))
+    def trigrams(self) -> Query:
+        return trigram_query(self.pattern)
 
 
 #: The base rules come first, in the order of their kinds. A shorter form of the same matches stands for
 #: ``AKIA[A-Z0-9]+`` of 18 characters and ``[0-9a-f]+`` of 16: both match whole runs, from the leftmost on.
 BASE = (
-    Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12, ("password", "passwd", "secret", "token", "apikey", "api_key")),
-    Rule("access", r"AKIA[A-Z0-9]{14,}", 0, 18, ("AKIA",)),
+    Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
+    Rule("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),
 )
 ADDED = (
-    Rule("bearer", r"(?i:bearer)\x20+[A-Za-z0-9+/_.=~-]{20,}", 0, 20, ("bearer",)),
-    Rule("github", r"gh[opsur]_[A-Za-z0-9]{36,}", 0, 40, ("gho_", "ghp_", "ghs_", "ghu_", "ghr_")),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28, ("eyJ",)),
-    Rule("private", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 20, ("PRIVATE KEY-----",)),
+    Rule("bearer", r"(?i:bearer)\x20+[A-Za-z0-9+/_.=~-]{20,}", 0, 20),
+    Rule("github", r"gh[opsur]_[A-Za-z0-9]{36,}", 0, 40),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
+    Rule("private", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 20),
 )
 
 
+def _any_of(trigrams: list[str]) -> str:
+    """A regular expression that finds, at each place of a text, the trigram that begins there, if it is one of these."""
+    quoted = lambda x: "".join(c if c.isalnum() else "\\" + c for c in x)
+    by_first = {c: [quoted(t[1:]) for t in trigrams if t[0] == c] for c in sorted({t[0] for t in trigrams})}
+    return "(?=(" + "|".join(f"{quoted(c)}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + "))"
+
+
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """trigram, doc, row: the inverted index of docs (doc, row, text) for the trigrams that rules ask for.
+    """trigram, doc, row: the inverted index of docs (doc, row, text), of the trigrams that rules can ask for.
 
     Letters A-Z count as a-z.
     """
-    low = docs.select("doc", "row", F.lower("text").alias("low"))
-    held = F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams])
-    return low.select("doc", "row", F.explode(held).alias("trigram")).where("trigram is not null")
-
-
-def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """doc, row, and for each rule with a trigram query whether the document satisfies it."""
-    asked = [r for r in rules if r.trigrams()]
-    has = {t: F.max(F.col("trigram") == t) for t in sorted({t for r in asked for both in r.trigrams() for t in both})}
+    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_any_of(trigrams)), F.lit(1)))
+    return docs.select("doc", "row", F.explode_outer(held).alias("trigram")).where("trigram is not null")
 
-    def holds(rule: Rule) -> Column:
-        out = F.lit(False)
-        for both in rule.trigrams():
-            one = F.lit(True)
-            for t in both:
-                one = one & has[t]
-            out = out | one
-        return out
 
-    return index.groupBy("doc", "row").agg(*[holds(r).alias(f"may_{r.kind}") for r in asked])
+def candidates(index: DataFrame, rules: list[Rule]) -> DataFrame:
+    """doc, row, and for each of the rules, all with a trigram query, whether the document satisfies it."""
+    queries = {r.kind: sorted(map(sorted, r.trigrams())) for r in rules}
+    has = {t: F.max(F.col("trigram") == t) for t in sorted({t for q in queries.values() for all_ in q for t in all_})}
+    holds = {kind: reduce(Column.__or__, [reduce(Column.__and__, [has[t] for t in all_]) for all_ in q]) for kind, q in queries.items()}
+    return index.groupBy("doc", "row").agg(*[c.alias(f"may_{kind}") for kind, c in holds.items()])
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
@@ -108,9 +99,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(id_key().alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
-    asked = [r for r in rules if r.trigrams()]
-    trigrams = sorted({t for r in asked for both in r.trigrams() for t in both})
-    may = candidates(postings(keyed, trigrams), rules)
+    asked = [r for r in rules if r.trigrams() != ALL]
+    trigrams = sorted({t for r in asked for all_ in r.trigrams() for t in all_})
+    may = candidates(postings(keyed, trigrams), asked)
     both = keyed.join(may.hint("shuffle_hash"), ["doc", "row"], "left")
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
     found = both.select("doc", *[

@@ -6,7 +6,7 @@ import pytest
 from conftest import corpus, rows, same
 from pyspark.sql import functions as F
 
-from tessera.llm import common, decontaminate, firsts, linededup, neardup, secrets, substrings
+from tessera.llm import common, decontaminate, firsts, linededup, neardup, secrets, substrings, trigrams
 
 
 def test_line_dedup(docs, pairs, none):
@@ -136,8 +136,53 @@ def test_added_rules_and_trigrams(spark):
     text = "Bearer abcdefghijklmnopqrstuv ghp_" + "z" * 36 + " -----BEGIN RSA PRIVATE KEY-----"
     kinds = [s.kind for s in secrets.scan(rows(spark, [(1, text)])).first().secrets]
     assert kinds == ["bearer", "github", "private"]
-    queries = {r.kind: r.trigrams() for r in secrets.BASE}
-    assert queries["access"] == (("aki", "kia"),) and queries["hex"] == () and ("ken", "oke", "tok") in queries["assign"]
+
+
+def match_of(tokens, rng):
+    """A random string that parsed regular expression matches."""
+    from re import _constants as op
+
+    out = ""
+    for kind, value in tokens:
+        if kind is op.LITERAL:
+            out += chr(value)
+        elif kind is op.IN:
+            k, v = rng.choice(value)
+            out += chr(rng.randint(*v)) if k is op.RANGE else chr(v)
+        elif kind is op.SUBPATTERN:
+            part = match_of(value[-1], rng)
+            out += "".join(rng.choice((c.lower(), c.upper())) for c in part) if value[1] else part
+        elif kind is op.BRANCH:
+            out += match_of(rng.choice(value[1]), rng)
+        elif kind is op.ANY:
+            out += rng.choice("xyz ")
+        else:
+            out += "".join(match_of(value[2], rng) for _ in range(rng.randint(value[0], min(value[1], value[0] + rng.choice((0, 1, 5))))))
+    return out
+
+
+PATTERNS = ["abc|abd", "(abc)?def", "ab+c", "a[bc]d{2}e", "x.*yzw", "(foo|barbaz)qux(z|)", "(ab|c){2,3}d", "a{5,}b[cd]?e", "(?i:Foo)[a-z]{1,2}bar", "((a|b)(c|d)){3}ef*", "[abc][def][ghi][jkl]mno"]
+
+
+@pytest.mark.parametrize("pattern", [r.pattern for r in (*secrets.BASE, *secrets.ADDED)] + PATTERNS)
+def test_a_match_satisfies_the_query_of_its_rule(pattern):
+    import random
+    import re
+    from re import _parser
+
+    rng, query = random.Random(1), trigrams.trigram_query(pattern)
+    for _ in range(300):
+        text = match_of(_parser.parse(pattern), rng)
+        assert re.fullmatch(pattern, text)
+        low = ("-" + text + "-").lower()
+        assert any(all(t in low for t in every) for every in query)
+
+
+def test_trigram_queries():
+    of = lambda p: sorted("".join(sorted(x)) for x in map(lambda q: [t + " " for t in q], trigrams.trigram_query(p)))
+    assert of("AKIA[A-Z0-9]{14,}") == ["aki kia "] and of("[0-9a-f]{16,}") == [""] and of("(foo|fox)y") == ["foo ooy ", "fox oxy "]
+    assert of("ab?cd") == ["abc bcd ", "acd "] and of("abcd|x") == [""] and of(".abc.*def") == ["abc def "]
+    assert len(of(secrets.BASE[0].pattern)) == 6
 
 
 def test_near_duplicates(spark, pairs, none):
