@@ -181,6 +181,38 @@ class Logistic:
         return sigmoid(self.bias + np.bincount(docs, self.weights[places], len(texts)) / np.sqrt(np.maximum(total, 1)))
 
 
+def _paired(place, doc, y, df, pair: float, most: int) -> np.ndarray:
+    """Places of terms that have a partner: texts with both have another share of label 1 than those with either have.
+
+    By a chi-square of more than ``pair`` given either one, so that a strong term doesn't choose all that stand beside it.
+    Looked at are the ``most`` terms that tell texts apart most often; too rare ones can't reach that chi-square.
+    """
+    n = len(y)
+    share = df / max(n, 1)
+    some = np.sort(np.argsort(-share * (1 - share), kind="stable")[:most])
+    some = some[df[some] * max(1, n) > pair]
+    number = np.full(len(df), -1)
+    number[some] = np.arange(len(some))
+    keep = number[place] >= 0
+    by_label = np.argsort(-y, kind="stable")
+    text = np.argsort(by_label)[doc[keep]]
+    has = np.zeros((n, len(some)), np.float32)
+    has[text, number[place[keep]]] = 1
+    positive = has[: int(y.sum())]
+    rate = np.clip(positive.sum(0) / np.maximum(has.sum(0), 1), 0.02, 0.98)
+    found = np.zeros(len(some), bool)
+    for a in range(0, len(some), 512):
+        both, ones = has[:, a : a + 512].T @ has, positive[:, a : a + 512].T @ positive
+        chi = np.full(both.shape, np.inf, np.float32)
+        for r in (rate[a : a + 512, None], rate[None, :]):
+            np.minimum(chi, (ones - both * r) ** 2 / np.maximum(both * r * (1 - r), 1e-6), out=chi)
+        chi[both < 5] = 0
+        chi[np.arange(len(chi)), a + np.arange(len(chi))] = 0
+        i, j = np.nonzero(chi > pair)
+        found[a + i] = found[j] = True
+    return some[found]
+
+
 @dataclass
 class FactorizationMachine:
     """Second-order factorization machine over the terms that a text has or has not.
@@ -195,9 +227,12 @@ class FactorizationMachine:
     bias: float = 0.0
 
     @classmethod
-    def fit(cls, texts, y, features: Features, terms=4096, least=3, rank=8, epochs=20, rate=0.1, l1=2e-3, l2=1e-3, batch=64, sure=16.0) -> FactorizationMachine:
-        """Adagrad on log loss, with soft thresholds on w, over the terms that go with the label most (by a
-        chi-square of more than ``sure``)."""
+    def fit(cls, texts, y, features: Features, terms=4096, least=3, rank=8, epochs=20, steps=1000, rate=0.1, l1=2e-3, l2=1e-3, batch=64, sure=16.0, pair=32.0) -> FactorizationMachine:
+        """Adagrad on log loss, with soft thresholds on w, for ``epochs`` or, of few texts, for ``steps`` batches.
+
+        Over up to ``terms`` terms that go with the label by themselves, by a chi-square of more than ``sure``, and all
+        those of which two go with it together, by one of more than ``pair``, whatever each says alone.
+        """
         parts, first = [], 0
         for part in chunks(texts, CHUNK):
             places, docs, _ = features.of(part)
@@ -212,6 +247,7 @@ class FactorizationMachine:
             chi = np.where(df >= least, (positive - df * share) ** 2 / (df * share * (1 - share)), 0)
         chosen = np.sort(np.argsort(-np.nan_to_num(chi), kind="stable")[:terms])
         chosen = chosen[np.nan_to_num(chi[chosen]) > sure]
+        chosen = np.union1d(chosen, _paired(place, doc, y, df, pair, terms))
         number = np.full(size, -1)
         number[chosen] = np.arange(len(chosen))
         term, keep = number[place], number[place] >= 0
@@ -221,7 +257,7 @@ class FactorizationMachine:
         rng = np.random.default_rng(11)
         w, v = np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), rank))
         bias, gw, gv, gb = prior(y) if len(y) else 0.0, np.full(len(chosen), 1e-2), np.full((len(chosen), rank), 1e-2), 1.0
-        for _ in range(epochs if len(chosen) else 0):
+        for _ in range(max(epochs, -(-steps * batch // max(1, len(y)))) if len(chosen) else 0):
             order = rng.permutation(len(y))
             for start in range(0, len(order), batch):
                 some = order[start : start + batch]

@@ -51,11 +51,83 @@ def test_pairs_say_what_no_term_says(spark):
         a, b = rng.random() < 0.5, rng.random() < 0.5
         texts.append(" ".join([f"f{rng.randrange(40)}" for _ in range(10)] + ["insult"] * a + ["group"] * b))
         y.append(float(a == b))  # no term goes with the label by itself
-    feats = linear.Features(18, words=(1,))
-    m = linear.FactorizationMachine.fit(texts, np.array(y), feats, sure=-1.0, epochs=60, rate=0.3)
-    assert ((m.score(texts) >= 0.5) == np.array(y)).mean() > 0.95
-    flat = linear.FactorizationMachine(feats, m.places, m.w, m.v * 0, m.bias)
-    assert ((flat.score(texts) >= 0.5) == np.array(y)).mean() < 0.8
+    for feats in (linear.Features(18, words=(1,)), linear.Features(18, words=(1,), stems=True)):  # the latter as op2 has it
+        m = linear.FactorizationMachine.fit(texts, np.array(y), feats)
+        assert ((m.score(texts) >= 0.5) == np.array(y)).mean() > 0.95
+        flat = linear.FactorizationMachine(feats, m.places, m.w, m.v * 0, m.bias)
+        assert ((flat.score(texts) >= 0.5) == np.array(y)).mean() < 0.8
+
+
+def small_texts(n=90):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(n)]
+    return texts, np.array([float("a" in t and "b" in t) for t in texts])
+
+
+def terms_of(feats, texts):
+    return [dict(zip(*np.unique(feats.of([t])[0], return_counts=True))) for t in texts]
+
+
+def test_quality_model_is_ftrl_written_out():
+    texts, y = small_texts()
+    feats = linear.Features(10, words=(1, 2))
+    m = linear.Logistic.fit(texts, y, feats, epochs=3, batch=4)
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.05, 0.5
+    z, n, z0 = {}, {}, linear.prior(y)
+    x = [{**{k: c / np.sqrt(sum(d.values())) for k, c in d.items()}, "bias": 1.0} for d in terms_of(feats, texts)]
+
+    def w(k):
+        v = z.get(k, 0.0)
+        return 0.0 if abs(v) <= l1 else (np.sign(v) * l1 - v) / ((beta + np.sqrt(n.get(k, 0.0))) / alpha + l2)
+
+    rng = np.random.default_rng(7)
+    for _ in range(3):
+        order = rng.permutation(len(y))
+        for start in range(0, len(y), 4):
+            some = order[start : start + 4]
+            weights = {k: w(k) for i in some for k in x[i]}
+            error = {i: linear.sigmoid(z0 + sum(weights[k] * v for k, v in x[i].items())) - y[i] for i in some}
+            for k in weights:
+                g = sum(x[i].get(k, 0) * error[i] for i in some)
+                z[k] = z.get(k, 0) + g - (np.sqrt(n.get(k, 0) + g * g) - np.sqrt(n.get(k, 0))) / alpha * weights[k]
+                n[k] = n.get(k, 0) + g * g
+    assert m.bias == pytest.approx(w("bias") + z0, abs=1e-5)
+    assert all(m.weights[k] == pytest.approx(w(k), abs=1e-5) for k in z if k != "bias") and np.count_nonzero(m.weights) > 5
+
+
+def test_toxicity_model_is_a_factorization_machine_written_out():
+    texts, y = small_texts()
+    feats = linear.Features(10, words=(1,))
+    m = linear.FactorizationMachine.fit(texts, y, feats, epochs=3, steps=1, batch=16, sure=-1.0, terms=8)
+    places = m.places.tolist()
+    x = [[places.index(k) for k in d if k in places] for d in terms_of(feats, texts)]
+    rng = np.random.default_rng(11)
+    w, v = np.zeros(8), rng.normal(0, 0.05, (8, 8))
+    bias, gw, gv, gb = linear.prior(y), np.full(8, 1e-2), np.full((8, 8), 1e-2), 1.0
+
+    def value(t):
+        return linear.sigmoid(bias + sum(w[i] for i in t) + sum(v[i] @ v[j] for a, i in enumerate(t) for j in t[:a]))
+
+    for _ in range(3):
+        order = rng.permutation(len(y))
+        for start in range(0, len(y), 16):
+            some = order[start : start + 16]
+            error = {t: (value(x[t]) - y[t]) / len(some) for t in some}
+            used = sorted({i for t in some for i in x[t]})
+            d = {i: sum(error[t] for t in some if i in x[t]) for i in used}
+            dv = {i: sum(error[t] * sum((v[j] for j in x[t] if j != i), np.zeros(8)) for t in some if i in x[t]) + 1e-3 * v[i] for i in used}
+            for i in used:
+                gw[i] += d[i] ** 2
+                gv[i] += dv[i] ** 2
+                step = 0.1 / np.sqrt(gw[i])
+                new = w[i] - step * d[i]
+                w[i] = np.sign(new) * max(0, abs(new) - step * 2e-3)
+                v[i] = v[i] - 0.1 / np.sqrt(gv[i]) * dv[i]
+            e = sum(error.values())
+            gb += e * e
+            bias -= 0.1 / np.sqrt(gb) * e
+    assert len(places) == 8 and m.w == pytest.approx(w, abs=1e-5) and m.v == pytest.approx(v, abs=1e-5) and m.bias == pytest.approx(bias, abs=1e-5)
+    assert m.score(texts) == pytest.approx([value(t) for t in x], abs=1e-5)
 
 
 def test_labels_of_the_held_out_fifth_are_never_read(spark):
