@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,14 @@ BROADCAST_ROWS = 100_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder that ``spark.checkpoint.dir`` names; where the session names none, to a local one."""
+    """df, written to the folder that ``spark.checkpoint.dir`` names. Where the session names none, a local master (tests)
+    gets one of this machine; a cluster is refused, as its machines would not share it."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not given and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint(eager=True)
 
 
@@ -25,6 +30,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined to right by keys, where a null equals a null: such rows are a stratum like any other."""
+    other = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys])
+    return left.join(other, same, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def positioned(df: DataFrame, *order: str, name: str = "position", first: int = 1) -> DataFrame:
     """df with dense positions in the order of the given columns, without bringing all rows to one task.
 

@@ -10,8 +10,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,13 +109,30 @@ def schedule(firsts: list[int], interval: int, rows: int) -> list[int]:
     return out
 
 
-def reallocate(old: dict[str, int], counts: dict[str, int], variances: dict[str, float], budget: int, minimum: int, max_fraction: float, max_change: float):
+def _event_of(position: Column, events: list[int]) -> Column:
+    """The number of the first event at or after a position. Between two irregular ones (first appearances) events lie
+    evenly, so that a few stretches say all: where each starts, its first event's number, and its step."""
+    stretches: list[list[int]] = []  # position and number of the first event, step, events
+    for i, p in enumerate(events):
+        if stretches and (stretches[-1][3] == 1 or p - events[i - 1] == stretches[-1][2]):
+            stretches[-1][2:] = p - events[i - 1], stretches[-1][3] + 1
+        else:
+            stretches.append([p, i, 1, 1])
+    out = F.lit(len(events))
+    for start, first, step, n in reversed(stretches):
+        last = start + (n - 1) * step
+        number = F.lit(first) + F.greatest(F.ceil((position - start) / F.lit(float(step))), F.lit(0)).cast("int")
+        out = F.when(position <= last, number).otherwise(out)
+    return out.cast("int")
+
+
+def reallocate(old: dict[str, int], counts: dict[str, int], variances: dict[str, float], budget: int, minimum: int, max_fraction: float, max_change: float, newcomers: int = 0):
     """Target and new capacities, and the scores: rows times the deviation that is being followed."""
     scores = {k: n * math.sqrt(max(variances[k], 1e-12)) for k, n in counts.items()}
     most = {k: min(n, max(minimum, int(budget * max_fraction))) for k, n in counts.items()}
     least = {k: min(minimum, most[k]) for k in counts}
     target = hamilton(budget, scores, least, most)
-    return target, hysteresis(old, target, scores, max(1, math.ceil(budget * max_change)), least, most), scores
+    return target, hysteresis(old, target, scores, max(1, math.ceil(budget * max_change)), least, most, newcomers), scores
 
 
 def flink_allocation(counts: dict[str, int], variances: dict[str, float], budget: int) -> dict[str, int]:
@@ -129,7 +144,7 @@ def flink_allocation(counts: dict[str, int], variances: dict[str, float], budget
 
 def dynamic_va(
     df: DataFrame, stratum: str, position: str, value: str, ids: Ids, budget: int, interval: int = 10_000, minimum: int = 1,
-    alpha: float = 0.01, max_fraction: float = 1.0, max_change: float = 0.25, seed: int = 42,
+    alpha: float = 0.01, max_fraction: float = 1.0, max_change: float = 0.25, seed: int = 42, newcomers: int = 0,
 ) -> Dynamic:
     """Capacities that follow the stream: at each event a new target by rows times deviation, approached in steps.
 
@@ -144,13 +159,7 @@ def dynamic_va(
     events = schedule(list(found.values()), interval, rows)
     if len(events) * max(len(found), 1) + rows / SEGMENT > SEGMENTS:
         raise ValueError("too many allocations: raise the interval")
-    marks = np.array(events, np.int64)
-
-    @F.pandas_udf("int")
-    def event_of(p: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(marks, p.to_numpy()).astype(np.int32))
-
-    parts = segments(df, stratum, position, value, alpha, event_of(F.col(position).cast("long"))).select("stratum", "event", "part", "n", "mean", "m2", "first", "c.*").toPandas()
+    parts = segments(df, stratum, position, value, alpha, _event_of(F.col(position).cast("long"), events)).select("stratum", "event", "part", "n", "mean", "m2", "first", "c.*").toPandas()
     by_event = {e: g for e, g in parts.sort_values(["event", "part", "stratum"]).groupby("event")}
     counts: dict[str, int] = {}
     means, m2, ema, follow, capacities = {}, {}, {}, {}, {}
@@ -166,7 +175,7 @@ def dynamic_va(
             counts[k] = n + x.n
             m = ema[k]
             ema[k], follow[k] = x.a * m + x.b, x.a * follow[k] + x.p * m * m + x.q * m + x.r
-        target, capacities, scores = reallocate(capacities, counts, follow, budget, minimum, max_fraction, max_change)
+        target, capacities, scores = reallocate(capacities, counts, follow, budget, minimum, max_fraction, max_change, newcomers)
         history += [(i, p, k, target[k], capacities[k], scores[k], counts[k], m2[k] / (counts[k] - 1) if counts[k] > 1 else 0.0, follow[k]) for k in sorted(counts)]
     spark = df.sparkSession
     table = spark.createDataFrame(history, "event_id int, records_seen long, stratum string, target int, capacity int, score double, count long, welford_variance double, ema_variance double")

@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.shared import null_safe_join
+
 
 def hamilton(budget: int, weights: Mapping[str, float], minimum: int | Mapping[str, int] = 1, maximums: Mapping[str, int] | None = None, ascending_ties: bool = False) -> dict[str, int]:
     """Largest remainders with caps: every stratum gets its minimum, the rest goes by weight (equally if all are 0).
 
-    Whole shares first, then single slots by the largest fraction; of equal fractions, the larger name, or with
-    ``ascending_ties`` the smaller. What caps leave over is dealt again. The result adds up to min(budget, all caps).
+    In rounds: whole shares as far as caps allow, then single slots by the largest fraction; of equal fractions, the
+    larger name, or with ``ascending_ties`` the smaller. What caps leave over goes on to the next round. A negative
+    weight counts as 0. The result adds up to min(budget, all caps).
     """
     keys = sorted(weights)
     least = {k: minimum if isinstance(minimum, int) else int(minimum[k]) for k in keys}
     most = {k: budget if maximums is None else int(maximums[k]) for k in keys}
     if budget < 0 or any(v < 0 for v in least.values()) or any(v < 0 for v in most.values()):
         raise ValueError("budget, minimums and maximums must not be negative")
-    if any(not w >= 0 or math.isinf(w) for w in weights.values()):
-        raise ValueError("weights must be finite and not negative")
+    if not all(math.isfinite(w) for w in weights.values()):
+        raise ValueError("weights must be finite")
+    weights = {k: max(0.0, float(w)) for k, w in weights.items()}
     if budget < sum(least.values()):
         raise ValueError("the budget is less than the minimum of all strata")
     if any(most[k] < least[k] for k in keys):
@@ -36,11 +41,9 @@ def hamilton(budget: int, weights: Mapping[str, float], minimum: int | Mapping[s
         rest -= sum(whole.values())
         order = sorted(free, reverse=not ascending_ties)
         order.sort(key=lambda k: share[k] - math.floor(share[k]), reverse=True)
-        capped = any(whole[k] < math.floor(share[k]) for k in free)
-        for k in order if not capped else ():
-            if rest and got[k] < most[k]:
-                got[k] += 1
-                rest -= 1
+        single = [k for k in order if got[k] < most[k]][:rest]
+        got.update({k: got[k] + 1 for k in single})
+        rest -= len(single)
     return got
 
 
@@ -74,7 +77,7 @@ def policy_weights(counts: DataFrame, pilots: DataFrame, policy: str, counts_fro
 
     counts_from: "full" takes the rows of all data, "pilot" those of the pilot.
     """
-    both = counts.join(pilots, "stratum")
+    both = null_safe_join(counts, pilots, ["stratum"])
     n = F.col("total_seen" if counts_from == "full" else "pilot_rows").cast("double")
     weight = {"equal": F.lit(1.0), "proportional": n, "neyman": n * F.col("pilot_sd")}
     if policy not in weight:
@@ -86,29 +89,31 @@ def equal(strata: list[str], budget: int) -> dict[str, int]:
     return hamilton(budget, dict.fromkeys(strata, 1.0))
 
 
-def hysteresis(old: Mapping[str, int], target: Mapping[str, int], scores: Mapping[str, float], step: int, least: Mapping[str, int], most: Mapping[str, int]) -> dict[str, int]:
-    """Capacities moved from old towards target by at most ``step`` each; a new stratum starts at its minimum.
+def hysteresis(
+    old: Mapping[str, int], target: Mapping[str, int], scores: Mapping[str, float], step: int, least: Mapping[str, int], most: Mapping[str, int], newcomers: int = 0
+) -> dict[str, int]:
+    """Capacities moved from old towards target by at most ``step`` each; a new stratum starts at its minimum, or with
+    ``newcomers`` slots if these are more: with a minimum of 0 it would never get any.
 
     Then single slots go where most are lacking, or are taken where most are over, until the sum is the target's or
-    nothing may move. Of equal differences the score decides, then the name.
+    nothing may move. Of equal differences the score decides, then the name. As each slot that a stratum gets makes it
+    lack one less, these are simply the first ones of all slots that could be given, in that order.
     """
-    low, high = {}, {}
+    reach = {}
     for k in target:
-        before = old.get(k, 0)
-        if before:
-            low[k] = max(least[k], min(before - step, most[k]))
-            high[k] = max(low[k], min(most[k], before + step))
+        if old.get(k, 0):
+            low = max(least[k], min(old[k] - step, most[k]))
+            reach[k] = low, max(low, min(most[k], old[k] + step))
         else:
-            low[k] = least[k]
-            high[k] = min(most[k], max(1, least[k]))
-    out = {k: min(max(target[k], low[k]), high[k]) for k in target}
-    goal = sum(target.values())
-
-    def lack(k):
-        return target[k] - out[k], scores[k], k
-
-    while sum(out.values()) < goal and (free := [k for k in out if out[k] < high[k]]):
-        out[max(free, key=lack)] += 1
-    while sum(out.values()) > goal and (free := [k for k in out if out[k] > low[k]]):
-        out[min(free, key=lack)] -= 1
+            reach[k] = least[k], max(least[k], min(most[k], newcomers))
+    out = {k: min(max(target[k], low), high) for k, (low, high) in reach.items()}
+    missing = sum(target.values()) - sum(out.values())
+    if missing > 0:
+        slots = ((target[k] - out[k] - i, scores[k], k) for k in out for i in range(reach[k][1] - out[k]))
+        moved = [(k, 1) for _, _, k in heapq.nlargest(missing, slots)]
+    else:
+        slots = ((target[k] - out[k] + i, scores[k], k) for k in out for i in range(out[k] - reach[k][0]))
+        moved = [(k, -1) for _, _, k in heapq.nsmallest(-missing, slots)]
+    for k, n in moved:
+        out[k] += n
     return out

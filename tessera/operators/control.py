@@ -18,42 +18,51 @@ class CostFunction(Protocol):
 class LinearCost:
     """Slots for each stratum that a budget buys, between a least and a most."""
 
-    items_per_unit: float
+    items_per_unit: float = 1.0
     least: int = 1
-    most: int = 1 << 31
+    most: int = 100_000
 
     def __post_init__(self):
         if self.items_per_unit <= 0 or self.least < 1 or self.most < self.least:
             raise ValueError("a cost function needs positive items, and 1 <= least <= most")
 
-    def sample_size(self, budget: float, strata: int) -> int:
-        return max(self.least, min(self.most, int(budget * self.items_per_unit / max(strata, 1))))
+    def sample_size(self, budget: float, strata: int = 1) -> int:
+        if budget < 0 or strata < 1:
+            raise ValueError("a budget must not be negative, and there is one stratum at least")
+        return max(self.least, min(self.most, int(budget * self.items_per_unit / strata)))
 
     def column(self, budget: Column, strata: Column) -> Column:
+        """The same of columns; a negative budget counts as 0 and no strata as one."""
         n = F.floor(budget * self.items_per_unit / F.greatest(strata, F.lit(1)))
         return F.greatest(F.lit(self.least), F.least(F.lit(self.most), n)).cast("int")
 
 
 @dataclass
 class AdaptiveController:
-    """The next capacity from the last result: smaller if its relative error is on target, else larger, up to twofold."""
+    """The next capacity from the last result: smaller if its relative error is on target, else larger, up to twofold;
+    always between a least and a most."""
 
-    target: float
+    target: float = 0.05
     least: int = 1
-    most: int = 1 << 31
-    shrink: float = 0.1
+    most: int = 100_000
+    shrink: float = 0.5
+
+    def __post_init__(self):
+        if self.target <= 0 or not 1 <= self.least <= self.most or not 0 < self.shrink <= 1:
+            raise ValueError("a controller needs a positive target, 1 <= least <= most, and 0 < shrink <= 1")
 
     def next_size(self, current: int, estimate: float, error: float) -> int:
-        ratio = error / abs(estimate) if estimate else (float("inf") if error > 0 else 0.0)
-        if ratio <= self.target:
-            return max(self.least, int(current * (1 - self.shrink)))
-        return max(self.least, min(self.most, int(current * min(2.0, max(1.1, ratio / self.target)))))
+        if current < 1 or error < 0:
+            raise ValueError("a capacity is 1 at least, and an error not negative")
+        ratio = error / abs(estimate) if estimate else (float("inf") if error else 0.0)
+        factor = 1 - self.shrink if ratio <= self.target else min(2.0, max(1.1, ratio / self.target))
+        return min(self.most, max(self.least, int(current * factor)))
 
     def column(self, current: Column, estimate: Column, error: Column) -> Column:
         ratio = F.when(estimate != 0, error / F.abs(estimate)).otherwise(F.when(error > 0, F.lit(float("inf"))).otherwise(F.lit(0.0)))
-        factor = F.least(F.lit(2.0), F.greatest(F.lit(1.1), ratio / self.target))
-        up = F.greatest(F.lit(self.least), F.least(F.lit(self.most), F.floor(current * factor).cast("int")))
-        return F.when(ratio <= self.target, F.greatest(F.lit(self.least), F.floor(current * (1 - self.shrink)).cast("int"))).otherwise(up)
+        up = F.least(F.lit(2.0), F.greatest(F.lit(1.1), ratio / self.target))
+        factor = F.when(ratio <= self.target, F.lit(1 - self.shrink)).otherwise(up)
+        return F.least(F.lit(self.most), F.greatest(F.lit(self.least), F.floor(current * factor))).cast("int")
 
 
 @dataclass

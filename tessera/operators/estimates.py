@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.shared import null_safe_join
 from tessera.functions.stats import with_interval
 
 from .sampling import Sample
@@ -103,7 +104,7 @@ def estimate_means(sample: Sample, values: list[str], level: float = 0.95) -> Da
     parts = [F.struct(F.lit(v).alias("field"), _value(v).alias("v")) for v in values]
     long = sample.rows.select("stratum", F.explode(F.array(*parts)).alias("x")).select("stratum", "x.field", "x.v")
     of = long.groupBy("field", "stratum").agg(F.count("v").alias("y"), F.sum("v").alias("sampled_sum"), F.var_samp("v").alias("s2"))
-    both = of.join(sample.strata.select("stratum", "total_seen", "capacity", "weight"), "stratum").withColumn("s2", F.coalesce("s2", F.lit(0.0)))
+    both = null_safe_join(of, sample.strata.select("stratum", "total_seen", "capacity", "weight"), ["stratum"]).withColumn("s2", F.coalesce("s2", F.lit(0.0)))
     total = F.sum("total_seen").cast("double")
     got = both.groupBy("field").agg((F.sum(F.col("weight") * F.col("sampled_sum")) / total).alias("estimate"), (F.sum(_sum_term()) / (total * total)).alias("variance"), _degenerate())
     return with_interval(got, level)

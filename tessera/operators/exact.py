@@ -33,9 +33,10 @@ def first_appearance(df: DataFrame, stratum: str | Column, position: str) -> Dat
 
 
 def deduplicated(df: DataFrame, seq: str = "seq", keep_last_of: str | None = None) -> DataFrame:
-    """One row for each seq; with ``keep_last_of`` that with the largest such value, else any."""
+    """One row for each seq; with ``keep_last_of`` that with the largest such value, else the one that sorts first by all
+    columns, so that conflicting rows give the same result whatever their order."""
     if keep_last_of is None:
-        return df.dropDuplicates([seq])
+        return df.groupBy(seq).agg(F.min(F.struct(*df.columns)).alias("row")).select("row.*")
     best = df.groupBy(seq).agg(F.max_by(F.struct(*df.columns), F.col(keep_last_of)).alias("row"))
     return best.select("row.*")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.priority import priority
-from tessera.functions.shared import event_time
+from tessera.functions.shared import event_time, null_safe_join
 from tessera.functions.stats import z_score
 
 from .sampling import Ids, _ids
@@ -78,7 +78,7 @@ def estimates(df: DataFrame, stratum: str, value: str, ids: Ids, capacity: int,
     v = F.col(value).cast("double")
     seen = df.groupBy(*keys, F.col(stratum).cast("string").alias("stratum")).agg(F.count("*").alias("c"), F.sum(v).alias("all"))
     drawn = pooled(df, stratum, ids, capacity, seed).groupBy(*keys, "stratum").agg(F.count("*").alias("y"), F.sum(v).alias("s"), F.coalesce(F.var_samp(v), F.lit(0.0)).alias("s2"))
-    both = seen.join(drawn, [*keys, "stratum"]).withColumn("w", F.when(F.col("c") > capacity, F.col("c") / F.lit(float(capacity))).otherwise(F.lit(1.0)))
+    both = null_safe_join(seen, drawn, [*keys, "stratum"]).withColumn("w", F.when(F.col("c") > capacity, F.col("c") / F.lit(float(capacity))).otherwise(F.lit(1.0)))
     c = F.col("c").cast("double")
     term = F.when((c > F.col("y")) & (F.col("y") > 1), c * (c - F.col("y")) * F.col("s2") / F.col("y")).otherwise(F.lit(0.0))
     more = [F.sum("all").alias("exact_sum"), (F.sum("all") / F.sum("c")).alias("exact_mean"), F.sum("c").alias("exact_count")] if exact else []

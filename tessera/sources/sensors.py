@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.shared import null_safe_join
+
 #: The range of valid sensor numbers.
 FIRST_MOTE, LAST_MOTE = 1, 54
 MEASURES = ("temperature", "humidity", "light", "voltage")
@@ -119,11 +121,12 @@ def to_messages(df: DataFrame, key: str, *columns: str) -> DataFrame:
 def window_messages(windows: DataFrame, strata: DataFrame, samples: DataFrame) -> DataFrame:
     """key ("start:end") and value: a window's results with, for each stratum, its counts, weight and sampled rows.
 
-    windows and strata have window_start and window_end, strata and samples also stratum; samples has values.
+    windows and strata have window_start and window_end, strata and samples also stratum; samples has values. The null
+    stratum goes by the name "null".
     """
     keys = ["window_start", "window_end"]
     rows = samples.groupBy(*keys, "stratum").agg(F.collect_list(F.struct(*[c for c in samples.columns if c not in (*keys, "stratum")])).alias("samples"))
-    parts = strata.join(rows, [*keys, "stratum"], "left")
+    parts = null_safe_join(strata, rows, [*keys, "stratum"], "left").withColumn("stratum", F.coalesce("stratum", F.lit("null")))
     entry = F.struct("stratum", F.struct(*[c for c in parts.columns if c not in (*keys, "stratum")]))
     nested = parts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("strata"))
     both = windows.join(nested, keys, "left")

@@ -7,7 +7,6 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,13 +39,25 @@ def normal(seed: int, salt: str) -> Column:
     return radius * F.cos(_unit(seed, salt + "a") * (2 * math.pi))
 
 
-def _poisson(df: DataFrame, name: str, rate: str, seed: int) -> DataFrame:
-    """df with a Poisson number of the given rate in a column; numbered by id, drawn in batches outside the JVM."""
-    @F.pandas_udf("double")
-    def draw(ids: pd.Series, rates: pd.Series) -> pd.Series:
-        return pd.Series([float(np.random.default_rng([seed, int(i)]).poisson(r)) if r == r else None for i, r in zip(ids, rates, strict=True)])
+#: Rates up to which Poisson numbers come from their distribution function; above, from a normal number.
+TABLE_RATE = 400.0
 
-    return df.withColumn(name, F.when(F.col(rate).isNotNull(), draw("id", rate)))
+
+def poisson(rate: float, seed: int, salt: str = "v") -> Column:
+    """A Poisson number of the given rate by id: the first whose cumulated probability is above a uniform number.
+
+    For a rate above TABLE_RATE, a normal number with the correction for skewness, rounded; its error is less than one.
+    """
+    if rate > TABLE_RATE:
+        z = normal(seed, salt)
+        return F.greatest(F.lit(0.0), F.floor(z * math.sqrt(rate) + (z * z - 1) / 6 + (rate + 0.5)).cast("double"))
+    ends, total, log = [], 0.0, -rate
+    for k in range(int(rate + 12 * math.sqrt(rate) + 25)):
+        total += math.exp(log)
+        ends.append(min(1.0, total))
+        log += math.log(rate) - math.log(k + 1) if rate > 0 else -math.inf
+    u = _unit(seed, salt)
+    return F.size(F.filter(F.array(*[F.lit(x) for x in ends]), lambda x: x <= u)).cast("double")
 
 
 def _frame(spark: SparkSession, n: int) -> DataFrame:
@@ -68,8 +79,7 @@ def gaussian_stream(spark: SparkSession, n: int, mean=0.0, std=1.0, name="S1", s
 
 
 def poisson_stream(spark: SparkSession, n: int, rate=1.0, name="S1", start=0.0, step=0.001, seed=42) -> DataFrame:
-    rows = _poisson(_frame(spark, n).withColumn("rate", F.lit(float(rate))), "value", "rate", seed)
-    return rows.select("id", F.lit(name).alias("sensor_id"), "value", _times(start, step))
+    return _frame(spark, n).select("id", F.lit(name).alias("sensor_id"), poisson(float(rate), seed).alias("value"), _times(start, step))
 
 
 def multi_strata_stream(spark: SparkSession, specs: list[StratumSpec], n: int, start=0.0, step=0.001, seed=42) -> DataFrame:
@@ -83,22 +93,18 @@ def multi_strata_stream(spark: SparkSession, specs: list[StratumSpec], n: int, s
     for i in reversed(range(len(specs) - 1)):
         which = F.when(pick < float(ends[i]), F.lit(i)).otherwise(which)
     rows = _frame(spark, n).withColumn("which", which)
-    value, rate = F.lit(None).cast("double"), F.lit(None).cast("double")
+    value = F.lit(None).cast("double")
     for i, s in enumerate(specs):
         p, here = s.params, F.col("which") == i
-        if s.distribution == "poisson":
-            rate = F.when(here, F.lit(float(p["lam"]))).otherwise(rate)
-            continue
         draw = {
+            "poisson": lambda p=p: poisson(float(p["lam"]), seed),
             "gaussian": lambda p=p: normal(seed, "v") * float(p.get("std", 1)) + float(p.get("mean", 0)),
             "uniform": lambda p=p: _unit(seed, "v") * float(p.get("high", 1) - p.get("low", 0)) + float(p.get("low", 0)),
             "constant": lambda p=p: F.lit(float(p["value"])),
         }[s.distribution]()
         value = F.when(here, draw).otherwise(value)
     names = F.element_at(F.array(*[F.lit(s.name) for s in specs]), F.col("which") + 1)
-    rows = rows.withColumns({"value": value, "rate": rate})
-    if any(s.distribution == "poisson" for s in specs):
-        rows = _poisson(rows, "drawn", "rate", seed).withColumn("value", F.coalesce("value", "drawn"))
+    rows = rows.withColumn("value", value)
     return rows.select("id", names.alias("sensor_id"), "value", _times(start, step))
 
 

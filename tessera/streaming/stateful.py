@@ -68,24 +68,32 @@ def reservoirs(df: DataFrame, stratum: str, value: str, capacity: int, seed: int
     )
 
 
-def count_windows(df: DataFrame, value: str, size: int) -> DataFrame:
-    """Windows of ``size`` records each, once full: window_start, window_end (record indexes), count, sum, mean."""
+def count_windows(df: DataFrame, value: str, size: int, partial: bool = False) -> DataFrame:
+    """Windows of ``size`` records each: window_start, window_end (record indexes), count, sum, mean.
+
+    Each is given once it is full; with ``partial`` (and output mode "update") what there is of the last one as well,
+    anew after each batch: of a window's rows the one with the largest count is its result, the short tail included.
+    One key numbers all records, as numbers run over the whole stream: its throughput is that of one task.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (start, held), out = state.get if state.exists else (0, []), []
-        held = list(held)
+        start, held = state.get if state.exists else (0, [])
+        values, out = [float(v) for v in held], []
         for frame in frames:
-            held = held + [float(v) for v in frame["value"]]
-        while len(held) >= size:
-            part, held = held[:size], held[size:]
-            out.append((start, start + size, size, sum(part), sum(part) / size))
-            start += size
-        state.update((start, held))
+            values.extend(frame["value"].astype(float))
+            full = len(values) // size * size
+            for at in range(0, full, size):
+                part = values[at : at + size]
+                out.append((start + at, start + at + size, size, sum(part), sum(part) / size))
+            start, values = start + full, values[full:]
+        if partial and values:
+            out.append((start, start + len(values), len(values), sum(values), sum(values) / len(values)))
+        state.update((start, values))
         yield pd.DataFrame(out, columns=["window_start", "window_end", "count", "sum", "mean"])
 
     keyed = df.select(F.lit("global").alias("key"), F.col(value).cast("double").alias("value"))
     return keyed.groupBy("key").applyInPandasWithState(
-        run, "window_start long, window_end long, count long, sum double, mean double", "start long, held array<double>", "append", GroupStateTimeout.NoTimeout
+        run, "window_start long, window_end long, count long, sum double, mean double", "start long, held array<double>", "update" if partial else "append", GroupStateTimeout.NoTimeout
     )
 
 

@@ -45,6 +45,16 @@ def replay(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: s
     query.awaitTermination()
 
 
+def flushed(rows: DataFrame, emitted: DataFrame, value: str, size: str, slide: str | None = None, base: str | None = None) -> DataFrame:
+    """emitted, and the windows that were still open when a stream came to its end.
+
+    rows: all that the stream has read, with event_time; emitted: what exact_windows has given in append mode. A row is
+    late only for a window that is closed, so that those left open hold all their rows.
+    """
+    open_ = exact_windows(rows, value, size, slide, base).join(emitted.select("window_start"), "window_start", "left_anti")
+    return emitted.unionByName(open_)
+
+
 def observed(df: DataFrame, name: str, value: Column | None = None) -> DataFrame:
     """df with counters that a streaming listener or an Observation reads: records, and sum of a value."""
     extra = [F.sum(value).alias("value_total")] if value is not None else []

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import stats
 from tessera.functions.shared import positioned
-from tessera.operators import adaptive, allocation, control, estimates, exact, experiments, windows
+from tessera.operators import adaptive, allocation, control, estimates, exact, experiments, sampling, windows
 
 
 def test_hamilton_sums_minimums_caps_and_ties():
@@ -14,7 +14,7 @@ def test_hamilton_sums_minimums_caps_and_ties():
     assert allocation.hamilton(7, {"a": 0, "b": 0}, 1) == {"a": 3, "b": 4}
     assert allocation.hamilton(10, {"a": 8, "b": 1}, 1, {"a": 3, "b": 20}) == {"a": 3, "b": 7}
     assert allocation.hamilton(10, {"a": 8, "b": 1}, 1, {"a": 3, "b": 2}) == {"a": 3, "b": 2}
-    for bad in ((1, {"a": 1, "b": 1}), (-1, {"a": 1}), (5, {"a": -1.0}), (5, {"a": 1}, 2, {"a": 1})):
+    for bad in ((1, {"a": 1, "b": 1}), (-1, {"a": 1}), (5, {"a": 1}, 2, {"a": 1})):
         with pytest.raises(ValueError):
             allocation.hamilton(*bad)
 
@@ -25,6 +25,98 @@ def test_hamilton_table_equals_the_function(spark):
     assert {r.stratum: r.capacity for r in got.collect()} == allocation.hamilton(37, weights)
 
 
+def plain_hamilton(budget, weights, minimum, caps):
+    """The rule round by round: floors as far as caps allow, then one slot each by (fraction, name) from above."""
+    weights = {k: max(0.0, w) for k, w in weights.items()}
+    got, left = dict.fromkeys(weights, minimum), min(budget, sum(caps.values())) - minimum * len(weights)
+    while left > 0:
+        free = [k for k in weights if got[k] < caps[k]]
+        total, before = sum(weights[k] for k in free), left
+        share = {k: before * weights[k] / total if total else before / len(free) for k in free}
+        for k in free:
+            n = min(caps[k] - got[k], int(share[k]))
+            got[k], left = got[k] + n, left - n
+        for k in sorted(free, key=lambda k: (share[k] % 1, k), reverse=True):
+            if left and got[k] < caps[k]:
+                got[k], left = got[k] + 1, left - 1
+    return got
+
+
+def test_capped_allocation_follows_the_rule():
+    import random
+
+    assert allocation.hamilton(42, dict(zip("abcd", (34, 13, 38, 35))), 1, dict(zip("abcd", (19, 10, 15, 3)))) == dict(zip("abcd", (16, 8, 15, 3)))
+    rng = random.Random(3)
+    for _ in range(3000):
+        names = "abcdefg"[: rng.randint(1, 7)]
+        minimum = rng.randint(0, 2)
+        weights = {k: rng.choice([0, -3, rng.randint(1, 40)]) for k in names}
+        caps = {k: minimum + rng.randint(0, 20) for k in names}
+        budget = minimum * len(names) + rng.randint(0, 60)
+        assert allocation.hamilton(budget, weights, minimum, caps) == plain_hamilton(budget, weights, minimum, caps)
+
+
+def test_hysteresis_gives_and_takes_slot_by_slot():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(1000):
+        names = "abcdef"[: rng.randint(1, 6)]
+        most = {k: rng.randint(1, 30) for k in names}
+        minimum, step = rng.randint(0, 2), rng.randint(1, 8)
+        least = {k: min(minimum, most[k]) for k in names}
+        old = {k: rng.randint(0, most[k]) for k in names if rng.random() < 0.8}
+        target = {k: rng.randint(least[k], most[k]) for k in names}
+        scores = {k: float(rng.randint(0, 3)) for k in names}
+        low = {k: min(max(minimum, old[k] - step) if old.get(k) else minimum, most[k]) for k in names}
+        high = {k: max(low[k], min(most[k], old[k] + step) if old.get(k) else min(most[k], minimum)) for k in names}
+        want = {k: min(max(target[k], low[k]), high[k]) for k in names}
+        rank = lambda k: (target[k] - want[k], scores[k], k)  # noqa: B023, E731
+        while sum(want.values()) < sum(target.values()) and (free := [k for k in names if want[k] < high[k]]):
+            want[max(free, key=rank)] += 1
+        while sum(want.values()) > sum(target.values()) and (free := [k for k in names if want[k] > low[k]]):
+            want[min(free, key=rank)] -= 1
+        assert allocation.hysteresis(old, target, scores, step, least, most) == want
+    assert allocation.hysteresis({}, {"a": 5}, {"a": 1.0}, 3, {"a": 0}, {"a": 9}) == {"a": 0}
+    assert allocation.hysteresis({}, {"a": 5}, {"a": 1.0}, 3, {"a": 0}, {"a": 9}, newcomers=1) == {"a": 1}
+
+
+def test_events_are_found_without_a_list_of_them(spark):
+    import bisect
+
+    events = [1, 3, 4, 104, 204, 304, 310, 410, 510, 515]
+    got = spark.range(1, 516).select("id", adaptive._event_of(F.col("id"), events).alias("e")).collect()
+    assert all(r.e == bisect.bisect_left(events, r.id) for r in got)
+
+
+def test_the_null_stratum_counts_everywhere(spark):
+    rows = [(i, None if i % 2 else "a", float(i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, s string, v double")
+    got = estimates.estimate_means(sampling.stratified(df, "s", "id", 50), ["v"]).first()
+    assert got.estimate == 9.5 and got.degenerate_strata == 0
+    timed = df.withColumn("ts", F.col("id").cast("double"))
+    window = windows.estimates(windows.windowed(timed, "ts", 100), "s", "v", "id", 50).first()
+    assert window.total_seen == 20 and window.num_strata == 2 and window["mean"] == 9.5
+    counts, pilots = sampling.totals(df, "s"), allocation.pilot(df, "s", "id", "v", 5)
+    assert allocation.policy_weights(counts, pilots, "proportional").count() == 2
+
+
+def test_budgets_and_controllers_refuse_what_makes_no_sense():
+    c = control.AdaptiveController(0.05, 1, 400, 0.1)
+    assert c.next_size(1000, 100, 0) == 400 and c.next_size(1000, 100, 50) == 400
+    assert control.AdaptiveController().next_size(100, 10, 0) == 50 and control.LinearCost().sample_size(7) == 7
+    for bad in (lambda: control.LinearCost().sample_size(-1, 2), lambda: control.LinearCost().sample_size(1, 0), lambda: control.LinearCost(0), lambda: control.AdaptiveController(0),
+                lambda: control.AdaptiveController(shrink=0), lambda: c.next_size(0, 1, 1), lambda: c.next_size(5, 1, -1)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_conflicting_duplicates_give_the_same_row_whatever_their_order(spark):
+    rows = [(i % 7, i % 3, float(i)) for i in range(40)]
+    got = [sorted(map(tuple, exact.deduplicated(spark.createDataFrame(r, "seq long, m long, v double").repartition(n)).collect())) for r, n in ((rows, 1), (rows[::-1], 3))]
+    assert got[0] == got[1] == sorted(min(r for r in rows if r[0] == k) for k in range(7))
+
+
 def test_hysteresis_moves_in_steps():
     least, most = {"a": 1, "b": 1}, {"a": 100, "b": 100}
     got = allocation.hysteresis({"a": 50, "b": 50}, {"a": 90, "b": 10}, {"a": 1.0, "b": 1.0}, 10, least, most)
@@ -140,7 +232,7 @@ def test_errors(spark):
 
 def test_control(spark):
     assert control.LinearCost(100, 2, 50).sample_size(1, 2) == 50
-    c = control.AdaptiveController(0.05, 1, 40)
+    c = control.AdaptiveController(0.05, 1, 40, 0.1)
     assert c.next_size(20, 10, 2) == 40 and c.next_size(20, 10, 0.1) == 18 and c.next_size(20, 0, 1) == 40 and c.next_size(1, 5, 0) == 1
     rows = [(20, 10.0, 2.0), (20, 10.0, 0.1), (20, 0.0, 1.0), (30, 7.0, 0.4)]
     got = spark.createDataFrame(rows, "n int, e double, s double").select(c.column(F.col("n"), F.col("e"), F.col("s")).alias("c")).collect()

@@ -76,6 +76,20 @@ def test_rates(spark):
     assert r.records_by(45) == 60_000 + 100_000 + 10_000 and replay.RateSchedule("0:5").records_by(1) == float("inf")
     with pytest.raises(ValueError):
         replay.RateSchedule("-1:5")
+    for_ever = replay.RateSchedule("2000:30,1000")
+    assert [for_ever.rate_at(t) for t in (0, 29.9, 30, 40, 10_000)] == [2000, 2000, 1000, 1000, 1000] and for_ever.records_by(40) == 70_000
+    assert replay.RateSchedule("5").rate_at(7) == 5 and replay.RateSchedule("10:1,0").records_by(1) == 10
+    got = spark.createDataFrame([(29.0,), (30.0,), (4000.0,)], "t double").select(for_ever.column(F.col("t")).alias("r")).collect()
+    assert [x.r for x in got] == [2000, 1000, 1000]
+
+
+def test_a_paced_replay_sends_what_is_due_and_waits(spark):
+    rows = spark.range(1, 31).withColumnRenamed("id", "position")
+    sent, waits = [], []
+    replay.RateSchedule("4:2,10").run(rows, "position", lambda df: sent.append(sorted(r.position for r in df.collect())), 1.0, waits.append)
+    assert [len(x) for x in sent] == [4, 4, 10, 10, 2] and sum(sent, []) == list(range(1, 31)) and len(waits) == 4 and all(w <= 1 for w in waits)
+    fast = []
+    assert replay.RateSchedule("0").run(rows, "position", lambda df: fast.append(df.count())) == 30 and fast == [30]
 
 
 def test_generators(spark):
@@ -83,6 +97,9 @@ def test_generators(spark):
     assert 5 <= u[0] < u[1] < 25 and abs(u[2] - 15) < 0.5 and u[3] == pytest.approx(4.999)
     g = synthetic.gaussian_stream(spark, 20_000, 10, 5).agg(F.avg("value"), F.stddev("value")).first()
     assert abs(g[0] - 10) < 0.2 and abs(g[1] - 5) < 0.1
+    large = synthetic.poisson_stream(spark, 4000, 5000).agg(F.avg("value"), F.variance("value"), F.skewness("value")).first()
+    assert abs(large[0] - 5000) < 5 and abs(large[1] - 5000) < 500 and abs(large[2]) < 0.15
+    assert synthetic.poisson_stream(spark, 10, 0).agg(F.max("value")).first()[0] == 0
     p = synthetic.poisson_stream(spark, 4000, 7).agg(F.avg("value"), F.variance("value")).first()
     assert abs(p[0] - 7) < 0.2 and abs(p[1] - 7) < 0.7
     specs = [synthetic.StratumSpec("a", "gaussian", {"mean": 1, "std": 2}, 3), synthetic.StratumSpec("b", "constant", {"value": 4}, 1)]

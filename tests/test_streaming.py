@@ -39,7 +39,7 @@ def test_pool_of_batches_is_the_pool_of_all(spark, files):
 
 def test_feedback(spark, files):
     _, path, tmp = files
-    feedback = CapacityFeedback(AdaptiveController(0.01, 2, 40), 5)
+    feedback = CapacityFeedback(AdaptiveController(0.01, 2, 40, 0.1), 5)
     pool = pools.StreamPool(str(tmp / "pool"), "s", ["id"], 40)
     windows.replay(stream(spark, path), pools.feedback_batch(pool, feedback, "v"), str(tmp / "offsets"))
     assert [c for _, c in feedback.log] == sorted(c for _, c in feedback.log) and feedback.capacity > 5
