@@ -258,11 +258,15 @@ def hamilton_neyman(spark, sf_dir):
     return _policy(spark, sf_dir, "neyman")
 
 
-@query()
+_CAPS = "SELECT event_type AS stratum, count(*)::DOUBLE AS weight, 20 + 10 * row_number() OVER (ORDER BY event_type) AS cap FROM events GROUP BY 1"
+
+
+@query(f"{sql.capped_hamilton(_CAPS, BUDGET)} SELECT stratum, got::INTEGER AS capacity FROM dealt")
 def hamilton_capped(spark, sf_dir):
-    """Caps bind: user strata with few rows; checked by tests."""
+    """Caps of 30, 40, 50, ... by name bind some strata, and what they leave over goes to the others."""
     rows = sampling.totals(events(spark, sf_dir), "event_type").collect()
-    got = allocation.hamilton(BUDGET, {r.stratum: float(r.total_seen) for r in rows}, 1, {r.stratum: 30 + 10 * i for i, r in enumerate(sorted(rows, key=lambda r: r.stratum))})
+    caps = {name: 30 + 10 * i for i, name in enumerate(sorted(r.stratum for r in rows))}
+    got = allocation.hamilton(BUDGET, {r.stratum: float(r.total_seen) for r in rows}, 1, caps)
     return spark.createDataFrame(sorted(got.items()), "stratum string, capacity int")
 
 
@@ -279,12 +283,12 @@ def linear_cost_capacity(spark, sf_dir):
 
 
 _STEP = f"""{sql.sample(N)}, e AS (SELECT stratum, y AS current, w * s AS estimate, sqrt(term) AS error FROM st), r AS (SELECT *, CASE WHEN estimate <> 0 THEN error / abs(estimate) WHEN error > 0 THEN 'inf'::DOUBLE ELSE 0 END AS ratio FROM e)
-SELECT stratum, (CASE WHEN ratio <= 0.05::DOUBLE THEN greatest(10, floor(current * 0.9::DOUBLE)) ELSE greatest(10, least(400, floor(current * least(2.0::DOUBLE, greatest(1.1::DOUBLE, ratio / 0.05::DOUBLE))))) END)::INTEGER AS capacity FROM r"""
+SELECT stratum, (CASE WHEN ratio <= 0.05::DOUBLE THEN least(60, greatest(10, floor(current * 0.5::DOUBLE))) ELSE least(60, greatest(10, floor(current * least(2.0::DOUBLE, greatest(1.1::DOUBLE, ratio / 0.05::DOUBLE))))) END)::INTEGER AS capacity FROM r"""
 
 
 @query(_STEP)
 def adaptive_capacity_step(spark, sf_dir):
-    c = control.AdaptiveController(0.05, 10, 400)
+    c = control.AdaptiveController(0.05, 10, 60)
     got = estimates.stratum_stats(drawn(spark, sf_dir), "value").join(estimates.stratum_variances(drawn(spark, sf_dir), "value").select("stratum", "sum_variance"), "stratum")
     return got.select("stratum", c.column(F.col("y"), F.col("weight") * F.col("sampled_sum"), F.sqrt("sum_variance")).alias("capacity"))
 
@@ -408,19 +412,8 @@ def welford_variance(spark, sf_dir):
     return got.select("stratum", "count", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"))
 
 
-@query("""WITH RECURSIVE o AS (SELECT event_type AS stratum, value::DOUBLE AS v, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events WHERE user_id < 40),
-e AS (SELECT stratum, k, v AS m, 0.0::DOUBLE AS s FROM o WHERE k = 1 UNION ALL
-SELECT o.stratum, o.k, e.m + 0.01::DOUBLE * (o.v - e.m), 0.99::DOUBLE * (e.s + 0.01::DOUBLE * (o.v - e.m) * (o.v - e.m)) FROM e JOIN o ON o.stratum = e.stratum AND o.k = e.k + 1)
-SELECT stratum, max(k) AS "count", round(arg_max(m, k), 6) AS ema_mean, round(arg_max(s, k), 4) AS ema_variance FROM e GROUP BY 1""")
+@query(f"SELECT stratum, n AS \"count\", round(m, 6) AS ema_mean, round(s, 4) AS ema_variance FROM ({sql.followed('events', 'event_type', 'event_id', 'value', 0.01)})")
 def ema_variance(spark, sf_dir):
-    rows = positioned(events(spark, sf_dir).where("user_id < 40"), "event_id")
-    got = adaptive.ema_variance(rows, "event_type", "position", "value", 0.01)
-    return got.select("stratum", "count", F.round("ema_mean", 6).alias("ema_mean"), F.round("ema_variance", 4).alias("ema_variance"))
-
-
-@query()
-def ema_variance_all_events(spark, sf_dir):
-    """ema_variance's SQL goes row by row and so covers some users only; this is all of the table."""
     got = adaptive.ema_variance(positioned(events(spark, sf_dir), "event_id"), "event_type", "position", "value", 0.01)
     return got.select("stratum", "count", F.round("ema_mean", 6).alias("ema_mean"), F.round("ema_variance", 4).alias("ema_variance"))
 
@@ -587,17 +580,42 @@ def synthetic_gaussian(spark, sf_dir):
     return rounded(synthetic.preset(spark, "gaussian", 10_000).groupBy("sensor_id").agg(F.count("*").alias("rows"), F.avg("value").alias("mean")))
 
 
-@query()
+def _large_poisson(rate: float) -> str:
+    """A Poisson number of a large rate, from the normal number z."""
+    return f"greatest(0, floor(z * sqrt({rate}::DOUBLE) + (z * z - 1) / 6 + {rate + 0.5}::DOUBLE))"
+
+
+@query(f"""WITH s AS (SELECT id, {sql.uniform('42/stratum', 'id')} AS p, {sql.uniform('42/v', 'id')} AS u, {_normal(42)} AS z FROM range(5000) AS r(id)),
+t AS (SELECT id, u, z, CASE WHEN p < 0.8::DOUBLE THEN 'A' WHEN p < 0.9999::DOUBLE THEN 'B' ELSE 'C' END AS sensor_id FROM s),
+cdf AS (SELECT sum(exp(-10 + k * ln(10::DOUBLE) - lgamma(k + 1))) OVER (ORDER BY k) AS c FROM range(72) AS q(k)),
+a AS (SELECT id, count(c) AS v FROM t LEFT JOIN cdf ON c <= u WHERE sensor_id = 'A' GROUP BY id)
+SELECT sensor_id, count(*) AS rows, round(avg(CASE sensor_id WHEN 'A' THEN a.v WHEN 'B' THEN {_large_poisson(1000.0)} ELSE {_large_poisson(1e8)} END), 4) AS mean FROM t LEFT JOIN a ON a.id = t.id GROUP BY 1""")
 def synthetic_poisson(spark, sf_dir):
-    return synthetic.preset(spark, "skewed_poisson", 5_000).groupBy("sensor_id").agg(F.count("*").alias("rows"), F.avg("value").alias("mean"))
+    return rounded(synthetic.preset(spark, "skewed_poisson", 5_000).groupBy("sensor_id").agg(F.count("*").alias("rows"), F.avg("value").alias("mean")))
 
 
-@query()
+def _five_strata(kind: str) -> str:
+    shares = synthetic.SKEWED if kind in ("population_skew", "combined_skew") else (1,) * 5
+    pick = " ".join(f"WHEN p < {sum(shares[: i + 1])} / {sum(shares)}.0::DOUBLE THEN {i + 1}" for i in range(4))
+    sd = "CASE WHEN which >= 3 THEN 10.0 ELSE 1.0 END" if kind in ("variance_skew", "combined_skew") else "1.0"
+    late = "CASE WHEN id >= 2500 AND which >= 4 THEN 8.0 ELSE 1.0 END" if kind == "distribution_shift" else "1.0"
+    return f"""SELECT 'S' || which AS sensor_id, count(*) AS rows, stddev_samp(8 + 2 * which + z * {sd} * {late}) AS sd, '{kind}' AS workload
+FROM (SELECT id, z, CASE {pick} ELSE 5 END AS which FROM (SELECT id, {sql.uniform('42/stratum', 'id')} AS p, {_normal(42)} AS z FROM range(5000) AS r(id))) GROUP BY which"""
+
+
+@query(f"SELECT sensor_id, rows, round(sd, 4) AS sd, workload FROM ({' UNION ALL '.join(map(_five_strata, synthetic.KINDS))})")
 def five_strata_workloads(spark, sf_dir):
     parts = [synthetic.five_strata(spark, k, 5_000).groupBy("sensor_id").agg(F.count("*").alias("rows"), F.stddev_samp("value").alias("sd")).withColumn("workload", F.lit(k)) for k in synthetic.KINDS]
     return rounded(reduce(DataFrame.unionAll, parts))
 
 
+@query(f"""WITH s AS (SELECT id, 1 + floor({sql.uniform('42/stratum', 'id')} * CASE WHEN id >= 4000 THEN 6 WHEN id >= 2000 THEN 5 ELSE 4 END)::INTEGER AS which, {_normal(42)} AS z FROM range(8000) AS r(id))
+SELECT 'S' || which AS sensor_id, count(*) AS rows, min(id) + 1 AS first_position, round(avg(10.0 * which + z * [1, 2, 4, 1, 15, 25][which]), 4) AS mean FROM s GROUP BY which""")
+def late_strata_rows(spark, sf_dir):
+    got = synthetic.late_strata(spark, 8_000).groupBy("sensor_id").agg(F.count("*").alias("rows"), F.min("position").alias("first_position"), F.avg("value").alias("mean"))
+    return rounded(got)
+
+
 @query()
 def late_strata_workload(spark, sf_dir):
     rows = synthetic.late_strata(spark, 8_000)
@@ -646,16 +664,17 @@ def stream_windows_update(spark, sf_dir):
     return rounded(last.select("window_start", "r.count", "r.sum"))
 
 
-@query()
+@query(f"SELECT (epoch_us(ts) // {DAY}::BIGINT) * {DAY}::BIGINT AS window_start, (epoch_us(ts) // {DAY}::BIGINT + 1) * {DAY}::BIGINT AS window_end, count(*) AS \"count\", round(sum(value), 4) AS \"sum\", round(avg(value), 4) AS mean FROM events GROUP BY 1, 2")
 def stream_windows_append(spark, sf_dir):
-    """Windows that the watermark has closed; the last ones are withheld until more data come."""
+    """Windows that the watermark has closed, and at the end of the stream those that it has left open."""
     folder = _shared(spark)
     got = stream_windows.exact_windows(stream_windows.timed(_stream(spark, sf_dir), "ts", "event", "1 hour"), "value", "1 day")
     stream_windows.replay(got, lambda df, i: df.write.mode("append").parquet(f"{folder}/out"), f"{folder}/offsets", "append")
-    return rounded(spark.read.schema(got.schema).parquet(f"{folder}/out"))
+    rows = events(spark, sf_dir).withColumn("event_time", F.col("ts"))
+    return rounded(stream_windows.flushed(rows, spark.read.schema(got.schema).parquet(f"{folder}/out"), "value", "1 day"))
 
 
-@query()
+@query("SELECT event_type AS stratum, count(*) AS total_seen, least(count(*), 50)::INTEGER AS sample_size FROM events GROUP BY 1")
 def stream_reservoirs(spark, sf_dir):
     folder = _shared(spark)
     got = stateful.reservoirs(_stream(spark, sf_dir), "event_type", "value", 50)
@@ -699,27 +718,37 @@ def stream_dedup(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").agg(F.count("*").alias("rows"))
 
 
-@query()
+@query("SELECT n * 700 AS window_start, least((n + 1) * 700, (SELECT count(*) FROM events)) AS window_end, least(700, (SELECT count(*) FROM events) - n * 700) AS \"count\" FROM range((SELECT (count(*) + 699) // 700 FROM events)) AS r(n)")
 def stream_count_windows(spark, sf_dir):
+    """Full windows, and the short one that the stream ends with."""
     folder = _shared(spark)
-    got = stateful.count_windows(_stream(spark, sf_dir), "value", 700)
-    stream_windows.replay(got, lambda df, i: df.write.mode("append").parquet(f"{folder}/out"), f"{folder}/offsets", "append")
-    return spark.read.schema(got.schema).parquet(f"{folder}/out")
+    got = stateful.count_windows(_stream(spark, sf_dir), "value", 700, partial=True)
+    stream_windows.replay(got, lambda df, i: df.write.mode("append").parquet(f"{folder}/out"), f"{folder}/offsets")
+    return spark.read.schema(got.schema).parquet(f"{folder}/out").groupBy("window_start").agg(F.max("window_end").alias("window_end"), F.max("count").alias("count"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {sql.windows(DAY, DAY)}, ranked AS (SELECT *, row_number() OVER (PARTITION BY window_start, stratum ORDER BY {sql.priority(SEED, 'window_start', 'id')} DESC, id) AS rk, count(*) OVER (PARTITION BY window_start, stratum) AS c FROM win),
+part AS (SELECT window_start, n, stratum, any_value(c) AS c, count(*) AS y, sum(v) AS s, coalesce(var_samp(v), 0.0) AS s2 FROM ranked JOIN range(2, 101) AS k(n) ON rk <= n GROUP BY ALL),
+day AS (SELECT window_start, n, sum(CASE WHEN c > n THEN c / n::DOUBLE ELSE 1 END * s) / sum(c) AS mean, sqrt(sum(CASE WHEN c > y AND y > 1 THEN c::DOUBLE * (c - y) * s2 / y ELSE 0 END)) / sum(c) AS error FROM part GROUP BY ALL),
+after AS (SELECT window_start, n, least(100, greatest(2, floor(n * CASE WHEN ratio <= 0.05::DOUBLE THEN 0.9::DOUBLE ELSE least(2.0::DOUBLE, greatest(1.1::DOUBLE, ratio / 0.05::DOUBLE)) END)))::INTEGER AS next
+  FROM (SELECT *, CASE WHEN mean <> 0 THEN error / abs(mean) WHEN error > 0 THEN 'inf'::DOUBLE ELSE 0 END AS ratio FROM day)),
+days AS (SELECT window_start, row_number() OVER (ORDER BY window_start) AS d FROM (SELECT DISTINCT window_start FROM win)),
+steps AS (SELECT d, window_start, 10 AS capacity FROM days WHERE d = 1 UNION ALL SELECT days.d, days.window_start, after.next FROM steps JOIN after ON after.window_start = steps.window_start AND after.n = steps.capacity JOIN days ON days.d = steps.d + 1)
+SELECT window_start, capacity FROM steps""")
 def capacity_feedback(spark, sf_dir):
     """Capacities of daily windows, each set by the result of the one before."""
     w = windows.windowed(events(spark, sf_dir), "ts", 86_400)
     days = sorted(r.window_start for r in w.select("window_start").distinct().collect())
-    feedback = control.CapacityFeedback(control.AdaptiveController(0.05, 2, 100), 10)
+    feedback = control.CapacityFeedback(control.AdaptiveController(0.05, 2, 100, 0.1), 10)
     for day in days:
         got = windows.estimates(w.where(F.col("window_start") == day), "event_type", "value", "event_id", feedback.capacity, SEED).first()
         feedback.closed({"window_start": day, "estimate": got["mean"], "standard_error": got.mean_variance**0.5})
     return spark.createDataFrame(feedback.log, "window_start long, capacity int")
 
 
-@query()
+@query(f"""WITH f AS ({sql.followed('events', 'event_type', 'event_id', 'value', 0.01)}), w AS (SELECT stratum, n, greatest(n * sqrt(greatest(s, 0)), 1e-12::DOUBLE) AS weight FROM f),
+p AS (SELECT *, {BUDGET} - count(*) OVER () AS rest, weight / sum(weight) OVER () AS part FROM w), q AS (SELECT *, floor(rest * part) AS whole, rest * part - floor(rest * part) AS fraction FROM p),
+r AS (SELECT *, rest - sum(whole) OVER () AS spare, row_number() OVER (ORDER BY fraction DESC, stratum) AS rk FROM q) SELECT stratum, least(n, 1 + whole + CASE WHEN rk <= spare THEN 1 ELSE 0 END)::INTEGER AS capacity FROM r""")
 def flink_allocation(spark, sf_dir):
     """The streaming job's variant of an allocation, from counts and followed variances."""
     rows = adaptive.ema_variance(positioned(events(spark, sf_dir), "event_id"), "event_type", "position", "value", 0.01).collect()

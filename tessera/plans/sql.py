@@ -35,6 +35,24 @@ s4 AS (SELECT stratum, weight, whole, rest - sum(whole) OVER () AS spare, row_nu
 sh AS (SELECT stratum, weight, ({minimum} + whole + CASE WHEN rk <= spare THEN 1 ELSE 0 END)::INTEGER AS capacity FROM s4)"""
 
 
+def capped_hamilton(strata: str, budget: int, minimum: int = 1) -> str:
+    """dealt (stratum, got) from a table expression of stratum, weight and cap: a row of the recursion for each round."""
+    return f"""WITH RECURSIVE capped AS ({strata}), r AS (SELECT 0 AS turn, stratum, weight, cap, {minimum}::BIGINT AS got FROM capped UNION ALL
+SELECT turn + 1, stratum, weight, cap, got + whole + CASE WHEN got + whole < cap AND row_number() OVER (ORDER BY got + whole < cap DESC, fraction DESC, stratum DESC) <= rest - sum(whole) OVER () THEN 1 ELSE 0 END
+FROM (SELECT *, least(cap - got, floor(share)::BIGINT) AS whole, share - floor(share) AS fraction
+  FROM (SELECT *, CASE WHEN got >= cap THEN 0.0::DOUBLE WHEN sum(CASE WHEN got < cap THEN weight ELSE 0 END) OVER () > 0 THEN rest * weight / sum(CASE WHEN got < cap THEN weight ELSE 0 END) OVER () ELSE rest / sum(CASE WHEN got < cap THEN 1.0::DOUBLE ELSE 0 END) OVER () END AS share
+    FROM (SELECT *, least({budget}, sum(cap) OVER ())::BIGINT - (sum(got) OVER ())::BIGINT AS rest FROM r) WHERE rest > 0))),
+dealt AS (SELECT stratum, got FROM r WHERE turn = (SELECT max(turn) FROM r))"""
+
+
+def followed(table: str, stratum: str, ident: str, value: str, alpha: float) -> str:
+    """stratum, n rows, and the exponentially weighted mean m and variance s after the last, row by row."""
+    keep, step = f"{1 - alpha}::DOUBLE", f"{alpha}::DOUBLE"
+    moved = f"{{'n': a.n + 1, 'm': a.m + {step} * (x.m - a.m), 's': {keep} * (a.s + {step} * (x.m - a.m) * (x.m - a.m))}}"
+    return f"""SELECT stratum, e.n AS n, e.m AS m, e.s AS s FROM (SELECT ({stratum})::VARCHAR AS stratum,
+list_reduce(list({{'n': 1::BIGINT, 'm': ({value})::DOUBLE, 's': 0.0::DOUBLE}} ORDER BY {ident}), lambda a, x: {moved}) AS e FROM {table} GROUP BY 1)"""
+
+
 def windows(size: int, slide: int, base: int = 0, table: str = "events") -> str:
     """win: a row for each window (microseconds) that covers an event."""
     return f"""win AS (SELECT w.ws AS window_start, w.ws + {size}::BIGINT AS window_end, event_id AS id, event_type AS stratum, value::DOUBLE AS v FROM

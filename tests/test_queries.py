@@ -56,7 +56,7 @@ def test_feedback_and_followed_variances_cover_all_events(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     log = entry.queries()["capacity_feedback"](spark, str(tmp_path)).collect()
     assert len({r.window_start for r in log}) == len(log) == 14
-    got = {r.stratum: r for r in entry.queries()["ema_variance_all_events"](spark, str(tmp_path)).collect()}
+    got = {r.stratum: r for r in entry.queries()["ema_variance"](spark, str(tmp_path)).collect()}
     for kind in {r[3] for r in rows}:
         values = [r[4] for r in rows if r[3] == kind]
         m, s = values[0], 0.0
