@@ -3,12 +3,14 @@
 Corners are found at several scales. Around each, binary tests on a blurred patch, turned by the patch's own direction,
 give 252 bits. Six tables of 42 bits each join descriptors of different images: two that differ in at most five bits
 share a table's value for sure, and more distant ones often do. Matches of two images count if one turn, scale and
-shift explains several of them. All different images of a table's value are matched with each other; matches move as
-blobs and are summed for each pair, so that rows are for images, not for pairs.
+shift explains several of them. A value's images are matched with one of them first, and with each other only where that
+leaves them in different classes, so that a large group of copies makes no pairs of all its members. Matches move as
+blobs, so that rows are for images, not for pairs.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import pack, ranges, split_by, unpack
-from .common import checkpointed, id_back, id_key, mix, partitions
+from .common import checkpointed, id_back, id_key, mix, partitions, split_join
 from .neardup import components, least_ends
 
 #: Scales, corners of a scale, and pixels around a corner that its descriptor looks at.
@@ -45,50 +47,79 @@ def encode_png(gray: np.ndarray) -> bytes:
 
 
 def _unfiltered(raw: bytes, h: int, w: int, step: int) -> np.ndarray:
+    """The bytes of h lines of w pixels of ``step`` bytes, each line filtered as its first byte says."""
     rows = np.frombuffer(raw, np.uint8, h * (w * step + 1)).reshape(h, w * step + 1)
     out = np.zeros((h, w * step), np.uint8)
     above = np.zeros(w * step, np.uint8)
     for y in range(h):
         kind, line = rows[y, 0], rows[y, 1:].copy()
-        if kind == 2:
+        if kind == 1:
+            line = np.cumsum(line.reshape(w, step), axis=0, dtype=np.uint8).ravel()
+        elif kind == 2:
             line += above
-        elif kind in (1, 3, 4):
-            for x in range(w * step):
-                left = int(line[x - step]) if x >= step else 0
-                up, corner = int(above[x]), int(above[x - step]) if x >= step else 0
-                if kind == 4:
-                    p = left + up - corner
-                    guess = min((left, up, corner), key=lambda v, p=p: abs(p - v))
-                else:
-                    guess = left if kind == 1 else (left + up) // 2
-                line[x] = (int(line[x]) + guess) & 255
+        elif kind in (3, 4):
+            line = np.array(_guessed(line.tolist(), above.tolist(), step, kind == 4), np.uint8)
         out[y] = above = line
     return out
 
 
+def _guessed(line: list[int], above: list[int], step: int, paeth: bool) -> list[int]:
+    """A line whose bytes were stored as differences to a guess from the bytes to the left, above, and between."""
+    out = [0] * step + line
+    corners = [0] * step + above
+    for x, value in enumerate(line):
+        left, up = out[x], above[x]
+        if paeth:
+            corner = corners[x]
+            a, b, c = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+            guess = left if a <= b and a <= c else up if b <= c else corner
+        else:
+            guess = (left + up) // 2
+        out[x + step] = (value + guess) & 255
+    return out[step:]
+
+
+_PNM = re.compile(rb"P([56])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)\s")
+
+
+def _png(blob: bytes) -> np.ndarray | None:
+    at, data, head, palette = 8, [], None, None
+    while at + 8 <= len(blob):
+        size, kind = struct.unpack_from(">I4s", blob, at)
+        part = blob[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", part)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(part, np.uint8).reshape(-1, 3).mean(-1)
+        elif kind == b"IDAT":
+            data.append(part)
+        at += 12 + size
+    w, h, depth, colour, _, _, interlaced = head
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    if depth not in (8, 16) or interlaced or not w * h:
+        return None
+    step = channels * depth // 8
+    raw = _unfiltered(zlib.decompress(b"".join(data)), h, w, step).reshape(h, w, channels, depth // 8)
+    pixels = raw[..., 0].astype(float) if depth == 8 else raw[..., 0] + raw[..., 1] / 256
+    if colour == 3:
+        return palette[pixels[..., 0].astype(int)]
+    return pixels[..., :3].mean(-1) if channels > 2 else pixels[..., 0]
+
+
 def decode(blob: bytes | None) -> np.ndarray | None:
-    """Grey values of an 8-bit PNG (grey or colour, not interlaced) or binary PGM or PPM; None if it isn't one."""
+    """Grey values of a PNG (grey, colour or palette, of 8 or 16 bits, not interlaced) or 8-bit binary PGM or PPM.
+
+    None for anything else: null and empty values, pictures without pixels, cut or broken files, other formats.
+    """
     try:
-        if blob[:8] == b"\x89PNG\r\n\x1a\n":
-            at, data, head = 8, [], None
-            while at + 8 <= len(blob):
-                size, kind = struct.unpack_from(">I4s", blob, at)
-                if kind == b"IHDR":
-                    head = struct.unpack_from(">IIBBBBB", blob, at + 8)
-                elif kind == b"IDAT":
-                    data.append(blob[at + 8 : at + 8 + size])
-                at += 12 + size
-            w, h, depth, colour, _, _, interlaced = head
-            step = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
-            if depth != 8 or interlaced:
-                return None
-            pixels = _unfiltered(zlib.decompress(b"".join(data)), h, w, step).reshape(h, w, step)
-            return pixels[..., :3].mean(-1) if step > 2 else pixels[..., 0].astype(float)
-        kind, w, h, _, rest = blob.split(None, 4) if blob[:2] in (b"P5", b"P6") else (b"", 0, 0, 0, b"")
-        if kind:
-            step = 1 if kind == b"P5" else 3
-            return np.frombuffer(rest, np.uint8, int(w) * int(h) * step).reshape(int(h), int(w), step).mean(-1)
-    except (ValueError, KeyError, TypeError, struct.error, zlib.error):
+        if blob and blob[:8] == b"\x89PNG\r\n\x1a\n":
+            return _png(blob)
+        if blob and (found := _PNM.match(blob)):
+            w, h, most = (int(x) for x in found.groups()[1:])
+            step = 1 if found[1] == b"5" else 3
+            if 0 < w * h and 0 < most < 256:
+                return np.frombuffer(blob, np.uint8, w * h * step, found.end()).reshape(h, w, step).mean(-1)
+    except (ValueError, KeyError, TypeError, IndexError, struct.error, zlib.error):
         pass
     return None
 
@@ -184,53 +215,84 @@ def _blobs(out: list, kind: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), ["kind", "block", "blob"])
 
 
-def _spread(own: DataFrame, n: int) -> DataFrame:
-    """Blobs of some nodes' table values, for n blocks of values (kind 0), and of their places, for blocks of pairs (kind 1)."""
-    side = _side(n)
+def _valued(own: DataFrame, n: int) -> DataFrame:
+    """Blobs of nodes' table values, for n blocks of values. own: node, root (what it belongs to by now) and codes."""
 
     def run(batches):
         for batch in batches:
-            node = batch["node"].to_numpy(zero_copy_only=False).astype("<i8")
+            node, root = (batch[c].to_numpy(zero_copy_only=False).astype("<i8") for c in ("node", "root"))
             codes = [np.frombuffer(x, "<u8") for x in batch["codes"].to_pylist()]
-            places = [np.frombuffer(x, "<u4") for x in batch["places"].to_pylist()]
             bucket = np.concatenate([np.zeros(0, "<u8"), *codes])
-            owner = np.repeat(node, [len(c) for c in codes])
+            owner = np.repeat(np.arange(len(node)), [len(c) for c in codes])
             corner = np.concatenate([np.zeros(0, "<u2"), *(np.arange(len(c)) // TABLES for c in codes)]).astype("<u2")
             out = []
             for b, some in split_by((mix(bucket) % np.uint64(n)).astype(np.int64)):
                 used, number = np.unique(owner[some], return_inverse=True)
-                out.append((b, pack([bucket[some], used, number.astype("<u4"), corner[some]])))
+                out.append((b, pack([bucket[some], node[used], root[used], number.astype("<u4"), corner[some]])))
             yield _blobs(out, 0)
+
+    return own.select("node", "root", "codes").mapInArrow(run, "kind int, block int, blob binary")
+
+
+def _placed(own: DataFrame, n: int) -> DataFrame:
+    """Blobs of where nodes' corners are, for all blocks of pairs that they can be in."""
+    side = _side(n)
+
+    def run(batches):
+        for batch in batches:
+            node = batch["node"].to_numpy(zero_copy_only=False).astype("<i8")
+            places = [np.frombuffer(x, "<u4") for x in batch["places"].to_pylist()]
             out = []
             for g, some in split_by(_group(node, side)):
                 blob = pack([node[some], np.array([len(places[k]) // 4 for k in some], "<u4"), np.concatenate([places[k] for k in some])])
                 out += [(int(b), blob) for b in _pair_block(np.full(side, g), np.arange(side))]
             yield _blobs(out, 1)
 
-    return own.select("node", "places", "codes").mapInArrow(run, "kind int, block int, blob binary")
+    return own.select("node", "places").mapInArrow(run, "kind int, block int, blob binary")
+
 
+def meetings(bucket: np.ndarray, node: np.ndarray, root: np.ndarray, star: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the rows, and for each row in it the first one and how many of those after it that it meets.
 
-def _matches(values: DataFrame, n: int) -> DataFrame:
-    """Blobs of all matches, corners of two nodes that have the same table value, by blocks of pairs of nodes."""
+    star: a table value's node of least hash meets all others, so that n rows make n meetings. Else each node meets
+    those of other roots: rows of one root stand together, and what comes behind them is met.
+    """
+    if not len(bucket):
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    order = np.lexsort((node, mix(node.astype(np.int64).view(np.uint64)), bucket)) if star else np.lexsort((node, root, bucket))
+    b, own = bucket[order], (node if star else root)[order]
+    last = np.append(b[1:] != b[:-1], True)
+    ends = np.flatnonzero(last) + 1
+    end = np.repeat(ends, np.diff(ends, prepend=0))
+    runs = np.flatnonzero(last | np.append(own[1:] != own[:-1], True)) + 1
+    behind = np.repeat(runs, np.diff(runs, prepend=0))
+    many = end - behind
+    if star:  # the first run of a value alone
+        first = np.append(0, ends[:-1])
+        many[behind != np.repeat(behind[first], np.diff(ends, prepend=0))] = 0
+    return order, behind, many
+
+
+def _matches(values: DataFrame, n: int, star: bool) -> DataFrame:
+    """Blobs of matches, corners of two nodes of different roots that have the same table value, by blocks of pairs of nodes."""
     side = _side(n)
 
     def run(batches):
         blobs = [unpack(x) for batch in batches for x in batch["blob"].to_pylist()]
         if not blobs:
             return
-        bucket, corner = (np.concatenate([b[i] for b in blobs]) for i in (0, 3))
-        node = np.concatenate([b[1][b[2]] for b in blobs])
+        bucket, corner = (np.concatenate([b[i] for b in blobs]) for i in (0, 4))
+        node, root = (np.concatenate([b[i][b[3]] for b in blobs]) for i in (1, 2))
         del blobs
-        order = np.lexsort((corner, node, bucket))
-        bucket, node, corner = bucket[order], node[order], corner[order]
-        ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
-        # Each row meets the later ones of its value.
-        later = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(bucket)) - 1
-        rows = np.flatnonzero(later)
-        for some in np.split(rows, np.flatnonzero(np.diff(np.cumsum(later[rows]) // MATCHES)) + 1):
-            left, right = np.repeat(some, later[some]), ranges(some + 1, later[some])
-            differ = node[left] != node[right]
+        order, start, many = meetings(bucket, node, root, star)
+        node, root, corner = node[order], root[order], corner[order]
+        rows = np.flatnonzero(many)
+        for some in np.split(rows, np.flatnonzero(np.diff(np.cumsum(many[rows]) // MATCHES)) + 1):
+            left, right = np.repeat(some, many[some]), ranges(start[some], many[some])
+            differ = root[left] != root[right]
             left, right = left[differ], right[differ]
+            turned = node[left] > node[right]
+            left, right = np.where(turned, right, left), np.where(turned, left, right)
             out = []
             for b, at in split_by(_pair_block(_group(node[left], side), _group(node[right], side))):
                 at = at[np.lexsort((node[right[at]], node[left[at]]))]
@@ -243,8 +305,8 @@ def _matches(values: DataFrame, n: int) -> DataFrame:
 
 
 def _links(blobs: DataFrame, n: int, least: int) -> DataFrame:
-    """a, b, n_links: of each block of pairs, the nodes b that matches link, how many links they have there, and the least
-    node that these lead to. blobs: places and matches; a pair's matches of all table values are counted together."""
+    """a, b: of each block of pairs, the nodes b that matches link, and the least node that these lead to. blobs: places
+    and matches; a pair's matches of all table values are counted together."""
 
     def run(batches):
         places, matches = [], []
@@ -263,11 +325,11 @@ def _links(blobs: DataFrame, n: int, least: int) -> DataFrame:
         del places, matches
         order = np.lexsort((j, i, b, a))
         a, b, i, j = a[order], b[order], i[order], j[order]
-        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-        once = new | np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+        once = new | np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1]))[: len(a)]
         a, b, i, j, new = a[once], b[once], i[once], j[once], new[once]
         begin = np.flatnonzero(new)
-        end = np.append(begin[1:], len(new))
+        end = np.append(begin[1:], len(new))[: len(begin)]
         many = end - begin >= least
         good = []
         for s, e in zip(begin[many], end[many], strict=True):
@@ -275,14 +337,13 @@ def _links(blobs: DataFrame, n: int, least: int) -> DataFrame:
             if explained(left, right) >= least:
                 good.append(s)
         ends, number = np.unique(np.concatenate([a[good], b[good]]), return_inverse=True)
-        x, y = number[: len(good)], number[len(good) :]
-        root = least_ends(x, y, len(ends))
+        root = least_ends(number[: len(good)], number[len(good) :], len(ends))
         for k in range(0, len(ends), 100_000):
             part = slice(k, k + 100_000)
-            columns = [nodes[ends[root[part]]], nodes[ends[part]], np.bincount(number, minlength=len(ends))[part]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "n_links"])
+            columns = [nodes[ends[root[part]]], nodes[ends[part]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
-    return blobs.repartitionById(n, "block").mapInArrow(run, "a long, b long, n_links long")
+    return blobs.repartitionById(n, "block").mapInArrow(run, "a long, b long")
 
 
 def explained(left: np.ndarray, right: np.ndarray) -> int:
@@ -301,30 +362,31 @@ def explained(left: np.ndarray, right: np.ndarray) -> int:
 
 
 def copies(images: DataFrame, least: int = LEAST) -> DataFrame:
-    """image_id, class_id (the least image_id of its class) and n_links of every row of images (image_id, picture).
+    """image_id and class_id (the least image_id of its class) of every row of images (image_id, picture).
 
-    n_links: links of a picture to all pictures that differ from it, whether or not others link them as well. Matches of
-    a pair are counted over all table values that both have. Equal pictures are one: they share class and links. What
-    isn't a picture has a class of its own. A null id is the least id; rows that share an id share a class. Other columns
-    are passed over. Empty images give no rows.
+    Classes are what links lead to: two pictures are linked if one transformation explains ``least`` of their matches.
+    First each table value's pictures are matched with one of them alone; then, of all values, pictures that are not
+    yet in one class are matched with each other, so that no link between two classes is lost. Equal pictures are one.
+    What isn't a picture has a class of its own. A null id is the least id; rows that share an id share a class. Other
+    columns are passed over. Empty images give no rows.
     """
     n = partitions(images.sparkSession)
     picture = F.col("picture").cast("binary")
     keyed = images.select(F.xxhash64("image_id", picture).alias("node"), id_key("image_id").alias("image"), picture.alias("picture"))
     found = checkpointed(descriptors(keyed))
-    first = found.where("pixels is not null").groupBy("pixels").agg(F.min("node").alias("a"))
-    equal = checkpointed(found.select("node", "pixels").join(first, "pixels").select("a", F.col("node").alias("b")).distinct())
-    # Of equal pictures the least node stands for all.
-    own = found.join(equal.where("a = b").select(F.col("a").alias("node")), "node", "left_semi").dropDuplicates(["node"])
-    blobs = checkpointed(_spread(own, n))
-    links = checkpointed(_links(_matches(blobs.where("kind = 0"), n).unionAll(blobs.where("kind = 1")), n, least))
+    first = checkpointed(found.where("pixels is not null").groupBy("pixels").agg(F.min("node").alias("a"), F.count("*").alias("n")))
+    seen = found.where("pixels is not null").select("node", "pixels", F.xxhash64("pixels").alias("key"))
+    equal = split_join(seen, first.select("pixels", "a", "n", F.xxhash64("pixels").alias("key")), ["key", "pixels"], ["node"]).select("a", F.col("node").alias("b")).where("a <> b").distinct()
     ids = found.select("node", "image").distinct()
-    alike = ids.join(ids.groupBy("image").agg(F.min("node").alias("a")), "image").select("a", F.col("node").alias("b"))
-    same = equal.unionAll(alike).where("a <> b")
-    roots = components(links.select("a", "b").unionAll(same))
-    ends = links.groupBy(F.col("b").alias("stands")).agg(F.sum("n_links").alias("n_links"))
-    per = equal.select(F.col("b").alias("node"), F.col("a").alias("stands")).join(ends, "stands").select("node", "n_links")
-    base = found.select("node", "image").join(roots.withColumnRenamed("doc", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = base.groupBy("root").agg(F.min("image").alias("class"))
-    out = base.join(names, "root").join(per, "node", "left")
-    return out.select(id_back("image").alias("image_id"), id_back("class").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    alike = ids.join(ids.groupBy("image").agg(F.min("node").alias("a")), "image").select("a", F.col("node").alias("b")).where("a <> b")
+    # Of equal pictures the least node stands for all.
+    own = found.join(first.select(F.col("a").alias("node")), "node", "left_semi").dropDuplicates(["node"])
+    places = checkpointed(_placed(own, n))
+    roots = components(checkpointed(equal.unionAll(alike)))
+    for star in (True, False):
+        codes = own.select("node", "codes").join(roots.withColumnRenamed("doc", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        matches = _matches(_valued(codes, n), n, star)
+        roots = components(checkpointed(_links(matches.unionAll(places), n, least)), roots)
+    base = checkpointed(found.select("node", "image").join(roots.withColumnRenamed("doc", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    names = base.groupBy("root").agg(F.min("image").alias("class"), F.count("*").alias("n"))
+    return split_join(base, names, ["root"], ["node", "image"]).select(id_back("image").alias("image_id"), id_back("class").alias("class_id"))

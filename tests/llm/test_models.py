@@ -281,7 +281,22 @@ def test_pictures_round_trip():
     assert (media.decode(media.encode_png(x)) == x).all()
     ppm = b"P6 2 1 255\n" + bytes([0, 3, 6, 9, 9, 9])
     assert media.decode(ppm).tolist() == [[3, 9]]
-    assert [media.decode(b) for b in (None, b"", b"\x89PNG\r\n\x1a\nxx", b"P5 9 9 255\nabc", b"GIF89a")] == [None] * 5
+    assert [media.decode(b) for b in (None, b"", b"\x89PNG\r\n\x1a\nxx", b"P5 9 9 255\nabc", b"GIF89a", b"P5 0 0 255\nx", b"P5 1 1 999\nxx")] == [None] * 7
+    assert media.decode(media.encode_png(np.zeros((3, 0), np.uint8))) is None
+    assert media.decode(b"P5\n# by hand\n3 1\n255\n" + bytes([32, 9, 13])).tolist() == [[32, 9, 13]]
+
+
+def test_png_kinds():
+    def png(head, *parts):
+        chunk = lambda k, d: len(d).to_bytes(4, "big") + k + d + zlib.crc32(k + d).to_bytes(4, "big")
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(head)) + b"".join(chunk(*p) for p in parts) + chunk(b"IEND", b"")
+
+    size = [0, 0, 0, 2, 0, 0, 0, 1]
+    palette = png([*size, 8, 3, 0, 0, 0], (b"PLTE", bytes([0, 0, 0, 30, 60, 90])), (b"IDAT", zlib.compress(bytes([0, 1, 0]))))
+    assert media.decode(palette).tolist() == [[60, 0]]
+    assert media.decode(png([*size, 16, 0, 0, 0, 0], (b"IDAT", zlib.compress(bytes([0, 7, 128, 9, 0]))))).tolist() == [[7.5, 9]]
+    assert media.decode(png([*size, 8, 0, 0, 0, 1], (b"IDAT", zlib.compress(bytes([0, 7, 9]))))) is None
+    assert media.decode(png([*size, 8, 3, 0, 0, 0], (b"PLTE", bytes(3)), (b"IDAT", zlib.compress(bytes([0, 1, 0]))))) is None
 
 
 @pytest.mark.parametrize("kind", [0, 1, 2, 3, 4])
@@ -311,8 +326,6 @@ def test_image_copies(spark):
         assert got[i] == (None if s == 1 else s * 4)
     assert got[100] == 0 and got[101] == 101 and got[102] == 102 and got[None] is None
     assert media.copies(df.where("false")).count() == 0
-    links = {r.image_id: r.n_links for r in media.copies(df).collect()}
-    assert links[0] >= 3 and links[101] == 0
 
 
 def test_windows_take_every_neighbour_before_others(spark):
@@ -336,21 +349,36 @@ def test_scenes_depend_on_the_vector_alone(spark):
     assert len({r.picture for r in pictures.pictures(df).collect()}) == 1
 
 
-def test_copies_count_every_link(spark):
-    """Matches of a pair are counted over all table values, whoever else has them, and pairs of one class as well."""
-    drawn = {i: pictures.draw(2000 + i // 9, i % 9 if i % 9 < 5 else 5 * i + 1) for i in range(27)}
+def test_classes_are_those_of_all_pairs(spark):
+    """As if each two pictures were matched over all table values, whoever else has them."""
+    drawn = {i: pictures.draw(2000 + i // 9, i % 9 if i % 9 < 5 else 5 * i + 1) for i in range(63)}
     found = {i: media.describe(x.astype(float)) for i, x in drawn.items()}
-    want = dict.fromkeys(drawn, 0)
+    root, links = {i: i for i in drawn}, 0
     for a in drawn:
         for b in range(a):
             (pa, ca), (pb, cb) = found[a], found[b]
             i, j = np.nonzero((ca[:, None] == cb).any(-1))
-            if len(i) and not np.array_equal(drawn[a], drawn[b]) and media.explained(pa[i], pb[j]) >= media.LEAST:
-                want[a] += 1
-                want[b] += 1
+            if len(i) and media.explained(pa[i], pb[j]) >= media.LEAST:
+                links += 1
+                x, y = sorted((root[a], root[b]))
+                root = {k: x if v == y else v for k, v in root.items()}
     df = spark.createDataFrame([(i, media.encode_png(x)) for i, x in drawn.items()], "image_id long, picture binary")
-    assert {r.image_id: r.n_links for r in media.copies(df.repartition(3)).collect()} == want
-    assert max(want.values()) == 8
+    assert {r.image_id: r.class_id for r in media.copies(df.repartition(3)).collect()} == root and links > 150
+
+
+def test_a_star_meets_each_row_once_and_classes_meet_each_other():
+    rng = np.random.default_rng(4)
+    bucket, node = rng.integers(0, 9, 200).astype(np.uint64), rng.integers(0, 30, 200)
+    root = node // 4
+    for star in (True, False):
+        order, start, many = media.meetings(bucket, node, root, star)
+        got = sorted((int(a), int(b)) for p in range(200) for q in range(start[p], start[p] + many[p]) for a, b in [sorted((order[p], order[q]))])
+        mixed = media.mix(node.astype(np.int64).view(np.uint64))
+        head = {b: node[bucket == b][np.argmin(mixed[bucket == b])] for b in set(bucket.tolist())}
+        pairs = [(a, b) for a in range(200) for b in range(a + 1, 200) if bucket[a] == bucket[b]]
+        want = [(a, b) for a, b in pairs if ((node[a] == head[bucket[a]]) != (node[b] == head[bucket[b]]) if star else root[a] != root[b])]
+        assert got == want
+    assert [len(x) for x in media.meetings(bucket[:0], node[:0], root[:0], True)] == [0, 0, 0]
 
 
 def test_turned_and_scaled_copies_agree():
