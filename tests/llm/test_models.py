@@ -416,3 +416,38 @@ def test_pipeline(spark, tiny, tmp_path):
     assert check_pieces(kept["packing"], kept["decontamination"]) <= 1
     whole = c.run(spark, tiny)
     assert json.dumps(sorted(map(tuple, whole.collect()))) == json.dumps(sorted(map(tuple, kept["packing"])))
+
+
+def odd_folder(spark, path, docs):
+    """Tables of a pipeline with odd documents: extra columns, no ids, repeated rows, null, empty and very long texts."""
+    docs.write.parquet(f"{path}/documents.parquet")
+    labels = [(i, int(i % 4 > 0), 0) for i in range(100)] + [(None, 1, 0), (3, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    items = [(1, "passage that no text has " * 4), (None, None), (2, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_pipeline_stages_on_odd_tables(spark, docs, pairs, tmp_path):
+    import brute
+    import corpus_pipeline as c
+
+    folder = odd_folder(spark, tmp_path / "odd", docs)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    good = {(r.doc_id, r.score) for r in quality.score(docs, labels).where("score >= 0.3").collect()}
+    kept = c.quality_filter(spark, docs, folder)
+    assert kept.columns == docs.columns and kept.count() >= len({d for d, _ in good})
+    lines = c.line_dedup(spark, docs, folder)
+    assert lines.columns == docs.columns and lines.count() == len(pairs)
+    assert sorted(brute.sha(r.text or "") for r in lines.collect()) == sorted(h for *_, h in brute.line_dedup(pairs))
+    near = c.near_dedup(spark, docs, folder)
+    assert near.columns == docs.columns and len({r.text for r in near.collect()}) == near.count() <= len({t for _, t in pairs})
+    clean = c.decontamination(spark, docs, folder)
+    assert clean.columns == docs.columns and clean.count() == len(pairs)
+    assert check_pieces(c.packed(spark, docs, folder).collect(), pairs) <= 1
+
+
+def test_pipeline_of_no_documents(spark, none, tmp_path):
+    import corpus_pipeline as c
+
+    assert c.run(spark, odd_folder(spark, tmp_path / "none", none)).count() == 0
