@@ -25,6 +25,8 @@ from .common import Words, chunks, hash64, id_back, id_key, mix, partitions
 WINDOW = 13
 _K = 5
 _CHUNK = 8_000_000
+#: Bytes of text whose phrases make a block, about: a task holds one block, however large the corpus is.
+BLOCK_BYTES = 64 << 20
 _WINDOW_BYTES = 5
 _PLACE_BITS = np.uint64(24)
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ^ 0x6A09E667F3BCC909 << i) & (1 << 64) - 1 | 1 for i in range(64)], np.uint64)
@@ -81,8 +83,9 @@ def phrases(hashes: np.ndarray, docs: np.ndarray, window: int):
 def _parse(keyed: DataFrame, window: int, n: int) -> DataFrame:
     """block, blob: the phrases of each batch of documents, by the block that they belong to.
 
-    Of equal phrases in a batch, only that of the least document is sent in full: the windows of the others are known
-    to repeat. Their places go along, so that a passage that most documents hold gives one phrase for each batch.
+    Of equal phrases in a batch, only that of the least document is sent: the windows of the others are known to repeat.
+    Their places go past the blocks, as block n and on, to where their documents' factors meet: so a passage that most
+    documents hold gives its block one phrase for each batch.
     """
 
     def run(batches):
@@ -114,14 +117,12 @@ def _parse(keyed: DataFrame, window: int, n: int) -> DataFrame:
                 whole = (whole >> np.uint64(64 - 8 * _WINDOW_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_WINDOW_BYTES]
                 out = []
                 for b, some in split_by(block):
-                    sent, known = some[~repeated[some]], some[repeated[some]]
-                    used, number = np.unique(doc[some], return_inverse=True)
-                    number_of = dict(zip((False, True), (number[~repeated[some]], number[repeated[some]]), strict=True))
-                    columns = [ids[used].astype("<i8"), row[used].astype("<i8")]
-                    for part, is_known in ((sent, False), (known, True)):
-                        columns += [number_of[is_known].astype("<u4"), start[part].astype("<u4"), length[part].astype("u1")]
-                    columns += [anchors[sent].astype("<u8"), place[sent].astype("u1"), whole[ranges(firsts[sent], length[sent])].ravel()]
-                    out.append((b, pack(columns)))
+                    some = some[~repeated[some]]
+                    if len(some):
+                        used, number = np.unique(doc[some], return_inverse=True)
+                        columns = [ids[used].astype("<i8"), row[used].astype("<i8"), number.astype("<u4"), start[some].astype("<u4"), length[some].astype("u1")]
+                        out.append((b, pack([*columns, anchors[some].astype("<u8"), place[some].astype("u1"), whole[ranges(firsts[some], length[some])].ravel()])))
+                out += [(n + part, blob) for part, blob in _by_part(doc[repeated], start[repeated], length[repeated], ids, row, n)]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["block", "blob"])
 
     return keyed.mapInArrow(run, "block int, blob binary")
@@ -136,20 +137,24 @@ def _run_sums(x: np.ndarray, length: np.ndarray) -> np.ndarray:
 def _factor(parsed: DataFrame, n: int) -> DataFrame:
     """part, blob: places of windows that an earlier document has, by a part of the documents.
 
-    One task holds one block: the share of one partition in all phrases.
+    One task holds one block, whose size spans() bounds.
     """
 
     def run(batches):
-        blobs = [unpack(x) for batch in batches for x in batch["blob"].to_pylist()]
+        blobs = []
+        for batch in batches:
+            past = [(b - n, x) for b, x in zip(batch["block"].to_pylist(), batch["blob"].to_pylist(), strict=True) if b >= n]
+            if past:
+                yield _parts(past)
+            blobs += [unpack(x) for b, x in zip(batch["block"].to_pylist(), batch["blob"].to_pylist(), strict=True) if b < n]
         if not blobs:
             return
         base = np.cumsum([0, *(len(b[0]) for b in blobs)])
         ids, rows = (np.concatenate([b[i] for b in blobs]) for i in (0, 1))
-        known = [np.concatenate([b[i] + (k if i == 5 else 0) for b, k in zip(blobs, base, strict=False)]).astype(np.int64) for i in (5, 6, 7)]
         doc = np.concatenate([b[2] + k for b, k in zip(blobs, base, strict=False)]).astype(np.int64)
         start, length = (np.concatenate([b[i] for b in blobs]).astype(np.int64) for i in (3, 4))
-        anchors, place = np.concatenate([b[8] for b in blobs]), np.concatenate([b[9] for b in blobs]).astype(np.int64)
-        whole = np.concatenate([b[10] for b in blobs]).reshape(-1, _WINDOW_BYTES)
+        anchors, place = np.concatenate([b[5] for b in blobs]), np.concatenate([b[6] for b in blobs]).astype(np.int64)
+        whole = np.concatenate([b[7] for b in blobs]).reshape(-1, _WINDOW_BYTES)
         del blobs
         firsts = np.cumsum(length) - length
         order = np.argsort(anchors, kind="stable")
@@ -169,18 +174,21 @@ def _factor(parsed: DataFrame, n: int) -> DataFrame:
         begin = np.concatenate([[True], (a[1:] != a[:-1]) | (v[1:] != v[:-1])])[: len(a)]
         least = w[np.maximum.accumulate(np.where(begin, np.arange(len(a)), 0))] if len(a) else w
         hit = sort[w > least]
-        yield from _by_part(
-            np.concatenate([doc[owner[hit]], known[0]]), np.concatenate([start[owner[hit]] + offset[hit], known[1]]),
-            np.concatenate([np.ones(len(hit), np.int64), known[2]]), ids, rows, n,
-        )
+        out = _by_part(doc[owner[hit]], start[owner[hit]] + offset[hit], np.ones(len(hit), np.int64), ids, rows, n)
+        if out:
+            yield _parts(out)
+
+    return parsed.repartitionById(2 * n, "block").mapInArrow(run, "part int, blob binary")
+
 
-    return parsed.repartitionById(n, "block").mapInArrow(run, "part int, blob binary")
+def _parts(out: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["part", "blob"])
 
 
-def _by_part(doc, start, length, ids, rows, n):
-    """Windows merged into factors, sent where their document's factors meet."""
+def _by_part(doc, start, length, ids, rows, n) -> list[tuple[int, bytes]]:
+    """Windows merged into factors, by the part of the documents where theirs meet."""
     if not len(doc):
-        return
+        return []
     parts = (mix(ids[doc].astype(np.uint64)) % np.uint64(n)).astype(np.int64)
     out = []
     for part, some in split_by(parts):
@@ -191,7 +199,7 @@ def _by_part(doc, start, length, ids, rows, n):
         head = np.flatnonzero(cut)
         ends = np.maximum.reduceat(e, head)
         out.append((part, pack([ids[used].astype("<i8"), rows[used].astype("<i8"), d[head].astype("<u4"), s[head].astype("<u4"), (ends - s[head]).astype("<u4")])))
-    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["part", "blob"])
+    return out
 
 
 def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -202,7 +210,8 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     if not 9 <= window <= 48:
         raise ValueError("window must be 9 to 48")
-    n = partitions(docs.sparkSession)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    n = max(partitions(docs.sparkSession), -(-size // BLOCK_BYTES))
 
     def run(batches):
         blobs = [unpack(x) for batch in batches for x in batch["blob"].to_pylist()]

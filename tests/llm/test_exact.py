@@ -60,6 +60,12 @@ def test_substring_dedup(docs, pairs, none):
         substrings.spans(docs, 5)
 
 
+def test_substrings_in_many_blocks(docs, pairs, monkeypatch):
+    """More blocks than partitions, as a large corpus has."""
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 10_000)
+    assert same(substrings.clean(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), brute.substring_dedup(pairs))
+
+
 @pytest.mark.parametrize("window,seed", [(9, 2), (13, 3), (20, 4)])
 def test_substring_windows(spark, window, seed):
     pairs = corpus(seed, 40)
