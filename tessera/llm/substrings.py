@@ -24,7 +24,7 @@ from .common import Words, chunks, hash64, id_back, id_key, mix, partitions
 
 WINDOW = 13
 _K = 5
-_CHUNK = 8_000_000
+_CHUNK = 4_000_000
 #: Bytes of text whose phrases make a block, about: a task holds one block, however large the corpus is.
 BLOCK_BYTES = 64 << 20
 _WINDOW_BYTES = 5
