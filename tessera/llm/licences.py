@@ -19,6 +19,15 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     ("MIT", "SPDX-License-Identifier: MIT"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -39,9 +48,11 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
-#: A unit is compared if it has one of these, in either case; every template has one. A unit is a line, cut at the
-#: ends of its sentences, or a whole licence file.
+#: A unit is compared if it has one of these, in either case; every template has one. A unit is a line, or the lines of
+#: a paragraph put together without the marks of comments, cut at the ends of sentences, or a whole licence file.
 ANCHORS = "licen[cs]|spdx|copyright|permission|redistribut|public domain|free software|software foundation"
+#: What stands before a line's text in a comment, where paragraphs end, and what is between words of one.
+MARKS, BLANK, SPACE = r"^[ \t]*(?:#+|//+|/?\*+/?|--+|;+|%+)?[ \t]*", r"\n[ \t\r]*\n", r"[ \t\r\n]+"
 SIMILARITY = 0.75
 #: Folders with a licence to inherit that may be broadcast, after counting them.
 FOLDERS = 100_000
@@ -74,11 +85,16 @@ def _weights(spark: SparkSession, texts: DataFrame) -> tuple[DataFrame, DataFram
 
 def _units(files: DataFrame) -> DataFrame:
     """doc, row, whole (a licence file's text), unit (place) and text of what is compared."""
-    lines = F.filter(F.split("text", r"\n|(?<=[.;:])\s+(?=[A-Z])", -1), lambda x: F.lower(x).rlike(ANCHORS))
+    end = r"(?<=[.;:])\s+(?=[A-Z])"
+    anchored = lambda parts: F.filter(parts, lambda x: F.lower(x).rlike(ANCHORS))
     some = files.where(F.lower("text").rlike(ANCHORS))
-    lined = some.select("doc", "row", F.lit(False).alias("whole"), F.posexplode(lines).alias("unit", "text"))
+    lined = some.select("doc", "row", F.lit(False).alias("whole"), F.posexplode(anchored(F.split("text", r"\n|" + end, -1))).alias("unit", "text"))
+    paragraphs = F.filter(F.split(F.regexp_replace("text", "(?md)" + MARKS, ""), BLANK, -1), lambda x: x.contains("\n") & F.lower(x).rlike("(?s)" + ANCHORS))
+    sentences = F.flatten(F.transform(paragraphs, lambda x: F.split(F.regexp_replace(x, SPACE, " "), end, -1)))
+    wrapped = some.select("doc", "row", F.lit(False).alias("whole"), F.posexplode(anchored(sentences)).alias("at", "text")).select("doc", "row", "whole", (-2 - F.col("at")).alias("unit"), "text")
     named = F.lower(F.element_at(F.split("path", "/", -1), -1)).rlike(f"^{FILES}$")
-    return lined.unionAll(some.where(named).select("doc", "row", F.lit(True).alias("whole"), F.lit(-1).alias("unit"), "text"))
+    whole = some.where(named).select("doc", "row", F.lit(True).alias("whole"), F.lit(-1).alias("unit"), "text")
+    return lined.unionAll(wrapped).unionAll(whole)
 
 
 def _scored(units: DataFrame, templates: DataFrame, idf: DataFrame, unseen: Column, least: float) -> DataFrame:
@@ -96,13 +112,13 @@ def _scored(units: DataFrame, templates: DataFrame, idf: DataFrame, unseen: Colu
 def scan(files: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, path, own and cosine, licence and origin ("own", a directory, or null) of every row of files.
 
-    files has doc_id, path (parts joined by "/") and text. own is the licence that a header or the whole text of a
-    licence file declares with a cosine of at least ``least``; of equal cosines the name that sorts last. A file that
+    files has doc_id, path (parts joined by "/") and text. own is the licence that a header, wrapped or not, or a licence
+    file's title or whole text declares with a cosine of at least ``least``; of equal cosines the name that sorts last. A file that
     declares none takes the licence of the nearest directory above it that has a licence file: one with such a name,
     or a text that is a declaration and nothing else. Of several in a directory, the one with the largest cosine
     counts, then the first path.
 
-    Null and empty texts declare nothing; a null path is a file of that name "" at the root. A null id stays null;
+    Null and empty texts declare nothing, and a text of any length is read to its end; a null path is a file of that name "" at the root. A null id stays null;
     rows that repeat an id are judged each. Other columns are passed over. Empty files give no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licences import ANCHORS, SIMILARITY, TEMPLATES
+from .licences import ANCHORS, BLANK, MARKS, SIMILARITY, SPACE, TEMPLATES
 from .secrets import ADDED, BASE
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -59,13 +59,19 @@ def licences() -> str:
     templates = ", ".join(f"({i}, {_quoted(n)}, {_quoted(t)})" for i, (n, t) in enumerate(TEMPLATES))
     # RE2 has no look-around: a mark is put at the ends of sentences and at full stops that aren't followed by a digit.
     terms = lambda x: f"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower({x}), '[.]([^0-9]|$)', ' \\1', 'g'), '[.]([^0-9]|$)', ' \\1', 'g'), '[^a-z0-9.]+'), lambda z: z <> '')"
+    cut = lambda x: f"regexp_split_to_array(regexp_replace({x}, '([.;:])\\s+([A-Z])', '\\1' || chr(10) || '\\2', 'g'), '\\n')"
     longest = max(len(t) for _, t in TEMPLATES) + 40
     return f"""WITH t(id, licence, text) AS (VALUES {templates}), f AS (SELECT doc_id, source || '/' || lang || '/' || doc_id::VARCHAR AS path, source || '/' || lang AS folder, coalesce(text, '') AS text FROM documents),
 tt AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({terms("text")}) AS term FROM t) GROUP BY 1, 2), v AS (SELECT DISTINCT term FROM tt), n AS (SELECT count(*) AS n FROM f),
 df AS (SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({terms("text")})) AS term FROM f) WHERE term IN (SELECT term FROM v) GROUP BY 1),
 idf AS (SELECT v.term, ln((n + 1.0::DOUBLE) / (coalesce(df, 0) + 1)) + 1 AS idf FROM v LEFT JOIN df ON df.term = v.term, n),
 tw AS (SELECT id, tt.term, tf * idf AS w FROM tt JOIN idf ON idf.term = tt.term), tn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM tw GROUP BY 1),
-u AS (SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '([.;:])\\s+([A-Z])', '\\1' || chr(10) || '\\2', 'g'), '\\n') AS parts FROM f WHERE regexp_matches(lower(text), '{ANCHORS}'))) WHERE regexp_matches(lower(line), '{ANCHORS}')),
+fa AS (SELECT doc_id, text FROM f WHERE regexp_matches(lower(text), '{ANCHORS}')),
+lined AS (SELECT doc_id, {cut("text")} AS parts FROM fa),
+para AS (SELECT doc_id, nth, x FROM (SELECT doc_id, unnest(ps) AS x, unnest(range(len(ps))) AS nth FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '(?m){MARKS}', '', 'g'), '{BLANK}') AS ps FROM fa)) WHERE contains(x, chr(10)) AND regexp_matches(lower(x), '{ANCHORS}')),
+wrapped AS (SELECT doc_id, nth, {cut(f"regexp_replace(x, '{SPACE}', ' ', 'g')")} AS parts FROM para),
+u AS (SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts)))::VARCHAR AS pos FROM lined
+  UNION ALL SELECT doc_id, unnest(parts), nth::VARCHAR || '/' || unnest(range(len(parts)))::VARCHAR FROM wrapped) WHERE regexp_matches(lower(line), '{ANCHORS}')),
 uc AS (SELECT doc_id, pos, term, count(*) AS tf FROM (SELECT doc_id, pos, unnest({terms("line")}) AS term FROM u) GROUP BY ALL),
 uw AS (SELECT doc_id, pos, uc.term, tf * coalesce(idf, ln(n + 1.0::DOUBLE) + 1) AS w FROM uc LEFT JOIN idf ON idf.term = uc.term, n), un AS (SELECT doc_id, pos, sqrt(sum(w * w)) AS norm FROM uw GROUP BY ALL),
 c AS (SELECT uw.doc_id, uw.pos, tw.id, sum(uw.w * tw.w / tn.norm) AS dot FROM uw JOIN tw ON tw.term = uw.term JOIN tn ON tn.id = tw.id GROUP BY ALL),

@@ -255,6 +255,44 @@ def test_licences(spark, none):
     assert licences.scan(df).count() == len(files) and licences.scan(df.where("false")).count() == 0
 
 
+APACHE = """/*
+ * Copyright 2020 Somebody
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance
+ * with the License. You may obtain a copy of the License at
+ */
+code();"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+
+code()"""
+MIT = """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies."""
+BSD = """// Redistribution and use in source and binary forms, with or without
+// modification, are permitted provided that the following conditions are
+// met:
+"""
+TITLE = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007\n\n" + "Everyone may copy it. " * 400
+
+
+def test_wrapped_headers_and_licence_files(spark):
+    files = [(1, "a/x.c", APACHE), (2, "a/x.py", GPL), (3, "m/LICENSE.txt", MIT), (4, "m/y.py", "y"), (5, "b/z.cc", BSD), (6, "g/COPYING", TITLE), (7, "g/h/i.c", "i"), (8, "n/o.c", "// Nothing here\n// of the kind, by permission\n")]
+    got = {r.doc_id: (r.own, r.licence) for r in licences.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    want = {1: "Apache-2.0", 2: "GPL-3.0", 3: "MIT", 4: None, 5: "BSD-3-Clause", 6: "GPL-3.0", 7: None, 8: None}
+    assert {k: own for k, (own, _) in got.items()} == want and got[4][1] == "MIT" and got[7][1] == "GPL-3.0"
+
+
 def test_licence_cosine_is_that_of_tf_idf(spark):
     texts = ["Released under the MIT License.", "Some prose. Licensed under the Apache License, Version 2.0.", "more words of no interest", "This work is licensed under CC BY 4.0 today."]
     got = {r.doc_id: (r.own, r.cosine) for r in licences.scan(spark.createDataFrame([(i, f"d/{i}", t) for i, t in enumerate(texts)], "doc_id long, path string, text string"), least=0.1).collect()}
