@@ -88,13 +88,17 @@ def _units(files: DataFrame) -> DataFrame:
     end = r"(?<=[.;:])\s+(?=[A-Z])"
     anchored = lambda parts: F.filter(parts, lambda x: F.lower(x).rlike(ANCHORS))
     some = files.where(F.lower("text").rlike(ANCHORS))
-    lined = some.select("doc", "row", F.lit(False).alias("whole"), F.posexplode(anchored(F.split("text", r"\n|" + end, -1))).alias("unit", "text"))
+    lined = anchored(F.split("text", r"\n|" + end, -1))
     paragraphs = F.filter(F.split(F.regexp_replace("text", "(?md)" + MARKS, ""), BLANK, -1), lambda x: x.contains("\n") & F.lower(x).rlike("(?s)" + ANCHORS))
-    sentences = F.flatten(F.transform(paragraphs, lambda x: F.split(F.regexp_replace(x, SPACE, " "), end, -1)))
-    wrapped = some.select("doc", "row", F.lit(False).alias("whole"), F.posexplode(anchored(sentences)).alias("at", "text")).select("doc", "row", "whole", (-2 - F.col("at")).alias("unit"), "text")
+    wrapped = anchored(F.flatten(F.transform(paragraphs, lambda x: F.split(F.regexp_replace(x, SPACE, " "), end, -1))))
     named = F.lower(F.element_at(F.split("path", "/", -1), -1)).rlike(f"^{FILES}$")
-    whole = some.where(named).select("doc", "row", F.lit(True).alias("whole"), F.lit(-1).alias("unit"), "text")
-    return lined.unionAll(wrapped).unionAll(whole)
+    unit = lambda whole, at, text: F.struct(F.lit(whole).alias("whole"), at.cast("int").alias("unit"), text.alias("text"))
+    parts = [
+        F.transform(lined, lambda x, i: unit(False, i, x)), F.transform(wrapped, lambda x, i: unit(False, -2 - i, x)),
+        F.when(named, F.array(unit(True, F.lit(-1), F.col("text")))).otherwise(F.array().cast("array<struct<whole:boolean,unit:int,text:string>>")),
+    ]
+    # Outer, or Spark works the units out twice, to filter by their number.
+    return some.select("doc", "row", F.explode_outer(F.concat(*parts)).alias("part")).select("doc", "row", "part.*").where("text is not null")
 
 
 def _scored(units: DataFrame, templates: DataFrame, idf: DataFrame, unseen: Column, least: float) -> DataFrame:
