@@ -89,3 +89,10 @@ def covered(approx: Column, error: Column, exact: Column, z: float = 1.96) -> Co
 def srs_mean_error(variance: Column, n: Column, total: Column) -> Column:
     """Standard error of the mean of n of ``total`` rows drawn at random, with the finite population correction."""
     return F.sqrt(variance / n * (total - n) / F.greatest(total, F.lit(1)))
+
+
+def expected_accepted(total_seen: Column, capacity: Column) -> Column:
+    """How many of so many records a reservoir takes in on their way, on average: the first ones, then each with the
+    probability that capacity has among the records so far. The sum over records is close to a logarithm."""
+    seen, held = total_seen.cast("double"), capacity.cast("double")
+    return F.when(seen <= held, seen).when(held <= 0, F.lit(0.0)).otherwise(held * (1 + F.log((seen + 0.5) / (held + 0.5))))

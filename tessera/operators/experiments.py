@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import accuracy_loss, covered, relative_error, t_score
+from tessera.sources import synthetic
 
 from . import exact, sampling
 from .adaptive import dynamic_va, static_va
@@ -102,6 +103,63 @@ def evaluate(df: DataFrame, stratum: str, position: str, value: str, ids, budget
     return both.withColumns({"relative_error": relative_error(F.col("estimate"), F.col("exact")), "covered": covered(F.col("estimate"), F.col("standard_error"), F.col("exact"))})
 
 
+def sweep(cases: Iterable[tuple[dict, DataFrame]], stratum: str, position: str, value: str, ids, budgets: list[int], seeds: list[int], interval: int = 500, methods=METHODS) -> DataFrame:
+    """evaluate() of each case (columns that name it, and its records), budget and seed, with these as columns."""
+    out = []
+    for names, df in cases:
+        for budget in budgets:
+            for seed in seeds:
+                got = evaluate(df, stratum, position, value, ids, budget, seed, interval, methods)
+                marks = {**names, "budget": budget, "seed": seed}
+                out.append(got.select(*[F.lit(v).alias(k) for k, v in marks.items()], *got.columns))
+    return reduce(DataFrame.unionAll, out)
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    return df.withColumn("position", F.col("id") + 1)
+
+
+def workload_sweep(spark: SparkSession, n: int, budgets: list[int], seeds: list[int], kinds=synthetic.KINDS, interval: int = 500, methods=METHODS) -> DataFrame:
+    """All methods over the five-stratum workloads, at several budgets."""
+    cases = [({"dataset": k}, _numbered(synthetic.five_strata(spark, k, n))) for k in kinds]
+    return sweep(cases, "sensor_id", "position", "value", "id", budgets, seeds, interval, methods)
+
+
+def heterogeneity_sweep(spark: SparkSession, n: int, ratios: list[float], seeds: list[int], budget: int = 200, interval: int = 500, methods=METHODS) -> DataFrame:
+    """All methods over strata whose variances differ by several ratios."""
+    cases = [({"ratio": float(r)}, _numbered(synthetic.five_strata(spark, "variance_skew", n, ratio=r))) for r in ratios]
+    return sweep(cases, "sensor_id", "position", "value", "id", [budget], seeds, interval, methods)
+
+
+def population_sweep(spark: SparkSession, n: int, seeds: list[int], levels=tuple(synthetic.SKEWS), budget: int = 200, interval: int = 500, methods=METHODS) -> DataFrame:
+    """All methods over strata of several skews of size."""
+    cases = [({"skew": k}, _numbered(synthetic.five_strata(spark, "combined_skew", n, skew=k))) for k in levels]
+    return sweep(cases, "sensor_id", "position", "value", "id", [budget], seeds, interval, methods)
+
+
+@dataclass(frozen=True)
+class LateStress:
+    """results: a row for each method and seed; allocations: what each stratum got at each event; first: where strata
+    appear; late: seed, stratum, capacity at the end and the position of its first sampled row, of the dynamic method."""
+
+    results: DataFrame
+    allocations: DataFrame
+    first: DataFrame
+    late: DataFrame
+
+
+def late_strata_stress(spark: SparkSession, n: int, seeds: list[int], budget: int = 300, interval: int = 10_000, methods=("uniform", "oasrs", "static", "dynamic")) -> LateStress:
+    """Strata that appear after a quarter and after half of the records: what they get, and what it does to errors."""
+    rows = synthetic.late_strata(spark, n)
+    results = sweep([({"dataset": "late_strata"}, rows)], "sensor_id", "position", "value", "id", [budget], seeds, interval, methods)
+    runs = [(s, dynamic_va(rows, "sensor_id", "position", "value", "id", budget, interval, seed=s)) for s in seeds]
+    allocations = reduce(DataFrame.unionAll, [d.history.withColumn("seed", F.lit(s)) for s, d in runs])
+    sampled = [d.sample.rows.groupBy("stratum").agg(F.min("position").alias("first_sampled")).withColumn("seed", F.lit(s)) for s, d in runs]
+    last = allocations.groupBy("seed", "stratum").agg(F.max_by("capacity", "event_id").alias("capacity"))
+    late = last.join(reduce(DataFrame.unionAll, sampled), ["seed", "stratum"], "left").where(F.col("stratum").isin("S5", "S6"))
+    return LateStress(results, allocations, exact.first_appearance(rows, "sensor_id", "position"), late)
+
+
 @dataclass
 class Measured:
     """Time of an action: seconds, records a second, microseconds a record."""
@@ -129,17 +187,21 @@ def measured(name: str, records: int, action: Callable[[], object]) -> Measured:
     return Measured(name, records, time.perf_counter() - wall, time.process_time() - cpu)
 
 
-def throughput_sweep(make: Callable[[int], DataFrame], sizes: list[int], stratum: str, ids, capacity: int) -> list[Measured]:
-    """Times of a full scan, a uniform and a stratified sample at several sizes."""
+def throughput_sweep(make: Callable[[int], DataFrame], sizes: list[int], stratum: str, ids, capacity: int, position: str | None = None, value: str | None = None) -> list[Measured]:
+    """Times of a full scan, a uniform and a stratified sample at several sizes; with position and value, which adaptive
+    samples need, of these as well, the dynamic one with twenty intervals."""
     out = []
     for n in sizes:
         df = make(n).cache()
         df.count()
-        for name, plan in (
-            ("scan", lambda df=df: df.groupBy(stratum).count()), ("uniform", lambda df=df: sampling.srs(df, ids, capacity)),
-            ("oasrs", lambda df=df: sampling.stratified(df, stratum, ids, capacity, prune=True).rows),
-        ):
+        plans = {
+            "scan": lambda df=df: df.groupBy(stratum).count(), "uniform": lambda df=df: sampling.srs(df, ids, capacity),
+            "oasrs": lambda df=df: sampling.stratified(df, stratum, ids, capacity, prune=True).rows,
+        }
+        if position and value:
+            plans["static"] = lambda df=df, n=n: static_va(df, stratum, position, value, ids, capacity, max(1, n // 20)).rows
+            plans["dynamic"] = lambda df=df, n=n: dynamic_va(df, stratum, position, value, ids, capacity, max(1, n // 20)).sample.rows
+        for name, plan in plans.items():
             out.append(measured(name, n, lambda plan=plan: plan().write.format("noop").mode("overwrite").save()))
         df.unpersist()
     return out
-

@@ -504,6 +504,27 @@ def five_methods(spark, sf_dir):
     return rounded(experiments.evaluate(positioned(events(spark, sf_dir), "event_id"), "event_type", "position", "value", "event_id", BUDGET, SEED), 6)
 
 
+@query()
+def heterogeneity_sweep(spark, sf_dir):
+    return rounded(experiments.heterogeneity_sweep(spark, 4_000, [1, 100], [SEED], methods=("exact", "oasrs", "dynamic")), 6)
+
+
+@query()
+def population_sweep(spark, sf_dir):
+    return rounded(experiments.population_sweep(spark, 4_000, [SEED], ("low", "extreme"), methods=("uniform", "oasrs", "static")), 6)
+
+
+@query()
+def late_strata_stress(spark, sf_dir):
+    return experiments.late_strata_stress(spark, 8_000, [SEED], 120, 500, ("oasrs",)).late
+
+
+@query(f"SELECT event_type AS stratum, round(CASE WHEN count(*) <= {N} THEN count(*) ELSE {N} * (1 + ln((count(*) + 0.5::DOUBLE) / {N + 0.5}::DOUBLE)) END, 4) AS accepted FROM events GROUP BY 1")
+def accepted_rows(spark, sf_dir):
+    strata = drawn(spark, sf_dir).strata
+    return rounded(strata.select("stratum", stats.expected_accepted(F.col("total_seen"), F.col("capacity")).alias("accepted")))
+
+
 @query("SELECT event_type, event_id, user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS rk FROM events) WHERE rk = 1")
 def latest_per_stratum(spark, sf_dir):
     return exact.latest(events(spark, sf_dir).select("event_type", "event_id", "user_id", "value"), "event_type", "event_id")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from tessera.functions.shared import event_time
 
@@ -55,6 +56,34 @@ def flushed(rows: DataFrame, emitted: DataFrame, value: str, size: str, slide: s
     return emitted.unionByName(open_)
 
 
+class Counters(StreamingQueryListener):
+    """Totals over the batches of all queries of a session: records read, rows dropped as late, batches, and whatever
+    observed() counts, by its name; and how long batches took."""
+
+    def __init__(self):
+        self.totals: dict[str, float] = {"records_total": 0, "late_total": 0, "batches_total": 0}
+        self.batch_seconds: list[float] = []
+
+    def onQueryStarted(self, event):  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event):  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event):  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event):  # noqa: N802
+        p = event.progress
+        self.totals["records_total"] += p.numInputRows
+        self.totals["late_total"] += sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+        self.totals["batches_total"] += 1
+        self.batch_seconds.append(p.durationMs.get("triggerExecution", 0) / 1000)
+        for name, row in p.observedMetrics.items():
+            for k, v in row.asDict().items():
+                self.totals[f"{name}.{k}"] = self.totals.get(f"{name}.{k}", 0) + (v or 0)
+
+
 def observed(df: DataFrame, name: str, value: Column | None = None) -> DataFrame:
     """df with counters that a streaming listener or an Observation reads: records, and sum of a value."""
     extra = [F.sum(value).alias("value_total")] if value is not None else []

@@ -325,3 +325,25 @@ def test_evaluation_and_measures(spark):
     assert got["static"].relative_error > got["dynamic"].relative_error
     m = experiments.measured("x", 10, lambda: None)
     assert m.records == 10 and m.row()["rate"] > 0
+
+
+def test_sweeps_name_their_cases(spark):
+    got = experiments.workload_sweep(spark, 600, [20, 40], [1], ("uniform", "distribution_shift"), 100, ("exact", "oasrs")).collect()
+    assert {(r.dataset, r.budget, r.method) for r in got} == {(d, b, m) for d in ("uniform", "distribution_shift") for b in (20, 40) for m in ("exact", "oasrs")}
+    assert all(r.sampled <= r.budget for r in got if r.method == "oasrs") and all(r.relative_error < 1e-9 for r in got if r.method == "exact")
+    assert {r.ratio for r in experiments.heterogeneity_sweep(spark, 300, [1, 9], [1], 20, 100, ("oasrs",)).collect()} == {1.0, 9.0}
+    assert {r.skew for r in experiments.population_sweep(spark, 300, [1], ("low", "high"), 20, 100, ("oasrs",)).collect()} == {"low", "high"}
+
+
+def test_late_strata_get_their_share(spark):
+    got = experiments.late_strata_stress(spark, 4000, [1], 60, 250, ("static", "dynamic"))
+    late = {r.stratum: r for r in got.late.collect()}
+    assert set(late) == {"S5", "S6"} and all(r.capacity > 0 for r in late.values()) and late["S5"].first_sampled > 1000 and late["S6"].first_sampled > 2000
+    assert {r.method: r.relative_error for r in got.results.collect()}.keys() == {"static", "dynamic"}
+    assert got.first.count() == 6 and got.allocations.where("stratum = 'S6' and records_seen < 2000").count() == 0
+
+
+def test_accepted_rows_are_as_many_as_a_reservoir_takes(spark):
+    n = 10 + sum(10 / i for i in range(11, 5001))
+    got = spark.createDataFrame([(5000, 10), (7, 10), (9, 0)], "c long, n int").select(stats.expected_accepted(F.col("c"), F.col("n")).alias("x")).collect()
+    assert got[0].x == pytest.approx(n, rel=1e-3) and got[1].x == 7 and got[2].x == 0

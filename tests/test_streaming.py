@@ -112,3 +112,39 @@ def test_observed(spark):
     spark.range(10).observe(o, F.count(F.lit(1)).alias("n")).count()
     assert o.get["n"] == 10
     assert windows.observed(spark.range(3), "x", F.col("id")).count() == 3
+
+
+def test_counters_add_up_batches(spark, files):
+    import time
+
+    _, path, tmp = files
+    counters = windows.Counters()
+    spark.streams.addListener(counters)
+    try:
+        rows = windows.observed(stream(spark, path), "seen", F.col("v"))
+        windows.replay(rows, lambda df, i: df.count(), str(tmp / "o4"), "append")
+        for _ in range(50):  # the listener hears of a batch a little later
+            if counters.totals["records_total"] >= 600:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(counters)
+    assert counters.totals["records_total"] == 600 and counters.totals["batches_total"] >= 4 and counters.totals["seen.records_total"] == 600
+    assert counters.totals["late_total"] == 0 and len(counters.batch_seconds) >= 4
+
+
+def test_windows_left_open_are_flushed(spark, files):
+    df, path, tmp = files
+    got = windows.exact_windows(windows.timed(stream(spark, path), "ts", "event", "10 seconds"), "v", "1 minute")
+    windows.replay(got, lambda df, i: df.write.mode("append").parquet(str(tmp / "w")), str(tmp / "o5"), "append")
+    emitted = spark.read.schema(got.schema).parquet(str(tmp / "w"))
+    every = windows.flushed(df.withColumn("event_time", F.col("ts")), emitted, "v", "1 minute").collect()
+    assert emitted.count() < 10 and sorted((r.window_start, r["count"]) for r in every) == [(i * 60_000_000, 60) for i in range(10)]
+
+
+def test_the_short_tail_of_count_windows(spark, files):
+    _, path, tmp = files
+    got = stateful.count_windows(stream(spark, path), "v", 70, partial=True)
+    windows.replay(got, lambda df, i: df.write.mode("append").parquet(str(tmp / "t")), str(tmp / "o6"))
+    last = spark.read.parquet(str(tmp / "t")).groupBy("window_start").agg(F.max("count").alias("n")).collect()
+    assert sorted((r.window_start, r.n) for r in last) == [(i, 70) for i in range(0, 560, 70)] + [(560, 40)]
