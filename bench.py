@@ -18,16 +18,16 @@ HEADLINE = (
 
 
 def throughput(spark: SparkSession, n: int = 10_000_000) -> dict[str, int]:
-    """Records a second of a full scan, a uniform and a stratified sample over generated records."""
+    """Records a second of a full scan, and of uniform, stratified, static and dynamic samples over generated records."""
     from pyspark.sql import functions as F
 
     from tessera.operators import experiments
 
     def make(size):
-        return spark.range(size).select(F.col("id"), F.when(F.col("id") % 101 < 80, "A").when(F.col("id") % 101 < 100, "B").otherwise("C").alias("sensor_id"), (F.col("id") % 1000).cast("double").alias("value"))
+        return spark.range(size).select(F.col("id"), F.when(F.col("id") % 101 < 80, "A").when(F.col("id") % 101 < 100, "B").otherwise("C").alias("sensor_id"), (F.col("id") % 1000).cast("double").alias("value"), (F.col("id") + 1).alias("position"))
 
-    experiments.throughput_sweep(make, [n // 10], "sensor_id", "id", 1000)  # once for the compiler
-    return {m.name: round(m.rate) for m in experiments.throughput_sweep(make, [n], "sensor_id", "id", 1000)}
+    experiments.throughput_sweep(make, [n // 10], "sensor_id", "id", 1000, "position", "value")  # once for the compiler
+    return {m.name: round(m.rate) for m in experiments.throughput_sweep(make, [n], "sensor_id", "id", 1000, "position", "value")}
 
 
 def main() -> None:
