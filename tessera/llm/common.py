@@ -69,8 +69,8 @@ def columns(df: DataFrame) -> list[Column]:
 FULL, FULL_KEYS = 1000, 1000
 
 
-def split_join(rows: DataFrame, side: DataFrame, keys: list[str], by: list[str], counts: DataFrame | None = None, n: str = "n") -> DataFrame:
-    """rows joined to side, where keys with very many rows are dealt to several tasks by the columns ``by``.
+def split_join(rows: DataFrame, side: DataFrame, keys: list[str], by: list[str], counts: DataFrame | None = None, n: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined to side (how: "inner" or "left"), where keys with very many rows are dealt to several tasks by the columns ``by``.
 
     counts (or side).n: how many rows have a key, more or less. The driver learns FULL_KEYS keys at most, so that of any
     other a task gets a thousandth of all rows at most. For a full key, what side has is repeated for each part of it.
@@ -79,12 +79,12 @@ def split_join(rows: DataFrame, side: DataFrame, keys: list[str], by: list[str],
     counts, key = side if counts is None else counts, keys[0]
     full = counts.where(F.col(n) > FULL).select(key, n).orderBy(F.col(n).desc(), key).limit(FULL_KEYS).collect()
     if not full:
-        return rows.join(side, keys)
+        return rows.join(side, keys, how)
     parts = min(-(-max(r[n] for r in full) // FULL), max(2, partitions(rows.sparkSession)))
     is_full = F.col(key).isin([r[key] for r in full])
     dealt = rows.withColumn("_part", F.when(is_full, F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int")).otherwise(0))
     each = side.withColumn("_part", F.explode(F.when(is_full, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
-    return dealt.join(each, [*keys, "_part"]).drop("_part")
+    return dealt.join(each, [*keys, "_part"], how).drop("_part")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -380,7 +380,7 @@ def copies(images: DataFrame, least: int = LEAST) -> DataFrame:
     ids = found.select("node", "image").distinct()
     alike = ids.join(ids.groupBy("image").agg(F.min("node").alias("a")), "image").select("a", F.col("node").alias("b")).where("a <> b")
     # Of equal pictures the least node stands for all.
-    own = found.join(first.select(F.col("a").alias("node")), "node", "left_semi").dropDuplicates(["node"])
+    own = found.dropDuplicates(["node"]).join(first.select(F.col("a").alias("node")), "node", "left_semi")
     places = checkpointed(_placed(own, n))
     roots = components(checkpointed(equal.unionAll(alike)))
     for star in (True, False):

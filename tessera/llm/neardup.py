@@ -218,7 +218,8 @@ def _on(roots: DataFrame | None, step: DataFrame) -> DataFrame:
     if roots is None:
         return step
     up = step.select(F.col("doc").alias("root"), F.col("root").alias("up"))
-    both = roots.join(up, "root", "left").select("doc", F.coalesce("up", "root").alias("root"))
+    members = roots.groupBy("root").agg(F.count("*").alias("n"))
+    both = split_join(roots, up, ["root"], ["doc"], members, how="left").select("doc", F.coalesce("up", "root").alias("root"))
     return both.unionByName(step.join(roots, "doc", "left_anti"))
 
 
