@@ -92,7 +92,7 @@ def picks(grams: np.ndarray, functions: int, least: int, seed: int) -> np.ndarra
 
 def _texts(batch, column: str, vocabulary: Words):
     """Words' hashes and sizes of a batch's texts, in chunks."""
-    for texts in chunks(batch[column].to_pylist(), 8_000_000):
+    for texts in chunks(batch[column].to_pylist()):
         split = [x.split() for x in texts]
         yield vocabulary.hashes([w for s in split for w in s])[:, 0], np.fromiter(map(len, split), np.int64, len(split))
 
