@@ -5,8 +5,10 @@ functions picks the few least shingles; their text order is kept, so that a buck
 the same order. Texts of a bucket are compared with the bucket's least document (a star, not all pairs). Where that
 leaves a bucket in more than one class, its other texts are open: an exact join finds the pairs among them that can
 still be similar. It rests on prefixes: with shingles in one global order, rare ones first, two similar texts share
-one among their first few. Members of large groups of copies differ in rare shingles, so that few pairs arise, and
-none within a class. Classes are the connected components of the links.
+one among their first few. Of a large group of edits of one text, most pairs share one, and many are similar. So a few
+texts of each shingle are compared with its other texts first, and what becomes one class needs no more pairs; there
+are GROWTH times as many in each round, until all pairs that are left between classes are few. These are then joined, so
+that none is passed over. Classes are the connected components of the links.
 
 A comparison aligns the shingles of two texts within a band as wide as a similarity of 0.8 allows; the similarity is
 the number of aligned shingles over the number of different shingles in either text.
@@ -35,6 +37,8 @@ CELLS, PARTS, STEP = 1 << 18, 64, 1.1
 ONE_TASK = 1_000_000
 #: Longs of parities that tell most texts apart before they are compared.
 MARKS = 8
+#: Texts of a shingle that are compared with its others in the first round, and how many times as many in each later one.
+HEADS, GROWTH = 4, 8
 _MARKS = [f"m{i}" for i in range(MARKS)]
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -288,10 +292,8 @@ def _rooted_texts(docs: DataFrame, least: float, by_id: bool) -> DataFrame:
 
     rest = checkpointed(_open(members, heads, roots))
     if rest.limit(1).count():
-        texts = checkpointed(sequences.join(rest.select("doc"), "doc"))
-        rows = checkpointed(_prefixes(texts, _counts(texts), least))
-        pairs = checkpointed(_prefix_pairs(_rooted(rows, roots), least))
-        roots = components(checkpointed(linked(pairs, sequences, least)), roots)
+        texts = checkpointed(sequences.join(rest.select("doc", "root"), "doc"))
+        roots = _joined(checkpointed(_prefixes(texts, _counts(texts), least)), texts.select("doc", "grams"), roots, least)
 
     out = each.join(roots.withColumnRenamed("doc", "stands"), "stands", "left")
     return out.select("doc", "row", F.coalesce("root", "stands").alias("root"))
@@ -363,7 +365,7 @@ def _parities(grams: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
-    """key (of shingle and class of size), larger, doc, n, rank and marks (parities): the shingles of each text's prefix.
+    """key (of shingle and class of size), larger, doc, root, n, rank and marks (parities): the shingles of each text's prefix.
 
     Of two texts with x <= y shingles that are similar, the first x - t + 1 and y - t + 1 share one, if t is the number
     that they share at least, (x + y) least / (1 + least). A text stands in its own class as the smaller one, and as
@@ -374,7 +376,7 @@ def _prefixes(texts: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for doc, blob in zip(batch["doc"].to_pylist(), batch["grams"].to_pylist(), strict=True):
+            for doc, root, blob in zip(batch["doc"].to_pylist(), batch["root"].to_pylist(), batch["grams"].to_pylist(), strict=True):
                 grams = np.unique(np.frombuffer(blob, "<u4"))
                 grams = grams[np.lexsort((grams, counts[_cells(grams)]))].astype(np.uint64)
                 n = len(grams)
@@ -391,17 +393,46 @@ def _prefixes(texts: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
                 classes = np.concatenate([np.full(own, _class(n)), classes])
                 at = np.concatenate([np.arange(1, own + 1), at])
                 keys = mix(grams[at - 1] << np.uint64(20) | classes.astype(np.uint64)).view(np.int64)
-                out.append([keys, np.arange(len(at)) >= own, np.full(len(at), doc), np.full(len(at), n), at, *(np.full(len(at), x) for x in _parities(grams))])
+                out.append([keys, np.arange(len(at)) >= own, np.full(len(at), doc), np.full(len(at), root), np.full(len(at), n), at, *(np.full(len(at), x) for x in _parities(grams))])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
 
-    names = ["key", "larger", "doc", "n", "rank", *_MARKS]
-    return texts.select("doc", "grams").mapInArrow(run, "key long, larger boolean, doc long, n long, rank long, " + ", ".join(f"{m} long" for m in _MARKS))
+    names = ["key", "larger", "doc", "root", "n", "rank", *_MARKS]
+    return texts.select("doc", "root", "grams").mapInArrow(run, "key long, larger boolean, doc long, root long, n long, rank long, " + ", ".join(f"{m} long" for m in _MARKS))
 
 
-def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """rows with the root that their document has by now."""
-    return rows.join(roots, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+def _joined(rows: DataFrame, sequences: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """roots, and on from there by the links between texts of rows (_prefixes), whose root says where they are by now.
+
+    Rounds end with a join of all pairs that are left, be they few or most of what the next round would compare.
+    """
+    heads = HEADS
+    while True:
+        rows, keys, many, most, pairs = _mixed(rows)
+        if not pairs:
+            return roots
+        few = pairs <= HEADS * many or most <= 2 * heads
+        found = checkpointed(_prefix_pairs(rows, keys, least) if few else _head_pairs(rows, keys, heads, least))
+        roots = components(checkpointed(linked(found, sequences, least)), roots)
+        if few:
+            return roots
+        rows = checkpointed(rows.drop("root").join(roots, "doc", "left").withColumn("root", F.coalesce("root", "doc")))
+        heads *= GROWTH
+
+
+def _mixed(rows: DataFrame) -> tuple[DataFrame, DataFrame, int, int, int]:
+    """The rows of keys with a pair of different roots, with many (the rows of the key), and key and many; how many rows
+    there are, in all and for a key at most, and how many such pairs.
+
+    Roots only ever become fewer, so that other keys have no such pair later on, either.
+    """
+    rows = rows.drop("many")
+    each = rows.groupBy("key", "root").agg(F.count_if("larger").alias("l"), F.count_if(~F.col("larger")).alias("s"))
+    pairs = (F.sum("l") * F.sum("s") - F.sum(F.col("l") * F.col("s"))).alias("pairs")
+    keys = checkpointed(each.groupBy("key").agg(F.sum(F.col("l") + F.col("s")).alias("many"), pairs).where("pairs > 0"))
+    total = keys.agg(F.sum("many"), F.max("many"), F.sum("pairs")).first()
+    keys = keys.drop("pairs")
+    return checkpointed(split_join(rows, keys, ["key"], ["doc"], n="many")), keys, *(x or 0 for x in total)
 
 
 def _can(na, i, nb, j, least: float):
@@ -412,13 +443,32 @@ def _can(na, i, nb, j, least: float):
     return (na >= nb * least - 1e-9) & (i <= na - shared + 1) & (j <= nb - shared + 1) & (differ <= na + nb - 2 * shared)
 
 
-def _prefix_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """a, b: all pairs of texts of different roots that can be similar."""
-    x = rows.where("not larger").select("key", F.col("doc").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("rank").alias("i"), *_MARKS)
-    y = rows.where("larger").select("key", F.col("doc").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("rank").alias("j"), *[F.col(m).alias(f"other_{m}") for m in _MARKS])
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of texts as the smaller one of a pair, and as the larger one."""
+    x = rows.where("not larger").select("key", "many", F.col("doc").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("rank").alias("i"), *_MARKS)
+    y = rows.where("larger").select("key", "many", F.col("doc").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("rank").alias("j"), *[F.col(m).alias(f"other_{m}") for m in _MARKS])
+    return x, y
+
+
+def _good(least: float) -> Column:
+    """Whether a row of either side is a pair of texts of different roots that can be similar."""
     na, i, nb, j = (F.col(c) for c in ("na", "i", "nb", "j"))
-    good = ((na < nb) | ((na == nb) & (F.col("a") < F.col("b")))) & (F.col("ra") != F.col("rb")) & _can(na, i, nb, j, least)
-    return x.join(y, "key").where(good).select("a", "b").distinct()
+    return ((na < nb) | ((na == nb) & (F.col("a") < F.col("b")))) & (F.col("ra") != F.col("rb")) & _can(na, i, nb, j, least)
+
+
+def _prefix_pairs(rows: DataFrame, keys: DataFrame, least: float) -> DataFrame:
+    """a, b: all pairs of texts of different roots that can be similar."""
+    x, y = _sides(rows)
+    return split_join(y, x.drop("many"), ["key"], ["b"], keys, "many").where(_good(least)).select("a", "b").distinct()
+
+
+def _head_pairs(rows: DataFrame, keys: DataFrame, heads: int, least: float) -> DataFrame:
+    """Those of a key's pairs with a head in them: about as many texts of each key, the same ones wherever they can be."""
+    x, y = _sides(rows)
+    head = lambda doc: F.shiftrightunsigned(F.xxhash64(doc, F.lit(heads)), 11) * 2.0**-53 * F.col("many") < heads
+    small = split_join(y, x.where(head("a")).drop("many"), ["key"], ["b"], keys, "many")
+    large = split_join(x.where(~head("a")), y.where(head("b")).drop("many"), ["key"], ["a"], keys, "many")
+    return small.where(_good(least)).select("a", "b").union(large.where(_good(least)).select("a", "b")).distinct()
 
 
 def clean(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

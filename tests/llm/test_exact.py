@@ -232,6 +232,25 @@ def test_near_duplicates_among_many_variants(spark):
     assert same(neardup.classes(rows(spark, pairs)).select("doc_id", "class_id").collect(), brute.near_duplicates(pairs))
 
 
+def test_pairs_of_a_large_group_of_variants_are_few(spark, monkeypatch):
+    """A fifth of the texts are too far from the first one of their buckets; most have links to many others."""
+    import random
+
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    pairs = []
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 2, 3, 3, 4, 5])):
+            words[rng.randrange(150)] = f"n{rng.randrange(10**6)}"
+        pairs.append((i, " ".join(words)))
+    made, linked = [], neardup.linked
+    monkeypatch.setattr(neardup, "linked", lambda p, *rest: made.append(p.count()) or linked(p, *rest))
+    got = neardup.classes(rows(spark, pairs)).select("doc_id", "class_id").collect()
+    assert same(got, brute.near_duplicates(pairs))
+    assert sum(made[1:]) <= 4 * len(pairs)
+
+
 def test_alignment():
     side = lambda g: neardup._Side(np.array(g, "<u4").tobytes())
     a = list(range(100))
